@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import new_folder
 from .exact_dedup import content_sort
 from .mixing import mix_digest
+from .ngram_join import ngram_join
 from .url_filter import judge_urls
 from .warc import archive_digest, read_archive, write_archive
 
@@ -15,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort(table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_url_filter": op7_url_filter,
