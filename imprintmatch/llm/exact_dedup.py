@@ -14,6 +14,9 @@ from pyspark.sql import Window as W
 
 from .common import cut, shuffle_partitions
 
+#: Characters of a text that take part in the choice of splitters.
+HEAD = 64
+
 
 def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", parts_per_task: int = 4) -> DataFrame:
     """Decide for every row whether it stays.
@@ -28,15 +31,18 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n, rows = shuffle_partitions(docs.sparkSession), docs.count()
     most = max(16, rows // (parts_per_task * n))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    slim = slim.withColumn("_h", F.xxhash64("_text"))
+    # Splitters are sampled from the head of a text and its hash, which bounds what the driver gets of a long
+    # text; both follow from the text, so equal texts still stand side by side.
+    slim = slim.select("*", F.xxhash64("_text").alias("_h"), F.substring("_text", 1, HEAD).alias("_head"))
     # At most rows / most <= parts_per_task * n hashes have more than `most` rows: small enough to broadcast.
     hot = slim.groupBy("_h").agg(F.count(F.lit(1)).alias("_copies")).filter(F.col("_copies") > most)
     dealt = slim.join(F.broadcast(hot), "_h", "left")
     ranges = F.ceil(F.col("_copies") / F.lit(most))
     dealt = dealt.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), ranges), F.lit(0)))
-    ordered = dealt.repartitionByRange(n, "_text", "_salt")
+    ordered = dealt.repartitionByRange(n, "_head", "_h", "_salt")
+    group = ["_head", "_h", "_salt", "_text"]
     best = F.col("doc_id").desc_nulls_last() if keep == "largest" else F.col("doc_id").asc_nulls_last()
-    near, all_near = W.partitionBy("_text", "_salt").orderBy(best), W.partitionBy("_text", "_salt")
+    near, all_near = W.partitionBy(*group).orderBy(best), W.partitionBy(*group)
     local = ordered.select(
         "doc_id",
         F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256"),
