@@ -8,6 +8,7 @@ from .common import new_folder
 from .exact_dedup import content_sort
 from .mixing import mix_digest
 from .ngram_join import ngram_join
+from .tokens import token_files
 from .url_filter import judge_urls
 from .warc import archive_digest, read_archive, write_archive
 
@@ -20,6 +21,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), new_folder(spark, "tokens"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort(table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_token_ids": op4_token_ids,
     "op1_ngram_join": op1_ngram_join,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_mix_sources": op6_mix_sources,
