@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import new_folder
 from .exact_dedup import content_sort
+from .licenses import scan_licenses
 from .mixing import mix_digest
 from .ngram_join import ngram_join
 from .tokens import token_files
@@ -21,6 +22,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), new_folder(spark, "tokens"))
 
@@ -44,6 +49,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_licenses": op3_licenses,
     "op4_token_ids": op4_token_ids,
     "op1_ngram_join": op1_ngram_join,
     "op5_exact_dedup": op5_exact_dedup,
