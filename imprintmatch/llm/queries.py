@@ -11,6 +11,7 @@ from .licenses import scan_licenses
 from .mixing import mix_digest
 from .ngram_join import ngram_join
 from .tokens import token_files
+from .toxicity import score_toxicity
 from .url_filter import judge_urls
 from .warc import archive_digest, read_archive, write_archive
 
@@ -53,7 +54,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_digest(read_archive(spark, path))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op10_toxicity": op10_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_licenses": op3_licenses,
     "op4_token_ids": op4_token_ids,
