@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import cut, global_rank, n_words
 
 CAP = 3
+#: Sources that are sent to all tasks, at most.
+MOST_BROADCAST = 100_000
 
 
 def hash_uniform(*cols: Column) -> Column:
@@ -55,8 +57,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, s
     """
     sized = docs.withColumn("size", n_words(F.col("text")))
     targets = source_targets(sized.select("source", "size"), weights, cap)
-    # One row per source; AQE splits a source that holds much of the table if the join is sorted.
     right = targets.select(F.col("source").alias("_source"), "source_size", "target")
+    if targets.count() <= MOST_BROADCAST:  # else a sorted join, in which Spark splits a large source
+        right = F.broadcast(right)
     out = sized.join(right, sized["source"].eqNullSafe(right["_source"])).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(F.lit(0.0))
     out = out.withColumn("_rate", rate)

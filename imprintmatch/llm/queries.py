@@ -10,6 +10,7 @@ from .exact_dedup import content_sort
 from .licenses import scan_licenses
 from .mixing import mix_digest
 from .ngram_join import ngram_join
+from .quality import score_quality
 from .tokens import token_files
 from .toxicity import score_toxicity
 from .url_filter import judge_urls
@@ -54,11 +55,16 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_digest(read_archive(spark, path))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
+    "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_licenses": op3_licenses,

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import cut
 from .decontam import normal
 from .hashing import Words, doc_shingles, mix64, slices, utf8
+from .models import fit_logistic, sigmoid
 
 #: Labelled rows that a model is fitted on, at most: those with the least hash of their id.
 MAX_TRAIN = 40_000
@@ -193,26 +194,13 @@ class Marks:
         return np.column_stack([best, np.log1p(hits), np.log1p(n), hits > 0])
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_design(evidence) @ self.weights, -30, 30)))
+        return sigmoid(_design(evidence) @ self.weights)
 
 
 def _design(evidence: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(evidence)), evidence[:, 0] / 5, evidence[:, 1], evidence[:, 3], evidence[:, 3] * evidence[:, 2] / 5])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int = 50) -> np.ndarray:
-    """Weights by Newton's method with an L2 penalty (none on the first column)."""
-    w, ridge = np.zeros(x.shape[1]), penalty * np.eye(x.shape[1])
-    ridge[0, 0] = 1e-6
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
-
-
 def held_out(doc_id):
     """crc32 of the id as text, mod 5, is 0."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
