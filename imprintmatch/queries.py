@@ -1,19 +1,629 @@
-"""Registered queries of the library and the SQL they are checked against."""
+"""Registered queries of the library: every operator over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import oracle
+from .fixtures import load
+from .functions import labels as L
+from .functions import text as T
+from .operators import corpus as C
+from .operators import detect as D
+from .operators import match as M
+from .operators import ocr as O
+from .operators import pixels as P
+from .plans import identify as I
+from .sources import catalog as S
+from .sources import images as G
+from .sources import labels as Y
+from .storage import new_folder
+
+NOW, PAGE = 100_000_000.0, S.ROWS_PER_PAGE
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def listed(c: Column) -> Column:
+    return F.array_join(c, "|")
+
+
+def in_order(c: Column) -> Column:
+    return F.array_join(F.array_sort(c), "|")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+    return topk_candidates(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+
+def _pages(spark, sf_dir):
+    path = new_folder(spark, "pages")
+    S.land_pages(S.make_pages(load(spark, sf_dir, "catalog")), path)
+    return S.read_catalog_pages(spark, path, number=r"page=(\d+)/")
+
+
+@query
+def read_catalog_pages(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_no", F.length("payload").cast("long").alias("n_chars"), "parse_ok").select("page_no", "parse_ok")
+
+
+@query
+def flatten_envelope(spark, sf_dir):
+    return S.flatten_envelope(S.make_pages(load(spark, sf_dir, "catalog"))).drop("page_no", "pos").withColumn("item_idx", F.col("item_idx") + 1)
+
+
+@query
+def page_status(spark, sf_dir):
+    pages = S.make_pages(load(spark, sf_dir, "catalog"))
+    error = F.lit('{"header":{"resultCode":"30","resultMsg":"KEY"},"body":{}}')
+    shown = pages.withColumn("payload", F.when(F.col("page_no") % 7 == 0, error).when(F.col("page_no") % 7 == 1, F.lit("<xml/>")).otherwise(F.col("payload")))
+    return S.page_status(shown).withColumn("n_items", F.col("n_items").cast("long"))
+
+
+@query
+def select_catalog_items(spark, sf_dir):
+    return S.select_catalog_items(load(spark, sf_dir, "catalog"), item_name="a", entp_name="1").select("item_idx", "item_name", "entp_name")
+
+
+@query
+def refresh_catalog(spark, sf_dir):
+    path = new_folder(spark, "catalog")
+    S.refresh_catalog(S.make_pages(load(spark, sf_dir, "catalog")), path, 1, NOW)
+    return spark.read.parquet(path).select((F.col("item_idx") + 1).alias("item_idx"), "item_name", "print_front", "print_back", "loaded_at")
+
+
+@query
+def load_progress(spark, sf_dir):
+    return S.load_progress(S.flatten_envelope(S.make_pages(load(spark, sf_dir, "catalog"))))
+
+
+@query
+def load_snapshot(spark, sf_dir):
+    path = new_folder(spark, "catalog")
+    pages = S.make_pages(load(spark, sf_dir, "catalog"))
+    S.refresh_catalog(pages.filter("page_no = 1"), path, 1, NOW - 1)
+    S.refresh_catalog(pages, path, 2, NOW)
+    return S.load_snapshot(spark, path, NOW).select((F.col("item_idx") + 1).alias("item_idx"), "item_name", "loaded_at")
+
+
+@query
+def is_stale(spark, sf_dir):
+    return load(spark, sf_dir, "snapshots").select("version", S.is_stale(F.col("loaded_at"), NOW).alias("stale"))
+
+
+@query
+def snapshot_action(spark, sf_dir):
+    return load(spark, sf_dir, "snapshots").select("version", S.snapshot_action(F.col("loaded_at"), F.col("version") % 3, NOW, S.MONTH).alias("action"))
+
+
+@query
+def read_images(spark, sf_dir):
+    """Image files written from supplier rows; wrong suffixes and contents are quarantined."""
+    import pyarrow.fs as pafs
+
+    path = new_folder(spark, "images")
+
+    def write(batches):
+        fs, at = pafs.FileSystem.from_uri(path)
+        for batch in batches:
+            for key in batch["s_suppkey"]:
+                name, head = (("png", b"\x89PNG\r\n\x1a\n"), ("jpg", b"\xff\xd8\xff\xe0"), ("webp", b"RIFF\0\0\0\0WEBP"), ("gif", b"GIF89a"), ("png", b"none"))[key % 5]
+                with fs.open_output_stream(f"{at}/s{key}.{name}") as f:
+                    f.write(head + b"\0" * 8)
+            yield batch
+
+    pafs.FileSystem.from_uri(path)[0].create_dir(pafs.FileSystem.from_uri(path)[1], recursive=True)
+    spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey").mapInPandas(write, "s_suppkey long").count()
+    good, bad = G.read_images(spark, path)
+    key = F.regexp_extract("path", r"/s(\d+)\.", 1).cast("long").alias("s_suppkey")
+    return good.select(key, "kind", F.lit(None).cast("string").alias("reason")).union(bad.select(key, F.lit(None).cast("string").alias("kind"), "reason"))
+
+
+@query
+def read_class_map(spark, sf_dir):
+    dets = load(spark, sf_dir, "detections").groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
+    return Y.read_class_map(spark).join(dets, "class_id").select("class_id", "ch", "n")
+
+
+def _boxes(spark, sf_dir):
+    dets = load(spark, sf_dir, "detections").join(F.broadcast(Y.read_class_map(spark)), "class_id").drop("class_id")
+    return dets.withColumns({"img_w": F.lit(1000), "img_h": F.lit(500)})
+
+
+@query
+def normalize_boxes(spark, sf_dir):
+    out = C.normalize_boxes(_boxes(spark, sf_dir), Y.read_class_map(spark))
+    return out.select("image_id", "det_id", "class_id", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "w", "h")])
+
+
+def _labels(spark, sf_dir):
+    rows = C.normalize_boxes(_boxes(spark, sf_dir), Y.read_class_map(spark))
+    stem, split = F.col("image_id") % 200, F.when(F.col("image_id") % 200 % 10 == 0, "val").otherwise("train")
+    order = (F.col("image_id") * 100 + F.col("det_id")).alias("line_no")
+    return rows.select(split.alias("split"), F.concat(F.lit("s"), stem).alias("stem"), order, "class_id", "cx", "cy", "w", "h")
+
+
+@query
+def write_yolo_labels(spark, sf_dir):
+    path = new_folder(spark, "labels")
+    Y.write_yolo_labels(_labels(spark, sf_dir), path)
+    lines = spark.read.text(path)
+    return lines.select("split", "stem", "value")
+
+
+@query
+def read_yolo_labels(spark, sf_dir):
+    path = new_folder(spark, "labels")
+    Y.write_yolo_labels(_labels(spark, sf_dir), path)
+    return Y.read_yolo_labels(spark, path, Y.read_class_map(spark)).select("split", "stem", "line_no", "class_id", "ch", "cx", "cy", "w", "h")
+
+
+@query
+def write_results(spark, sf_dir):
+    path = new_folder(spark, "results")
+    results = I.identify_batch(load(spark, sf_dir, "readings"), load(spark, sf_dir, "catalog"))
+    Y.write_results(results, path, "run1")
+    back = spark.read.parquet(path)
+    return back.select("reading_id", "run_id", "ocr_text", F.size("candidates").cast("long").alias("n_candidates"))
+
+
+# ---------------------------------------------------------------- text
+
+
+@query
+def normalize_ocr(spark, sf_dir):
+    return load(spark, sf_dir, "raw_texts").select("doc_id", T.normalize_ocr(F.col("text")).alias("text"))
+
+
+@query
+def normalize_ocr_basic(spark, sf_dir):
+    return load(spark, sf_dir, "raw_texts").select("doc_id", T.normalize_ocr(F.col("text"), basic=True).alias("text"))
+
+
+@query
+def tokens(spark, sf_dir):
+    return load(spark, sf_dir, "raw_texts").select("doc_id", listed(T.tokens(F.col("text"))).alias("tokens"))
+
+
+@query
+def norm_token(spark, sf_dir):
+    return load(spark, sf_dir, "catalog").select("item_idx", T.norm_token(F.col("print_front")).alias("front"), T.norm_token(F.col("print_back")).alias("back"))
+
+
+@query
+def print_tokens(spark, sf_dir):
+    return load(spark, sf_dir, "catalog").select("item_idx", listed(T.print_tokens(F.col("print_front"), F.col("print_back"))).alias("tokens"))
+
+
+@query
+def post_fix_imprint(spark, sf_dir):
+    return load(spark, sf_dir, "readings").select("reading_id", T.post_fix_imprint(F.col("imprint_raw")).alias("imprint"))
+
+
+@query
+def post_fix_imprint_basic(spark, sf_dir):
+    return load(spark, sf_dir, "readings").select("reading_id", T.post_fix_imprint(F.col("imprint_raw"), basic=True).alias("imprint"))
+
+
+@query
+def ocr_variants(spark, sf_dir):
+    return load(spark, sf_dir, "readings").select("reading_id", listed(T.ocr_variants(F.col("imprint_raw"))).alias("variants"))
+
+
+@query
+def query_tokens(spark, sf_dir):
+    return _imprints(spark, sf_dir).select("imprint", in_order(T.query_tokens(F.col("imprint"))).alias("tokens"))
+
+
+@query
+def rank_norm(spark, sf_dir):
+    raw = F.col("imprint_raw")
+    return load(spark, sf_dir, "readings").select("reading_id", T.rank_norm(raw).alias("norm"), T.rank_norm(raw, basic=True).alias("basic"))
+
+
+def _targets(spark, sf_dir):
+    return load(spark, sf_dir, "readings").select(F.explode(T.tokens(F.col("imprint_raw"))).alias("token")).distinct()
+
+
+@query
+def rank_variants(spark, sf_dir):
+    t = F.col("token")
+    return _targets(spark, sf_dir).select("token", in_order(T.rank_variants(t)).alias("variants"), in_order(T.rank_variants(t, basic=True)).alias("basic"))
+
+
+@query
+def token_weight(spark, sf_dir):
+    t = F.col("token")
+    return _targets(spark, sf_dir).select("token", T.token_weight(t).alias("weight"), T.token_weight(t, basic=True).alias("basic"))
+
+
+@query
+def match_level(spark, sf_dir):
+    return load(spark, sf_dir, "readings").select("reading_id", T.match_level(F.col("reading_id") % 200).alias("match_level"))
+
+
+@query
+def shape_aliases(spark, sf_dir):
+    g = F.col("shape_guess")
+    return load(spark, sf_dir, "readings").select("reading_id", in_order(T.shape_aliases(g)).alias("prefilter"), in_order(T.shape_aliases(g, stripped=True)).alias("rank"))
+
+
+@query
+def color_aliases_prefilter(spark, sf_dir):
+    return load(spark, sf_dir, "readings").select("reading_id", in_order(T.color_aliases_prefilter(F.col("color_guess"))).alias("aliases"))
+
+
+@query
+def color_aliases_rank(spark, sf_dir):
+    g = F.col("color_guess")
+    return load(spark, sf_dir, "readings").select("reading_id", in_order(T.color_aliases_rank(g)).alias("aliases"), in_order(T.color_aliases_rank(g, basic=True)).alias("basic"))
+
+
+@query
+def candidate_view(spark, sf_dir):
+    return load(spark, sf_dir, "catalog").select("item_idx", T.candidate_view().alias("v")).select("item_idx", "v.*")
+
+
+@query
+def pill_note(spark, sf_dir):
+    mode = F.element_at(F.array(*map(F.lit, ("strong", "mid", "weak", "none"))), (F.col("reading_id") % 4 + 1).cast("int"))
+    notes = [T.pill_note(F.col("imprint"), mode, p).alias(p) for p in ("batch", "single", "basic")]
+    return I.clean_readings(load(spark, sf_dir, "readings")).select("reading_id", *notes)
+
+
+# ---------------------------------------------------------------- labels
+
+
+@query
+def color_label_hsv(spark, sf_dir):
+    return P.mask_mean_color(load(spark, sf_dir, "pixels")).select("roi_id", "label")
+
+
+@query
+def shape_label(spark, sf_dir):
+    args = [F.col(c) for c in ("w", "h", "area", "perimeter")]
+    return load(spark, sf_dir, "contours").select("image_id", "box_id", L.shape_label(*args).alias("batch"), L.shape_label(*args, single=True).alias("single"))
+
+
+@query
+def is_capsule(spark, sf_dir):
+    shape = L.shape_label(*[F.col(c) for c in ("w", "h", "area", "perimeter")])
+    return load(spark, sf_dir, "contours").select("image_id", "box_id", L.is_capsule(shape, F.col("w"), F.col("h")).alias("is_capsule"))
+
+
+@query
+def imprint_type(spark, sf_dir):
+    ink = P.ink_score(load(spark, sf_dir, "pixels"))
+    return ink.select("roi_id", L.imprint_type(F.col("ink") - 0.25, F.lit(0.15) + (F.col("roi_id") % 10) / 100).alias("kind"))
+
+
+@query
+def color_label_en(spark, sf_dir):
+    h, s, v = (F.col(c) for c in "hsv")
+    return P.with_hsv(load(spark, sf_dir, "pixels")).groupBy("roi_id", L.color_label_en(h, s, v).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def shape_label_en(spark, sf_dir):
+    args = [F.col(c) for c in ("w", "h", "area", "perimeter")]
+    return load(spark, sf_dir, "contours").select("image_id", "box_id", L.shape_label_en(*args).alias("label"))
+
+
+@query
+def foreground_pixel(spark, sf_dir):
+    h, s, v = (F.col(c) for c in "hsv")
+    return P.with_hsv(load(spark, sf_dir, "pixels")).groupBy("roi_id").agg(F.count_if(L.foreground_pixel(h, s, v)).alias("n"))
+
+
+# ---------------------------------------------------------------- matching
+
+
+def _queries(spark, sf_dir):
+    return I.clean_readings(load(spark, sf_dir, "readings")).select(*M.QUERY).distinct()
+
+
+def _imprints(spark, sf_dir):
+    return I.clean_readings(load(spark, sf_dir, "readings")).select("imprint").distinct()
+
+
+def _seed_pairs(spark, sf_dir):
+    items, queries = load(spark, sf_dir, "catalog"), _queries(spark, sf_dir)
+    seeds = M.seed_candidates(queries.select("imprint").distinct(), M.build_print_index(items))
+    return queries.join(seeds, "imprint").join(items.select("item_idx", *M.ATTRIBUTES), "item_idx"), items
+
+
+@query
+def build_print_index(spark, sf_dir):
+    return M.build_print_index(load(spark, sf_dir, "catalog"))
+
+
+@query
+def seed_candidates(spark, sf_dir):
+    seeds = M.seed_candidates(_imprints(spark, sf_dir), M.build_print_index(load(spark, sf_dir, "catalog")))
+    return seeds.groupBy("imprint").agg(F.count(F.lit(1)).alias("n"), F.sum("item_idx").alias("idx_sum"))
+
+
+@query
+def seed_fallback(spark, sf_dir):
+    return M.seed_fallback(_imprints(spark, sf_dir), M.build_print_index(load(spark, sf_dir, "catalog")))
+
+
+def _own_pairs(spark, sf_dir):
+    """Each reading with one item."""
+    readings = load(spark, sf_dir, "readings").withColumn("item_idx", F.col("reading_id") % 1999 + 1)
+    return readings.join(load(spark, sf_dir, "catalog"), "item_idx")
+
+
+@query
+def item_has_shape(spark, sf_dir):
+    a, g = F.col("drug_shape"), F.col("shape_guess")
+    return _own_pairs(spark, sf_dir).select("reading_id", M.item_has_shape(a, g).alias("rank"), M.item_has_shape(a, g, prefilter=True).alias("prefilter"))
+
+
+@query
+def item_has_color(spark, sf_dir):
+    args = [F.col(c) for c in ("color_class1", "color_class2", "color_guess")]
+    return _own_pairs(spark, sf_dir).select("reading_id", M.item_has_color(*args).alias("rank"), M.item_has_color(*args, prefilter=True).alias("prefilter"))
+
+
+@query
+def prefilter_ladder(spark, sf_dir):
+    pairs, _ = _seed_pairs(spark, sf_dir)
+    return M.prefilter_ladder(pairs).groupBy(*M.QUERY, "mode").agg(F.count(F.lit(1)).alias("n"), F.sum("item_idx").alias("idx_sum"))
+
+
+@query
+def score_candidates(spark, sf_dir):
+    pairs = _own_pairs(spark, sf_dir).withColumn("imprint", T.post_fix_imprint(F.col("imprint_raw")))
+    return pairs.select("reading_id", "item_idx", M.score_pair(F.col("imprint")).cast("int").alias("score"))
+
+
+@query
+def score_candidates_basic(spark, sf_dir):
+    pairs = _own_pairs(spark, sf_dir).withColumn("imprint", T.post_fix_imprint(F.col("imprint_raw")))
+    return pairs.select("reading_id", "item_idx", M.score_pair(F.col("imprint"), basic=True).cast("int").alias("score"))
+
+
+@query
+def text_score_join(spark, sf_dir):
+    scores = M.text_score_join(_imprints(spark, sf_dir), load(spark, sf_dir, "catalog"))
+    return scores.groupBy("imprint").agg(F.count(F.lit(1)).alias("n"), F.sum("text_score").alias("total"), F.sum(F.col("text_score") * F.col("item_idx")).alias("weighed"))
+
+
+@query
+def topk_candidates(spark, sf_dir):
+    """Readings' queries with candidates: the best five of the seeds, without the ladder."""
+    pairs, items = _seed_pairs(spark, sf_dir)
+    scored = M.score_candidates(pairs, M.text_score_join(_imprints(spark, sf_dir), items))
+    return M.topk_candidates(scored).select(*M.QUERY, "item_idx", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def fallback_topk(spark, sf_dir):
+    items, queries = load(spark, sf_dir, "catalog"), _queries(spark, sf_dir)
+    missed = queries.join(M.seed_fallback(queries.select("imprint").distinct(), M.build_print_index(items)), "imprint", "left_semi")
+    best, _ = M.fallback_topk(missed, items, M.text_score_join(missed.select("imprint").distinct(), items))
+    return best.select(*M.QUERY, "mode", "item_idx", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def _flat(results: DataFrame) -> DataFrame:
+    c = results.select("reading_id", "ocr_text", listed(F.col("ocr_variants")).alias("ocr_variants"), "shape_guess", "color_guess", "note", F.posexplode_outer("candidates").alias("pos", "c"))
+    return c.select("reading_id", "ocr_text", "ocr_variants", "shape_guess", "color_guess", "note", (F.col("pos") + 1).cast("long").alias("rank"), "c.item_idx", "c.item_name", "c.score", "c.match_level", "c.imprint", "c.color", "c.shape")
+
+
+@query
+def identify_batch(spark, sf_dir):
+    return _flat(I.identify_batch(load(spark, sf_dir, "readings"), load(spark, sf_dir, "catalog")))
+
+
+@query
+def identify_one_batch(spark, sf_dir):
+    return _flat(I.identify_one_batch(load(spark, sf_dir, "readings"), load(spark, sf_dir, "catalog")))
+
+
+@query
+def nest_response(spark, sf_dir):
+    readings = load(spark, sf_dir, "readings")
+    results = I.identify_batch(readings, load(spark, sf_dir, "catalog"))
+    regions = readings.select("reading_id", F.floor(F.col("reading_id") / 6).cast("long").alias("image_id"), (F.col("reading_id") % 6).alias("roi_index"))
+    nested = I.nest_response(results, regions)
+    return nested.select("image_id", F.size("pills").cast("long").alias("n_pills"), F.array_join(F.transform("pills", lambda p: F.concat_ws(":", p["roi_index"].cast("string"), p["ocr_text"], F.array_join(F.transform(p["candidates"], lambda c: c["item_idx"].cast("string")), "+"))), "|").alias("pills"), "ocr_text")
+
+
+# ---------------------------------------------------------------- OCR
+
+
+@query
+def ocr_pass_text(spark, sf_dir):
+    lines = load(spark, sf_dir, "ocr_lines")
+    return O.ocr_pass_text(lines).join(O.ocr_pass_text(lines, basic=True).withColumnRenamed("text", "basic"), ["roi_id", "pass_no"])
+
+
+@query
+def ocr_cascade(spark, sf_dir):
+    return O.ocr_cascade(O.ocr_pass_text(load(spark, sf_dir, "ocr_lines")))
+
+
+@query
+def ocr_sweep_best(spark, sf_dir):
+    return O.ocr_sweep_best(load(spark, sf_dir, "ocr_attempts"))
+
+
+@query
+def merge_roi_text(spark, sf_dir):
+    cascade = O.ocr_cascade(O.ocr_pass_text(load(spark, sf_dir, "ocr_lines")))
+    return O.merge_roi_text(cascade.withColumn("image_id", F.col("roi_id") % 50))
+
+
+@query
+def route_imprint(spark, sf_dir):
+    cascade = O.ocr_cascade(O.ocr_pass_text(load(spark, sf_dir, "ocr_lines")))
+    sweep = O.ocr_sweep_best(load(spark, sf_dir, "ocr_attempts"))
+    radial = cascade.select("roi_id", F.substring("text", 1, 2 + 0).alias("text")).filter("roi_id % 4 <> 0").union(cascade.filter("roi_id % 4 = 0").select("roi_id", F.substring("text", 1, 9).alias("text")))
+    kind = F.element_at(F.array(*map(F.lit, ("printed", "debossed", "debossed", "unknown"))), (F.col("roi_id") % 4 + 1).cast("int"))
+    regions = sweep.select("roi_id", (F.col("roi_id") % 11 != 0).alias("has_detector"), (F.col("roi_id") % 5 == 0).alias("is_capsule"), kind.alias("imprint_type"))
+    return O.route_imprint(regions, cascade, radial, sweep)
+
+
+# ---------------------------------------------------------------- detections
+
+
+def _scored(spark, sf_dir):
+    conf = F.col("conf")
+    scores = F.array(conf, 1 - conf, F.abs(conf - 0.5))
+    corner = lambda a: ((F.col(f"{a}0") + F.col(f"{a}1")) / 2).alias(f"c{a}")
+    return load(spark, sf_dir, "detections").select("image_id", F.col("det_id").alias("anchor_id"), corner("x"), corner("y"), (F.col("x1") - F.col("x0")).cast("double").alias("w"), (F.col("y1") - F.col("y0")).cast("double").alias("h"), scores.alias("scores"))
+
+
+@query
+def detection_argmax(spark, sf_dir):
+    return D.detection_argmax(_scored(spark, sf_dir), 0.55).select("image_id", "anchor_id", "class_id", "conf")
+
+
+@query
+def boxes_xyxy(spark, sf_dir):
+    return D.boxes_xyxy(_scored(spark, sf_dir)).select("image_id", "anchor_id", "x0", "y0", "x1", "y1")
+
+
+def _sized(spark, sf_dir):
+    boxes = load(spark, sf_dir, "detections").withColumns({"img_w": F.lit(1280), "img_h": F.lit(853)})
+    return D.unletterbox(boxes)
+
+
+@query
+def unletterbox(spark, sf_dir):
+    return _sized(spark, sf_dir).select("image_id", "det_id", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query
+def to_char_detections(spark, sf_dir):
+    return D.to_char_detections(_sized(spark, sf_dir), Y.read_class_map(spark)).select("image_id", "det_id", "ch", "x0", "y0", "x1", "y1")
+
+
+def _chars(spark, sf_dir):
+    dets = load(spark, sf_dir, "detections").join(F.broadcast(Y.read_class_map(spark)), "class_id")
+    return dets.withColumns({"img_w": F.lit(640), "img_h": F.lit(480)})
+
+
+@query
+def decode_radial(spark, sf_dir):
+    return D.decode_radial(_chars(spark, sf_dir))
+
+
+@query
+def decode_linear(spark, sf_dir):
+    return D.decode_linear(_chars(spark, sf_dir))
+
+
+@query
+def nms_boxes(spark, sf_dir):
+    boxes = D.boxes_xyxy(D.detection_argmax(_scored(spark, sf_dir)))
+    return D.nms_boxes(boxes)
+
+
+@query
+def select_rois(spark, sf_dir):
+    return _wide(D.select_rois(load(spark, sf_dir, "contours")))
+
+
+@query
+def select_rois_basic(spark, sf_dir):
+    return _wide(D.select_rois(load(spark, sf_dir, "contours"), basic=True))
+
+
+def _wide(df: DataFrame) -> DataFrame:
+    return df.select("image_id", *[F.col(c).cast("long").alias(c) for c in df.columns if c != "image_id"])
+
+
+@query
+def auto_crop_box(spark, sf_dir):
+    return _wide(D.auto_crop_box(load(spark, sf_dir, "contours")))
+
+
+@query
+def text_union_box(spark, sf_dir):
+    return _wide(D.text_union_box(load(spark, sf_dir, "contours")))
+
+
+# ---------------------------------------------------------------- pixels
+
+
+def _sizes(pixels: DataFrame) -> DataFrame:
+    return pixels.select("roi_id").distinct().withColumns({"w": F.lit(100), "h": F.lit(80)})
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@query
+def bgr_to_hsv(spark, sf_dir):
+    rows = P.with_hsv(load(spark, sf_dir, "pixels"))
+    return rows.groupBy("roi_id").agg(*[F.sum(c).alias(c) for c in "hsv"])
+
+
+@query
+def mask_mean_color(spark, sf_dir):
+    pixels = load(spark, sf_dir, "pixels")
+    single = P.mask_mean_color(pixels, single=True).select("roi_id", F.col("label").alias("single"))
+    return _rounded(P.mask_mean_color(pixels), "h", "s", "v").join(single, "roi_id")
+
+
+@query
+def capsule_half_colors(spark, sf_dir):
+    pixels = load(spark, sf_dir, "pixels")
+    return P.capsule_half_colors(pixels, _sizes(pixels).select("roi_id", "w"))
+
+
+@query
+def center_mean_hsv(spark, sf_dir):
+    pixels = load(spark, sf_dir, "pixels")
+    return _rounded(P.center_mean_hsv(pixels, _sizes(pixels)), "h", "s", "v")
+
+
+@query
+def mask_tight_box(spark, sf_dir):
+    pixels = load(spark, sf_dir, "pixels").withColumn("in_mask", F.col("in_mask") & (F.col("x") > F.col("roi_id") % 60) & (F.col("y") < 70))
+    out = P.mask_tight_box(pixels, _sizes(pixels))
+    return out.select("roi_id", *[F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query
+def ink_score(spark, sf_dir):
+    return _rounded(P.ink_score(load(spark, sf_dir, "pixels")), "ink")
+
+
+@query
+def deboss_score(spark, sf_dir):
+    return P.deboss_score(P.gray_images(load(spark, sf_dir, "pixels"), 100, 80))
+
+
+# ---------------------------------------------------------------- label corpus
+
+
+@query
+def synth_tokens(spark, sf_dir):
+    return C.synth_tokens(load(spark, sf_dir, "readings").select(F.col("reading_id").alias("id")))
+
+
+@query
+def assign_split(spark, sf_dir):
+    return load(spark, sf_dir, "readings").groupBy(C.assign_split(F.col("reading_id")).alias("split")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
