@@ -17,6 +17,7 @@ from ..storage import cut
 STRONG_FROM = 30
 TOP = 5
 QUERY = ("imprint", "shape_guess", "color_guess")
+ATTRIBUTES = ("drug_shape", "color_class1", "color_class2")
 
 
 def build_print_index(items: DataFrame) -> DataFrame:
@@ -66,6 +67,34 @@ def _matched(prefilter: bool = False) -> tuple[Column, Column]:
     )
 
 
+def seed_pairs(queries: DataFrame, seeds: DataFrame, items: DataFrame) -> DataFrame:
+    """Queries with their candidates' attributes and flags.
+
+    Aliases are listed once for each query and attributes stripped once for each item, so that a pair costs
+    no more than looking into short arrays.
+    """
+    shape, color = F.col("shape_guess"), F.col("color_guess")
+    lists = {"_s": T.shape_aliases(shape, stripped=True), "_c": T.color_aliases_rank(color), "_sp": T.shape_aliases(shape), "_cp": T.color_aliases_prefilter(color)}
+    bare = [T.strip(F.col(c)).alias(f"_{c}") for c in ATTRIBUTES]
+    pairs = queries.withColumns(lists).join(seeds, "imprint").join(items.select("item_idx", *ATTRIBUTES, *bare), "item_idx")
+    holds = lambda names, *values: F.coalesce(F.array_contains(names, values[0]), F.lit(False)) | (F.coalesce(F.array_contains(names, values[1]), F.lit(False)) if len(values) > 1 else F.lit(False))
+    flags = {
+        "_hs": holds("_s", F.col("_drug_shape")),
+        "_hc": holds("_c", F.col("_color_class1"), F.col("_color_class2")),
+        "_ps": (shape == "") | holds("_sp", F.col("_drug_shape")),
+        "_pc": (color == "") | holds("_cp", F.col("_color_class1"), F.col("_color_class2")),
+    }
+    return pairs.select(*QUERY, "item_idx", *[v.alias(k) for k, v in flags.items()])
+
+
+def _flagged(pairs: DataFrame) -> DataFrame:
+    """pairs with their flags, from their attributes where they have none yet."""
+    if "_hs" in pairs.columns:
+        return pairs
+    (hs, hc), (ps, pc) = _matched(), _matched(prefilter=True)
+    return pairs.withColumns({"_hs": hs, "_hc": hc, "_ps": ps, "_pc": pc})
+
+
 def ladder_mode(strong: Column, mid: Column, weak: Column) -> Column:
     """The first rule that leaves STRONG_FROM items or more."""
     return F.when(strong >= STRONG_FROM, "strong").when(mid >= STRONG_FROM, "mid").when(weak >= STRONG_FROM, "weak").otherwise("none")
@@ -76,13 +105,12 @@ def passes_ladder(mode: Column, shape: Column, color: Column) -> Column:
 
 
 def prefilter_ladder(pairs: DataFrame) -> DataFrame:
-    """pairs (a query's columns, item_idx and the item's attributes) that the ladder leaves, with their mode."""
-    shape, color = _matched(prefilter=True)
+    """pairs (a query's columns, item_idx and flags or attributes) that the ladder leaves, with their mode."""
     per_query = W.partitionBy(*QUERY)
-    flagged = pairs.withColumns({"_shape": shape, "_color": color})
+    shape, color = F.col("_ps"), F.col("_pc")
     count = lambda c: F.count_if(c).over(per_query)
-    mode = ladder_mode(count(F.col("_shape") & F.col("_color")), count(F.col("_shape")), count(F.col("_color")))
-    return flagged.withColumn("mode", mode).filter(passes_ladder(F.col("mode"), F.col("_shape"), F.col("_color"))).drop("_shape", "_color")
+    rows = _flagged(pairs).withColumn("mode", ladder_mode(count(shape & color), count(shape), count(color)))
+    return rows.filter(passes_ladder(F.col("mode"), shape, color))
 
 
 def score_pair(imprint: Column, basic: bool = False) -> Column:
@@ -115,13 +143,13 @@ def text_score_join(imprints: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def score_candidates(pairs: DataFrame, text_scores: DataFrame) -> DataFrame:
-    """pairs with their score: text by join, attributes from the row."""
-    shape, color = _matched()
-    joined = pairs.join(text_scores, ["imprint", "item_idx"], "left")
+    """pairs with their score: text by join, attributes from the flags."""
+    shape, color = F.col("_hs"), F.col("_hc")
+    joined = _flagged(pairs).join(text_scores, ["imprint", "item_idx"], "left")
     extra = shape.cast("int") * 8 + color.cast("int") * 8
     alone = shape.cast("int") * 25 + color.cast("int") * 25 + (shape & color).cast("int") * 20
     score = F.when(T.rank_norm(F.col("imprint")) == "", alone).otherwise(F.coalesce("text_score", F.lit(0)) + extra)
-    return joined.withColumn("score", score.cast("int")).drop("text_score")
+    return joined.withColumn("score", score.cast("int")).drop("text_score", "_hs", "_hc", "_ps", "_pc")
 
 
 def topk_candidates(scored: DataFrame, k: int = TOP) -> DataFrame:
@@ -132,8 +160,6 @@ def topk_candidates(scored: DataFrame, k: int = TOP) -> DataFrame:
 
 # ---------------------------------------------------------------- queries without a candidate
 
-ATTRIBUTES = ("drug_shape", "color_class1", "color_class2")
-
 
 def attribute_classes(items: DataFrame, k: int = TOP, salts: int = 32) -> DataFrame:
     """Items by (shape, colour, colour): number of items and the k lowest item_idx.

@@ -97,7 +97,17 @@ def gray_images(pixels: DataFrame, w: int, h: int) -> DataFrame:
     """(roi_id, w, h, gray, mask) from a pixel table; missing pixels are 0, of doubled ones the greatest grey counts."""
     gray = F.rint(F.col("r") * 0.299 + F.col("g") * 0.587 + F.col("b") * 0.114).cast("int")
     cell = pixels.groupBy("roi_id", (F.col("y") * w + F.col("x")).alias("at")).agg(F.max(gray).alias("v"), F.max(F.col("in_mask").cast("int")).alias("m"))
-    own = cell.groupBy("roi_id").agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("v", "m")))).alias("cells"))
-    places = F.sequence(F.lit(0), F.lit(w * h - 1))
-    bytes_of = lambda f: F.unhex(F.array_join(F.transform(places, lambda i: F.lpad(F.hex(F.coalesce(F.try_element_at("cells", i).getField(f), F.lit(0))), 2, "0")), ""))
-    return own.select("roi_id", F.lit(w).alias("w"), F.lit(h).alias("h"), bytes_of("v").alias("gray"), bytes_of("m").alias("mask"))
+    own = cell.groupBy("roi_id").agg(F.collect_list(F.struct("at", "v", "m")).alias("c"))
+    own = own.select("roi_id", F.col("c.at").alias("at"), F.col("c.v").alias("v"), F.col("c.m").alias("m"))
+
+    def draw(batches):
+        for batch in batches:
+            images = {"v": [], "m": []}
+            for i, at in enumerate(batch["at"]):
+                for k, out in images.items():
+                    plane = np.zeros(w * h, np.uint8)
+                    plane[at] = batch[k].iloc[i]
+                    out.append(plane.tobytes())
+            yield pd.DataFrame({"roi_id": batch["roi_id"], "w": w, "h": h, "gray": images["v"], "mask": images["m"]})
+
+    return own.mapInPandas(draw, "roi_id long, w int, h int, gray binary, mask binary")

@@ -26,8 +26,7 @@ def best_of_queries(queries: DataFrame, items: DataFrame, ladder: bool = True, k
     index = M.build_print_index(items)
     seeds = cut(M.seed_candidates(imprints, index))
     text_scores = cut(M.text_score_join(imprints, items))
-    attributes = items.select("item_idx", *M.ATTRIBUTES)
-    pairs = queries.join(seeds, "imprint").join(attributes, "item_idx")
+    pairs = M.seed_pairs(queries, seeds, items)
     pairs = M.prefilter_ladder(pairs) if ladder else pairs.withColumn("mode", F.lit("single"))
     scored = M.score_candidates(pairs, text_scores).select(*M.QUERY, "mode", "item_idx", "score")
     hit = M.topk_candidates(scored, k)

@@ -339,7 +339,7 @@ def _imprints(spark, sf_dir):
 def _seed_pairs(spark, sf_dir):
     items, queries = load(spark, sf_dir, "catalog"), _queries(spark, sf_dir)
     seeds = M.seed_candidates(queries.select("imprint").distinct(), M.build_print_index(items))
-    return queries.join(seeds, "imprint").join(items.select("item_idx", *M.ATTRIBUTES), "item_idx"), items
+    return M.seed_pairs(queries, seeds, items), items
 
 
 @query
