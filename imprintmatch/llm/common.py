@@ -2,37 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..storage import cut, new_folder, shared_dir  # noqa: F401
+
 #: Words are runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def new_folder(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+def dealt_table(df: DataFrame, key: str, kind: str) -> tuple[DataFrame, Callable[[], None]]:
+    """df as a bucketed table in the shared folder, and what removes it: joins on key do not shuffle it again."""
+    spark = df.sparkSession
+    path, name = new_folder(spark, kind), f"{kind}_{uuid.uuid4().hex}"
+    df.write.bucketBy(shuffle_partitions(spark), key).sortBy(key).option("path", path).saveAsTable(name)
 
+    def drop() -> None:
+        spark.sql(f"drop table if exists {name}")
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from there; survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return spark.table(name), drop
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -26,18 +26,3 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
         if not changed:
             return labels
-
-
-def merge(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
-    """labels after more edges: the labels of their ends are joined into components of their own."""
-    if labels is None:
-        return components(edges)
-    ends = edges
-    for end in ("a", "b"):
-        named = labels.select(F.col("node").alias(end), F.col("label").alias("_l"))
-        ends = ends.join(named, end, "left").withColumn(end, F.coalesce("_l", end)).drop("_l")
-    moved = components(ends).select(F.col("node").alias("label"), F.col("label").alias("_to"))
-    known = labels.join(moved, "label", "left").select("node", F.coalesce("_to", "label").alias("label"))
-    fresh = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct().join(labels, "node", "left_anti")
-    fresh = fresh.join(moved.withColumnRenamed("label", "node"), "node", "left").select("node", F.coalesce("_to", "node").alias("label"))
-    return cut(known.union(fresh))

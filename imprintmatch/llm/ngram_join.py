@@ -2,23 +2,26 @@
 
 Documents with equal sets form one class, and classes are compared.  Shingles are hashed into groups; a
 class's group counts are its point, and the sum of coordinate minima of two points bounds their overlap
-from above.  Candidates come from an index of blocks: with all shingles in one order, rare before
-frequent, two sets of similarity t share one of their first n - ceil(t n) + 1.  Blocks of up to
-`small` classes give pairs, counted over all blocks; larger ones are linked through pivots first, and
-only pairs that are still in different components are compared one by one.  Survivors of the bound are
-verified on the whole sets.
+from above.  With all shingles in one order, rare before frequent, two sets of similarity t share one of
+their first n - ceil(t n) + 1: such a shingle makes a block, and all blocks with the same pivot class make
+a cluster, so that every pair to find stands in a cluster.  Clusters are cut into leaves of bounded size.
+Pairs of leaves are searched as in an R-tree: first the boxes of the leaves, then the points; classes with
+a surviving partner are verified on their whole sets, and each pair of leaves gives links enough for its
+components, not all of its pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut
-from .components import merge
+from .common import cut, dealt_table, shuffle_partitions
+from .components import components
 from .hashing import doc_shingles, mix64
 from .url_filter import Level, _level
 
@@ -56,13 +59,19 @@ def node_of(own: np.ndarray) -> int:
     return int(mix64(np.array([mix64(own).sum() + np.uint64(len(own))], np.uint64)).view(np.int64)[0])
 
 
+def _pieces(batch, rows: int = 512):
+    """A batch in parts, so that what is made of it stays small."""
+    for first in range(0, batch.num_rows, rows):
+        yield batch.slice(first, rows)
+
+
 def _prefixes(k: int, heavy: np.ndarray):
     order = np.argsort(heavy)
     known = heavy[order]
 
     def make(batches):
-        for batch in batches:
-            sizes, nodes, rare, often = [], [], [], []
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
+            sizes, nodes, points, rare, often = [], [], [], [], []
             for own in doc_shingles(batch.column("text"), k):
                 n = len(own)
                 length = n - -(-NUM * n // DEN) + 1 if n else 0
@@ -74,150 +83,243 @@ def _prefixes(k: int, heavy: np.ndarray):
                     light, dense = own[:length], own[:0]
                 sizes.append(n)
                 nodes.append(node_of(own) if n else None)
+                points.append(point(own).tobytes())
                 rare.append(light.view(np.int64))
                 often.append(dense[: length - len(light)].view(np.int64))
-            lists = [pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(x) for x in part])].astype(np.int32), pa.array(np.concatenate(part) if part else np.zeros(0, np.int64))) for part in (rare, often)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *lists], names=["doc_id", "n", "node", "rare", "often"])
+            lists = [pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(x) for x in part])].astype(np.int32), pa.array(np.concatenate(part))) for part in (rare, often)]
+            ids = [batch.column("doc_id").cast(pa.int64()), batch.column("row")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary()), *lists], names=["doc_id", "row", "n", "node", "point", "rare", "often"])
 
     return make
 
 
 def groups(n: int) -> int:
-    """Number of groups, a power of two that follows the size, so that points of one band can be folded."""
-    return 1 << max(4, min(10, int(n // 4).bit_length()))
+    """Number of groups: a power of two of about half the size, so that points can be folded to fewer groups."""
+    return 1 << max(4, min(12, int(n // 2).bit_length()))
 
 
 def point(own: np.ndarray) -> np.ndarray:
     g = groups(len(own))
-    return np.bincount((own & np.uint64(g - 1)).astype(np.int64), minlength=g).astype(np.uint32)
-
-
-def _sets(k: int):
-    def make(batches):
-        for batch in batches:
-            own = {node_of(s): s for s in doc_shingles(batch.column("text"), k) if len(s)}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(own), pa.int64()), pa.array([point(s).tobytes() for s in own.values()], pa.binary()), pa.array([s.tobytes() for s in own.values()], pa.binary())],
-                names=["node", "point", "members"],
-            )
-
-    return make
-
-
-def bound(a: np.ndarray, b: np.ndarray) -> int:
-    """The overlap of two sets is at most the summed minima of their points, folded to one size."""
-    if len(a) > len(b):
-        a, b = b, a
-    return int(np.minimum(a, b.reshape(-1, len(a)).sum(axis=0)).sum())
-
-
-def _verify(batches):
-    for batch in batches:
-        kept = []
-        cols = [batch.column(c) for c in ("point_a", "point_b", "members_a", "members_b")]
-        for i in range(batch.num_rows):
-            pa_, pb = (np.frombuffer(cols[j][i].as_py(), np.uint32) for j in (0, 1))
-            na, nb = int(pa_.sum()), int(pb.sum())
-            # overlap / (na + nb - overlap) >= NUM / DEN
-            need = -(-NUM * (na + nb) // (NUM + DEN))
-            if bound(pa_, pb) < need:
-                kept.append(False)
-                continue
-            x, y = (np.frombuffer(cols[j][i].as_py(), np.uint64) for j in (2, 3))
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            kept.append(int((y[at] == x).sum()) >= need)
-        mask = pa.array(kept, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+    counts = np.bincount((own & np.uint64(g - 1)).astype(np.int64), minlength=g)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar."""
-    left = sets.select(F.col("node").alias("a"), F.col("point").alias("point_a"), F.col("members").alias("members_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("point").alias("point_b"), F.col("members").alias("members_b"))
-    return cut(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_verify, "a long, b long"))
+def read_point(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == groups(n) else np.uint32)
 
 
-def _near_size(a: Column, b: Column) -> Column:
-    return DEN * F.least(a, b) >= NUM * F.greatest(a, b)
+def folded(p: np.ndarray, g: int) -> np.ndarray:
+    """The counts in g groups of the same hash."""
+    return p.reshape(-1, g).sum(axis=0, dtype=np.int64) if len(p) > g else p.astype(np.int64)
 
 
-def _enough(shared: Column, a: Column, b: Column) -> Column:
-    """Shared shingles of two prefixes that a similar pair has at least: beyond the shorter-reaching
-    prefix no more than the rest of one set can be common."""
-    need = F.ceil(F.lit(NUM) * (a + b) / F.lit(NUM + DEN))
-    rest = F.ceil(F.lit(NUM) * F.greatest(a, b) / F.lit(DEN)) - 1
-    return shared + rest >= need
-
+def _sets(k: int):
+    def make(batches):
+        seen: set[int] = set()  # classes of this task
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
+            own = {}
+            for members in doc_shingles(batch.column("text"), k):
+                node = node_of(members) if len(members) else None
+                if node is not None and node not in seen:
+                    seen.add(node)
+                    own[node] = members
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([m.tobytes() for m in own.values()], pa.binary())], names=["node", "members"])
 
-def _members(a: DataFrame) -> DataFrame:
-    return a.select("s", F.col("node").alias("b"), F.col("n").alias("nb"))
+    return make
 
 
-def similar_classes(docs: DataFrame, k: int = 5, small: int = 16, rounds: int = 3) -> tuple[DataFrame, DataFrame | None]:
-    """(features per document, labels of linked classes)."""
-    slim = docs.select("doc_id", "text")
-    feats = cut(slim.mapInArrow(_prefixes(k, heavy_shingles(slim, k)), "doc_id long, n long, node long, rare array<long>, often array<long>"))
-    rare = feats.select("node", "n", F.explode("rare").alias("s"))
-    # Copies of one class repeat its postings: distinct is partly done before the shuffle.
-    often = feats.filter(F.size("often") > 0).select("node", "n", F.explode("often").alias("s")).distinct()
+def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Summed minima of every point of a (rows) with every point of b: no overlap is greater."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    step = max(1, (1 << 22) // max(1, len(b) * a.shape[1]))
+    for i in range(0, len(a), step):
+        out[i : i + step] = np.minimum(a[i : i + step, None, :], b[None, :, :]).sum(axis=2, dtype=np.int64)
+    return out
+
+
+def needed(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Overlap from which two sets of these sizes are similar."""
+    return -(-NUM * (na + nb) // (NUM + DEN))
+
+
+def _candidates(n: np.ndarray, points: list[np.ndarray], leaf: np.ndarray) -> np.ndarray:
+    """Pairs (i < j) of rows of two leaves (or of one, 0) whose sizes and points allow a link."""
+    g = min(64, *(len(p) for p in points))
+    at = np.array([folded(p, g) for p in points])
+    at = at.astype(np.uint16) if at.max() < 1 << 16 else at
+    one, other = (np.flatnonzero(leaf == 0), np.flatnonzero(leaf == 1)) if leaf.any() else (np.arange(len(n)), np.arange(len(n)))
+    if not len(one) or not len(other):
+        return np.zeros((0, 2), int)
+    # The boxes of the leaves: beyond their greatest coordinates no pair of points can reach.
+    if np.minimum(at[one].max(axis=0), at[other].max(axis=0)).sum(dtype=np.int64) < needed(n[one].min(), n[other].min()):
+        return np.zeros((0, 2), int)
+    na, nb = n[one][:, None], n[other][None, :]
+    fits = (DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb)) & (bound(at[one], at[other]) >= needed(na, nb))
+    i, j = np.nonzero(fits)
+    pairs = np.column_stack([one[i], other[j]])
+    return _finer(n, points, pairs if leaf.any() else pairs[pairs[:, 0] < pairs[:, 1]])
+
+
+def _finer(n: np.ndarray, points: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """The pairs that the bound still leaves with as many groups as both points have."""
+    kept, known = [], {}
+    ends = np.flatnonzero(np.r_[pairs[1:, 0] != pairs[:-1, 0], True]) + 1 if len(pairs) else []
+    first = 0
+    for end in ends:
+        i, others = pairs[first, 0], pairs[first:end, 1]
+        sizes = np.array([len(points[j]) for j in others])
+        for size in np.unique(sizes):  # one or two: partners differ by a third at most
+            some, g = others[sizes == size], min(int(size), len(points[i]))
+            for x in (i, *some):
+                if (x, g) not in known:
+                    known[x, g] = folded(points[x], g).astype(np.uint32)
+            overlap = np.minimum(known[i, g], np.array([known[j, g] for j in some])).sum(axis=1, dtype=np.int64)
+            good = some[overlap >= needed(n[i], n[some])]
+            kept.append(np.column_stack([np.full(len(good), i), good]))
+        first = end
+    return np.concatenate(kept) if kept else np.zeros((0, 2), int)
+
+
+def _verified(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """The similar pairs among pairs, from exact overlaps; shingles are taken some thousands at a time."""
+    rows = np.unique(pairs)
+    every = np.concatenate([sets[r] for r in rows])
+    owner = np.repeat(np.arange(len(rows)), [len(sets[r]) for r in rows])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    number = np.cumsum(np.r_[False, every[1:] != every[:-1]]) if len(every) else np.zeros(0, int)
+    common = np.bincount(number)[number] > 1
+    number, owner = np.unique(number[common], return_inverse=True)[1], owner[common]
+    overlap, step = np.zeros((len(rows), len(rows))), 8192
+    for first in range(0, int(number.max()) + 1 if len(number) else 0, step):
+        lo, hi = np.searchsorted(number, (first, first + step))
+        has = np.zeros((len(rows), step), np.float32)
+        has[owner[lo:hi], number[lo:hi] - first] = 1
+        overlap += has @ has.T
+    at = np.searchsorted(rows, pairs)
+    size = np.array([len(s) for s in sets])
+    return pairs[overlap[at[:, 0], at[:, 1]] >= needed(size[pairs[:, 0]], size[pairs[:, 1]])]
+
+
+def _spanning(pairs: np.ndarray, count: int) -> np.ndarray:
+    """Pairs that connect all that pairs connects: fewer than rows."""
+    parent = list(range(count))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept = []
+    for i, j in pairs.tolist():
+        a, b = find(i), find(j)
+        if a != b:
+            parent[b] = a
+            kept.append((i, j))
+    return np.array(kept, int).reshape(-1, 2)
+
+
+def _by_group(batches, columns: list[str]):
+    """Rows of each (p, i, j) of a sorted partition together; a group is two leaves at most."""
+    held: list[tuple] = []
+    last = None
+    for batch in (piece for whole in batches for piece in _pieces(whole)):
+        keys = zip(*(batch.column(c).to_pylist() for c in ("p", "i", "j")))
+        for key, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in columns))):
+            if key != last and held:
+                yield last, held
+                held = []
+            last = key
+            held.append(row)
+    if held:
+        yield last, held
+
+
+def _search(batches):
+    """Memberships (p, i, j, node, leaf) of classes with a partner that the bound leaves."""
+    for key, rows in _by_group(batches, ["node", "leaf", "n", "point"]):
+        if len(rows) < 2:
+            continue
+        n = np.array([r[2] for r in rows])
+        leaf = np.array([r[1] for r in rows])
+        used = np.unique(_candidates(n, [read_point(r[3], r[2]) for r in rows], leaf))
+        if len(used):
+            yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(used), pa.int64()) for x in key), pa.array([rows[u][0] for u in used], pa.int64()), pa.array(leaf[used], pa.int64())], names=["p", "i", "j", "node", "leaf"])
+
+
+def _links(batches):
+    """Links (a, b) that connect the similar classes of each group."""
+    for _, rows in _by_group(batches, ["node", "leaf", "members"]):
+        if len(rows) < 2:
+            continue
+        sets, leaf = [np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[1] for r in rows])
+        pairs = _candidates(np.array([len(s) for s in sets]), [point(s) for s in sets], leaf)
+        if len(pairs):
+            pairs = _spanning(_verified(sets, pairs), len(rows))
+            yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in pairs[:, k]], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _fetched(docs: DataFrame, wanted: DataFrame, k: int) -> tuple[DataFrame, Callable[[], None]]:
+    """Sets of the wanted classes (key), dealt out by class, and what removes them."""
+    # A filter of bounded size keeps most other classes from the shuffle; the join is exact.
+    sieve: Level = _level(wanted, max(8, min(wanted.count(), 1 << 23)), 7, 8, 1 << 26)
+    sets = docs.select("text").mapInArrow(_sets(k), "node long, members binary").filter(sieve.passes(F.col("node")))
+    sets = sets.repartition(shuffle_partitions(docs.sparkSession), "node").dropDuplicates(["node"])
+    return dealt_table(sets.join(wanted.withColumnRenamed("key", "node"), "node", "left_semi"), "node", "sets")
+
+
+def _clusters(feats: DataFrame) -> DataFrame:
+    """(p, node): the classes of all blocks of two or more whose pivot is p, p itself among them."""
+    rare = feats.select("node", F.explode("rare").alias("s")).repartition("s")
     in_block = W.partitionBy("s")
-    ranged = rare.repartition("s").select("s", "node", "n", F.min("node").over(in_block).alias("lo"), F.max("node").over(in_block).alias("hi"))
-    light = ranged.filter("lo < hi").select("s", "node", "n").distinct()
-    light = light.withColumn("size", F.count(F.lit(1)).over(in_block))
-    shared = cut(light.unionByName(often.withColumn("size", F.lit(small + 1).cast("long"))))
-    pairs_from, large = shared.filter(F.col("size") <= small), shared.filter(F.col("size") > small).select("s", "node", "n")
-    in_large = large.groupBy("node").agg(F.count(F.lit(1)).alias("blocks"))
-
-    near = pairs_from.select("s", F.col("node").alias("a"), F.col("n").alias("na")).join(_members(pairs_from), "s")
-    near = near.filter((F.col("a") < F.col("b")) & _near_size(F.col("na"), F.col("nb")))
-    near = near.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
-    for end in ("a", "b"):
-        near = near.join(in_large.select(F.col("node").alias(end), F.col("blocks").alias(f"large_{end}")), end, "left")
-    most = F.col("shared") + F.least(F.coalesce("large_a", F.lit(0)), F.coalesce("large_b", F.lit(0)))
-    near = cut(near.filter(_enough(most, F.col("na"), F.col("nb"))).select("a", "b"))
-
-    wanted = cut(near.select(F.col("a").alias("key")).union(near.select(F.col("b").alias("key"))).union(large.select(F.col("node").alias("key"))).distinct())
-    count = wanted.count()
-    if not count:
+    least = lambda over: F.min(F.struct(F.xxhash64("node").alias("h"), "node")).over(over)["node"]
+    rare = rare.select("node", least(in_block).alias("p"), F.min("node").over(in_block).alias("lo"), F.max("node").over(in_block).alias("hi"))
+    # Frequent shingles: copies of a class repeat its postings, so distinct is partly done before the shuffle, and
+    # the join on a block that holds much of the corpus can be split.
+    often = cut(feats.filter(F.size("often") > 0).select("node", F.explode("often").alias("s")).distinct())
+    pivots = cut(often.groupBy("s").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("p")))
+    often = often.join(pivots, "s").select("node", "p")
+    return rare.filter("lo < hi").select("p", "node").union(often.select("p", "node")).distinct()
+
+
+def _groups(clusters: DataFrame, leaf_size: int, *more: str) -> DataFrame:
+    """(p, i, j, node, leaf): every class in all pairs of leaves of its clusters that its own leaf is in."""
+    sizes = clusters.groupBy("p").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    parts = F.ceil(F.col("size") / leaf_size)
+    rows = clusters.join(sizes, "p").select("p", "node", *more, parts.alias("m"), F.pmod(F.xxhash64("node", F.lit(1)), parts).alias("c"))
+    rows = rows.select("p", "node", *more, "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("d"))
+    second = (F.col("c") > F.col("d")).cast("long")
+    return rows.select("p", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "node", second.alias("leaf"), *more)
+
+
+def similar_classes(docs: DataFrame, k: int = 5, leaf_size: int = 256) -> tuple[DataFrame, DataFrame | None]:
+    """(features per document, labels of linked classes)."""
+    n_parts = shuffle_partitions(docs.sparkSession)
+    slim = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    feats = cut(slim.mapInArrow(_prefixes(k, heavy_shingles(slim, k)), "doc_id long, row long, n long, node long, point binary, rare array<long>, often array<long>"))
+    clusters = cut(_clusters(feats))
+    points = feats.filter("n > 0").select("node", "n", "point").dropDuplicates(["node"])
+    feats = cut(feats.select("doc_id", "row", "n", "node"))
+    together = lambda df: df.repartition(n_parts, "p", "i", "j").sortWithinPartitions("p", "i", "j")
+    found = together(_groups(clusters.join(points.select("node", "n", "point"), "node").select("p", "node", "n", "point"), leaf_size, "n", "point")).mapInArrow(_search, "p long, i long, j long, node long, leaf long")
+    found = cut(found)
+    wanted = cut(found.select(F.col("node").alias("key")).distinct())
+    if wanted.isEmpty():
         return feats, None
-    # A filter of fixed size at most keeps the sets of other classes from the shuffle; the join is exact.
-    sieve: Level = _level(wanted, min(count, 1 << 23), 7, 8, 1 << 26)
-    sets = slim.mapInArrow(_sets(k), "node long, point binary, members binary").filter(sieve.passes(F.col("node")))
-    sets = sets.groupBy("node").agg(F.first("point").alias("point"), F.first("members").alias("members"))
-    sets = cut(sets.join(wanted.withColumnRenamed("key", "node"), "node", "left_semi"))
-
-    labels = merge(None, _verified(near, sets))
-    blocks, done = large, near
-    for turn in range(rounds):
-        named = blocks.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        spread = named.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-        blocks = cut(named.join(spread, "s").select("s", "node", "n", "label", "lo", "hi"))
-        if blocks.isEmpty():
-            return feats, labels
-        # One class of each block stands for it, another in each round; the others are compared with it.
-        pick = F.xxhash64("node", F.lit(turn))
-        pivot = blocks.filter(F.col("label") == (F.col("lo") if turn % 2 == 0 else F.col("hi"))).groupBy("s").agg(F.min_by(F.struct("node", "n", "label"), pick).alias("p"))
-        pairs = blocks.join(pivot, "s").filter((F.col("label") != F.col("p.label")) & _near_size(F.col("n"), F.col("p.n")))
-        pairs = pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-        pairs = cut(pairs.join(done, ["a", "b"], "left_anti"))
-        labels = merge(labels, _verified(pairs, sets))
-        done = cut(done.union(pairs))
-        blocks = blocks.select("s", "node", "n")
-    named = blocks.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    spread = named.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-    rest = cut(named.join(spread, "s", "left_semi"))
-    in_small = pairs_from.groupBy("node").agg(F.count(F.lit(1)).alias("blocks"))
-    far = rest.select("s", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")).join(rest.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb")), "s")
-    far = far.filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _near_size(F.col("na"), F.col("nb")))
-    far = far.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
-    for end in ("a", "b"):
-        far = far.join(in_small.select(F.col("node").alias(end), F.col("blocks").alias(f"small_{end}")), end, "left")
-    most = F.col("shared") + F.least(F.coalesce("small_a", F.lit(0)), F.coalesce("small_b", F.lit(0)))
-    far = far.filter(_enough(most, F.col("na"), F.col("nb"))).select("a", "b").join(done, ["a", "b"], "left_anti")
-    return feats, merge(labels, _verified(far, sets))
+    sets, drop = _fetched(docs, wanted, k)
+    edges = cut(together(found.join(sets, "node")).mapInArrow(_links, "a long, b long"))
+    drop()
+    return feats, None if edges.isEmpty() else components(edges)
+
+
+def _labelled(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, row, n, label) of every row of docs; label is null where a text has no word."""
+    feats, labels = similar_classes(docs, k)
+    out = feats.select("doc_id", "row", "n", "node")
+    if labels is None:
+        return out.withColumnRenamed("node", "label")
+    return out.join(labels, "node", "left").select("doc_id", "row", "n", F.coalesce("label", "node").alias("label"))
 
 
 def ngram_join(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -227,14 +329,25 @@ def ngram_join(docs: DataFrame, k: int = 5) -> DataFrame:
     than k words is one shingle; repeated rows are all returned; a null doc_id is never a component_id
     unless its component has no other.  An empty table gives an empty result.  Other columns are not read.
     """
-    feats, labels = similar_classes(docs, k)
-    out = feats.select("doc_id", F.col("n").alias("n_shingles"), "node")
-    if labels is not None:
-        out = out.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    else:
-        out = out.withColumn("label", F.col("node"))
+    out = cut(_labelled(docs, k))
     least = out.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    # Documents without words have no label; they are kept from meeting in one task of the join.
-    linked = out.filter("label is not null").join(least, "label").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
-    alone = out.filter("label is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    # Texts without words have no label; they are kept from meeting in one task of the join.
+    linked = out.filter("label is not null").join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    alone = out.filter("label is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.union(alone)
+
+
+def one_of_each(docs: DataFrame, k: int = 5) -> DataFrame:
+    """The rows of docs, with all columns, but one row of each component: that with the least doc_id.
+
+    Texts without words are no copies of each other and all stay.  docs must list its rows alike each time
+    it is read, as stored tables do.
+    """
+    name = "_row"
+    while name in docs.columns:
+        name = f"_{name}"
+    out = cut(_labelled(docs, k))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    stays = out.filter("label is not null").groupBy("label").agg(F.min(first).alias("first")).select(F.col("first.row").alias(name))
+    stays = stays.union(out.filter("label is null").select(F.col("row").alias(name)))
+    return docs.withColumn(name, F.monotonically_increasing_id()).join(stays, name, "left_semi").drop(name)
