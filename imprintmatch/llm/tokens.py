@@ -148,6 +148,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
                         part, seq = None, seq + 1
         if part:
             rows.append({"part": number, "seq": seq} | part.close())
+        enc.known.clear()  # workers live on after the task
         if rows:
             yield pa.RecordBatch.from_pylist(rows)
 
