@@ -6,8 +6,8 @@ from above.  With all shingles in one order, rare before frequent, two sets of s
 their first n - ceil(t n) + 1: such a shingle makes a block, and all blocks with the same pivot class make
 a cluster, so that every pair to find stands in a cluster.  Clusters are cut into leaves of bounded size.
 Pairs of leaves are searched as in an R-tree: first the boxes of the leaves, then the points; classes with
-a surviving partner are verified on their whole sets, and each pair of leaves gives links enough for its
-components, not all of its pairs.
+a surviving partner are verified on their whole sets, first in one leaf each, then wherever a pair left by
+the bound is not connected yet.  A pair of leaves gives links enough for its components, not all its pairs.
 """
 
 from __future__ import annotations
@@ -94,8 +94,8 @@ def _prefixes(k: int, heavy: np.ndarray):
 
 
 def groups(n: int) -> int:
-    """Number of groups: a power of two of about half the size, so that points can be folded to fewer groups."""
-    return 1 << max(4, min(12, int(n // 2).bit_length()))
+    """Number of groups: a power of two of about a quarter to half the size, so that points can be folded to fewer groups."""
+    return 1 << max(4, min(12, int(n // 4).bit_length()))
 
 
 def point(own: np.ndarray) -> np.ndarray:
@@ -201,31 +201,32 @@ def _verified(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
     return pairs[overlap[at[:, 0], at[:, 1]] >= needed(size[pairs[:, 0]], size[pairs[:, 1]])]
 
 
-def _spanning(pairs: np.ndarray, count: int) -> np.ndarray:
-    """Pairs that connect all that pairs connects: fewer than rows."""
-    parent = list(range(count))
+def _parts(pairs: np.ndarray, count: int) -> np.ndarray:
+    """For each of count rows the least row that pairs connect it with."""
+    part = np.arange(count)
+    while True:
+        new = part.copy()
+        np.minimum.at(new, pairs[:, 0], part[pairs[:, 1]])
+        np.minimum.at(new, pairs[:, 1], part[pairs[:, 0]])
+        new = new[new]
+        if (new == part).all():
+            return part
+        part = new
 
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    kept = []
-    for i, j in pairs.tolist():
-        a, b = find(i), find(j)
-        if a != b:
-            parent[b] = a
-            kept.append((i, j))
-    return np.array(kept, int).reshape(-1, 2)
+def _spanning(pairs: np.ndarray, count: int) -> np.ndarray:
+    """Pairs that connect all that pairs connects: fewer than count."""
+    part = _parts(pairs, count)
+    rest = np.flatnonzero(part != np.arange(count))
+    return np.column_stack([part[rest], rest])
 
 
 def _by_group(batches, columns: list[str]):
-    """Rows of each (p, i, j) of a sorted partition together; a group is two leaves at most."""
+    """Rows of each (p, i, j, part) of a sorted partition together; a group is two leaves at most."""
     held: list[tuple] = []
     last = None
     for batch in (piece for whole in batches for piece in _pieces(whole)):
-        keys = zip(*(batch.column(c).to_pylist() for c in ("p", "i", "j")))
+        keys = zip(*(batch.column(c).to_pylist() for c in ("p", "i", "j", "part")))
         for key, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in columns))):
             if key != last and held:
                 yield last, held
@@ -237,27 +238,35 @@ def _by_group(batches, columns: list[str]):
 
 
 def _search(batches):
-    """Memberships (p, i, j, node, leaf) of classes with a partner that the bound leaves."""
-    for key, rows in _by_group(batches, ["node", "leaf", "n", "point"]):
+    """Memberships (p, i, j, part, node, leaf) of classes with a partner that the bound leaves.
+
+    Partners of partners have one part; pairs between parts are none.
+    """
+    for (p, i, j, _), rows in _by_group(batches, ["node", "leaf", "n", "point"]):
         if len(rows) < 2:
             continue
         n = np.array([r[2] for r in rows])
         leaf = np.array([r[1] for r in rows])
-        used = np.unique(_candidates(n, [read_point(r[3], r[2]) for r in rows], leaf))
+        pairs = _candidates(n, [read_point(r[3], r[2]) for r in rows], leaf)
+        used = np.unique(pairs)
         if len(used):
-            yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(used), pa.int64()) for x in key), pa.array([rows[u][0] for u in used], pa.int64()), pa.array(leaf[used], pa.int64())], names=["p", "i", "j", "node", "leaf"])
+            where = [pa.array([x] * len(used), pa.int64()) for x in (p, i, j)]
+            part, nodes = _parts(pairs, len(rows))[used], [rows[u][0] for u in used]
+            yield pa.RecordBatch.from_arrays([*where, pa.array(part, pa.int64()), pa.array(nodes, pa.int64()), pa.array(leaf[used], pa.int64())], names=["p", "i", "j", "part", "node", "leaf"])
 
 
 def _links(batches):
-    """Links (a, b) that connect the similar classes of each group."""
-    for _, rows in _by_group(batches, ["node", "leaf", "members"]):
+    """Links (a, b) of labels that connect the similar classes of each group."""
+    for _, rows in _by_group(batches, ["label", "leaf", "members"]):
         if len(rows) < 2:
             continue
         sets, leaf = [np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[1] for r in rows])
+        labels, label = np.unique(np.array([r[0] for r in rows]), return_inverse=True)
         pairs = _candidates(np.array([len(s) for s in sets]), [point(s) for s in sets], leaf)
+        pairs = pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
         if len(pairs):
-            pairs = _spanning(_verified(sets, pairs), len(rows))
-            yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in pairs[:, k]], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            pairs = labels[_spanning(label[_verified(sets, pairs)], len(labels))]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame, k: int) -> tuple[DataFrame, Callable[[], None]]:
@@ -293,24 +302,55 @@ def _groups(clusters: DataFrame, leaf_size: int, *more: str) -> DataFrame:
     return rows.select("p", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "node", second.alias("leaf"), *more)
 
 
+def _home(found: DataFrame) -> DataFrame:
+    """Every class in one leaf only, that of its least pivot with a partner in it, and each such leaf's pivot.
+
+    Near copies share most of their pivots, so they mostly meet there, and the pivot joins the leaves of a
+    cluster.  What is missed is left to the second pass.
+    """
+    least = F.min(F.struct(F.xxhash64("p").alias("h"), "p", "i")).alias("at")
+    leaves = found.filter("i = j").groupBy("node").agg(least).select("at.p", "at.i", "node")
+    both = leaves.union(leaves.select("p", "i", F.col("p").alias("node"))).distinct()
+    return both.selectExpr("p", "i", "i as j", "0L as part", "node", "0L as leaf", "node as label")
+
+
+def _open(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """The memberships of parts whose classes have several labels yet; a part is two leaves at most."""
+    known = found.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    part = W.partitionBy("p", "i", "j", "part")
+    ends = known.withColumn("lo", F.min("label").over(part)).withColumn("hi", F.max("label").over(part))
+    return ends.filter("lo < hi").drop("lo", "hi")
+
+
 def similar_classes(docs: DataFrame, k: int = 5, leaf_size: int = 256) -> tuple[DataFrame, DataFrame | None]:
-    """(features per document, labels of linked classes)."""
+    """(features per document, labels of linked classes).
+
+    Sets are verified in two passes.  The first takes each class in one leaf; the second takes all other
+    pairs that the bound leaves, but for those that the first has connected already.
+    """
     n_parts = shuffle_partitions(docs.sparkSession)
     slim = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     feats = cut(slim.mapInArrow(_prefixes(k, heavy_shingles(slim, k)), "doc_id long, row long, n long, node long, point binary, rare array<long>, often array<long>"))
     clusters = cut(_clusters(feats))
     points = feats.filter("n > 0").select("node", "n", "point").dropDuplicates(["node"])
     feats = cut(feats.select("doc_id", "row", "n", "node"))
-    together = lambda df: df.repartition(n_parts, "p", "i", "j").sortWithinPartitions("p", "i", "j")
-    found = together(_groups(clusters.join(points.select("node", "n", "point"), "node").select("p", "node", "n", "point"), leaf_size, "n", "point")).mapInArrow(_search, "p long, i long, j long, node long, leaf long")
-    found = cut(found)
+    together = lambda df: df.repartition(n_parts, "p", "i", "j").sortWithinPartitions("p", "i", "j", "part")
+    members = clusters.join(points.select("node", "n", "point"), "node").select("p", "node", "n", "point")
+    leaves = _groups(members, leaf_size, "n", "point").withColumn("part", F.lit(0).cast("long"))
+    found = cut(together(leaves).mapInArrow(_search, "p long, i long, j long, part long, node long, leaf long"))
     wanted = cut(found.select(F.col("node").alias("key")).distinct())
     if wanted.isEmpty():
         return feats, None
     sets, drop = _fetched(docs, wanted, k)
-    edges = cut(together(found.join(sets, "node")).mapInArrow(_links, "a long, b long"))
+    verified = lambda df: cut(together(df.join(sets, "node")).mapInArrow(_links, "a long, b long"))
+    labels = components(verified(_home(found)))
+    more = verified(_open(found, labels))
     drop()
-    return feats, None if edges.isEmpty() else components(edges)
+    if not more.isEmpty():
+        joined = components(more)
+        far = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("far")), "label", "left").select("node", F.coalesce("far", "label").alias("label"))
+        labels = cut(far.union(joined.join(labels, "node", "left_anti").select("node", "label")))
+    return feats, None if labels.isEmpty() else labels
 
 
 def _labelled(docs: DataFrame, k: int) -> DataFrame:
