@@ -67,14 +67,14 @@ def _matched(prefilter: bool = False) -> tuple[Column, Column]:
     )
 
 
-def seed_pairs(queries: DataFrame, seeds: DataFrame, items: DataFrame) -> DataFrame:
+def seed_pairs(queries: DataFrame, seeds: DataFrame, items: DataFrame, basic: bool = False) -> DataFrame:
     """Queries with their candidates' attributes and flags.
 
     Aliases are listed once for each query and attributes stripped once for each item, so that a pair costs
     no more than looking into short arrays.
     """
     shape, color = F.col("shape_guess"), F.col("color_guess")
-    lists = {"_s": T.shape_aliases(shape, stripped=True), "_c": T.color_aliases_rank(color), "_sp": T.shape_aliases(shape), "_cp": T.color_aliases_prefilter(color)}
+    lists = {"_s": T.shape_aliases(shape, stripped=True), "_c": T.color_aliases_rank(color, basic), "_sp": T.shape_aliases(shape), "_cp": T.color_aliases_prefilter(color)}
     bare = [T.strip(F.col(c)).alias(f"_{c}") for c in ATTRIBUTES]
     pairs = queries.withColumns(lists).join(seeds, "imprint").join(items.select("item_idx", *ATTRIBUTES, *bare), "item_idx")
     holds = lambda names, *values: F.coalesce(F.array_contains(names, values[0]), F.lit(False)) | (F.coalesce(F.array_contains(names, values[1]), F.lit(False)) if len(values) > 1 else F.lit(False))
@@ -131,8 +131,10 @@ def score_pair(imprint: Column, basic: bool = False) -> Column:
     return F.when(empty, alone).otherwise(total + extra)
 
 
-def text_score_join(imprints: DataFrame, items: DataFrame) -> DataFrame:
+def text_score_join(imprints: DataFrame, items: DataFrame, basic: bool = False) -> DataFrame:
     """(imprint, item_idx, text_score) of pairs with a matching token, by equi-joins."""
+    if basic:
+        return _basic_text_score_join(imprints, items)
     target = imprints.select("imprint", F.explode(F.array_distinct(T.rank_tokens(F.col("imprint")))).alias("target"))
     spelled = target.select("imprint", "target", F.explode(T.rank_variants(F.col("target"))).alias("token"))
     printed = items.select("item_idx", F.explode(T.item_rank_tokens(F.col("print_front"), F.col("print_back"))).alias("token"))
@@ -142,13 +144,22 @@ def text_score_join(imprints: DataFrame, items: DataFrame) -> DataFrame:
     return scored.select("imprint", "item_idx", (total + F.when(F.size("forms") >= 2, 25).otherwise(0)).cast("int").alias("text_score"))
 
 
-def score_candidates(pairs: DataFrame, text_scores: DataFrame) -> DataFrame:
-    """pairs with their score: text by join, attributes from the flags."""
+def _basic_text_score_join(imprints: DataFrame, items: DataFrame) -> DataFrame:
+    """A token that an imprint repeats counts each time; there is no bound and no bonus."""
+    target = imprints.select("imprint", F.explode(T.rank_tokens(F.col("imprint"), True)).alias("target")).groupBy("imprint", "target").agg(F.count(F.lit(1)).alias("times"))
+    spelled = target.select("*", F.explode(F.array_distinct(T.rank_variants(F.col("target"), True))).alias("token"))
+    printed = items.select("item_idx", F.explode(F.array_distinct(T.item_rank_tokens(F.col("print_front"), F.col("print_back"), True))).alias("token"))
+    hits = spelled.join(printed, "token").select("imprint", "item_idx", "target", "times").distinct()
+    return hits.groupBy("imprint", "item_idx").agg(F.sum(F.col("times") * T.token_weight(F.col("target"), True)).cast("int").alias("text_score"))
+
+
+def score_candidates(pairs: DataFrame, text_scores: DataFrame, basic: bool = False) -> DataFrame:
+    """pairs with their score: text by join, attributes from the flags.  basic: all three are of the basic kind."""
     shape, color = F.col("_hs"), F.col("_hc")
     joined = _flagged(pairs).join(text_scores, ["imprint", "item_idx"], "left")
     extra = shape.cast("int") * 8 + color.cast("int") * 8
     alone = shape.cast("int") * 25 + color.cast("int") * 25 + (shape & color).cast("int") * 20
-    score = F.when(T.rank_norm(F.col("imprint")) == "", alone).otherwise(F.coalesce("text_score", F.lit(0)) + extra)
+    score = F.when(T.rank_norm(F.col("imprint"), basic) == "", F.lit(0) if basic else alone).otherwise(F.coalesce("text_score", F.lit(0)) + extra)
     return joined.withColumn("score", score.cast("int")).drop("text_score", "_hs", "_hc", "_ps", "_pc")
 
 

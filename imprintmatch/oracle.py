@@ -301,6 +301,31 @@ bs as (
  + 8 * {has_color('color_class1', 'color_class2', 'own.color_guess', 'basic')}::int end as int) as score
 from own join clean using (reading_id) left join bs using (reading_id)""",
 )
+#: Every candidate of every distinct query.
+ALL = f"{CLEAN},\n{INDEX},\n{SEEDS},\nsp as (select q.*, c.* from q join seeds using (imprint) join catalog c using (item_idx))"
+PER_QUERY = "select imprint, shape_guess, color_guess, count(*) as n"
+SUMS = f"{PER_QUERY}, cast(sum(score) as bigint) as total, cast(sum(score * item_idx) as bigint) as weighed"
+define("item_has_shape_all", catalog_readings(f"{ALL},\nfg as (select *, {FLAGS} from sp)") + f"{PER_QUERY}, cast(count_if(hs) as bigint) as rank, cast(count_if(ps) as bigint) as prefilter from fg group by 1, 2, 3")
+define("item_has_color_all", catalog_readings(f"{ALL},\nfg as (select *, {FLAGS} from sp)") + f"{PER_QUERY}, cast(count_if(hc) as bigint) as rank, cast(count_if(pc) as bigint) as prefilter from fg group by 1, 2, 3")
+define(
+    "score_candidates_all",
+    catalog_readings(f"{ALL},\n{SCORES},\nfg as (select *, {FLAGS} from sp)")
+    + f"""{SUMS} from (select fg.*, case when imprint = '' then 25 * hs::int + 25 * hc::int + 20 * (hs and hc)::int
+ else coalesce(text_score, 0) + 8 * hs::int + 8 * hc::int end as score from fg left join ts using (imprint, item_idx)) group by 1, 2, 3""",
+)
+define(
+    "score_candidates_basic_all",
+    catalog_readings(
+        f"""{ALL},
+bt as (select imprint, unnest({toks(strip(up('imprint')))}) as target from im),
+bi as (select item_idx, list_concat({toks(strip(up('print_front')))}, {toks(strip(up('print_back')))}) as tok from catalog),
+bs as (
+ select imprint, item_idx, sum({weight('target', True)}) as text_score from bt join seeds using (imprint) join bi using (item_idx)
+ where list_has_any([target, {flat('target')}], tok) group by 1, 2)"""
+    )
+    + f"""{SUMS} from (select sp.*, case when imprint = '' then 0 else coalesce(text_score, 0) + 8 * {has_shape('drug_shape', 'shape_guess')}::int
+ + 8 * {has_color('color_class1', 'color_class2', 'color_guess', 'basic')}::int end as score from sp left join bs using (imprint, item_idx)) group by 1, 2, 3""",
+)
 define("text_score_join", catalog_readings(f"{CLEAN},\n{SCORES}") + "select imprint, count(*) as n, cast(sum(text_score) as bigint) as total, cast(sum(text_score * item_idx) as bigint) as weighed from ts group by 1")
 RANK = "imprint, shape_guess, color_guess, item_idx, score, rank"
 define("topk_candidates", catalog_readings(f"{MATCH},\n{ranked(False)}") + f"select {RANK} from rk where not missed")

@@ -336,10 +336,10 @@ def _imprints(spark, sf_dir):
     return I.clean_readings(load(spark, sf_dir, "readings")).select("imprint").distinct()
 
 
-def _seed_pairs(spark, sf_dir):
+def _seed_pairs(spark, sf_dir, basic=False):
     items, queries = load(spark, sf_dir, "catalog"), _queries(spark, sf_dir)
     seeds = M.seed_candidates(queries.select("imprint").distinct(), M.build_print_index(items))
-    return M.seed_pairs(queries, seeds, items), items
+    return M.seed_pairs(queries, seeds, items, basic), items
 
 
 @query
@@ -359,7 +359,7 @@ def seed_fallback(spark, sf_dir):
 
 
 def _own_pairs(spark, sf_dir):
-    """Each reading with one item."""
+    """Each reading with one item, at most: a sample of pairs.  The queries named *_all cover every pair."""
     readings = load(spark, sf_dir, "readings").withColumn("item_idx", F.col("reading_id") % 1999 + 1)
     return readings.join(load(spark, sf_dir, "catalog"), "item_idx")
 
@@ -394,6 +394,39 @@ def score_candidates_basic(spark, sf_dir):
     return pairs.select("reading_id", "item_idx", M.score_pair(F.col("imprint"), basic=True).cast("int").alias("score"))
 
 
+def _flag_counts(pairs: DataFrame, rank: str, prefilter: str) -> DataFrame:
+    return pairs.groupBy(*M.QUERY).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(rank)).alias("rank"), F.count_if(F.col(prefilter)).alias("prefilter"))
+
+
+@query
+def item_has_shape_all(spark, sf_dir):
+    """Every candidate of every distinct query, counted per query."""
+    return _flag_counts(_seed_pairs(spark, sf_dir)[0], "_hs", "_ps")
+
+
+@query
+def item_has_color_all(spark, sf_dir):
+    return _flag_counts(_seed_pairs(spark, sf_dir)[0], "_hc", "_pc")
+
+
+def _scores_all(spark, sf_dir, basic: bool) -> DataFrame:
+    pairs, items = _seed_pairs(spark, sf_dir, basic)
+    scored = M.score_candidates(pairs, M.text_score_join(_imprints(spark, sf_dir), items, basic), basic)
+    score = F.col("score").cast("long")
+    return scored.groupBy(*M.QUERY).agg(F.count(F.lit(1)).alias("n"), F.sum(score).alias("total"), F.sum(score * F.col("item_idx")).alias("weighed"))
+
+
+@query
+def score_candidates_all(spark, sf_dir):
+    """Every candidate of every distinct query, summed per query."""
+    return _scores_all(spark, sf_dir, basic=False)
+
+
+@query
+def score_candidates_basic_all(spark, sf_dir):
+    return _scores_all(spark, sf_dir, basic=True)
+
+
 @query
 def text_score_join(spark, sf_dir):
     scores = M.text_score_join(_imprints(spark, sf_dir), load(spark, sf_dir, "catalog"))
