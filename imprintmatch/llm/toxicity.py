@@ -34,8 +34,11 @@ LEET = {
 MIXED = re.compile(r"[A-Za-z][@$!|+*0-9]+[A-Za-z]|(?<!\S)[@$|0-9]+[A-Za-z]")
 STRETCHED = re.compile(r"([A-Za-z])\1\1")
 SPACED = re.compile(r"(?<!\w)(?:[A-Za-z0-9@$!][ .\-_*]){2,}[A-Za-z0-9@$!](?!\w)")
-#: Longer tokens are data, not disguised words.
-LONGEST = 64
+#: What words and their disguises are made of, or joined by; runs of these are split at all other characters.
+PIECE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz.-_").union(LEET)
+REPEATED = re.compile(r"(.)\1{2,}", re.S)
+#: Readings of longer tokens are not kept for the next time.
+KEPT = 64
 
 ORDER = 4
 _SYMBOLS = 28  # 0: outside a word, 1-26: letters, 27: other characters of words
@@ -94,18 +97,21 @@ class Decoder:
         return out
 
     def decode(self, token: str) -> str:
+        token = REPEATED.sub(r"\1\1", token.lower())  # three and more read like two
         found = self.known.get(token)
         if found is None:
             found = self.search(token)
-            if len(self.known) < 200_000:
+            if len(token) <= KEPT and len(self.known) < 200_000:
                 self.known[token] = found
         return found
 
     def search(self, token: str) -> str:
-        states = {(0, 0, 0): (0.0, "")}
+        """A state holds its score and its readings, linked to those before; what all states share is put aside."""
+        done: list[str] = []
+        states: dict[tuple, tuple[float, tuple | None]] = {(0, 0, 0): (0.0, None)}
         for options in self.readings(token) + [["\0"]]:
-            new: dict[tuple, tuple[float, str]] = {}
-            for state, (score, text) in states.items():
+            new: dict[tuple, tuple[float, tuple | None]] = {}
+            for state, (score, path) in states.items():
                 for option in options:
                     s, total = state, score
                     for c in option:
@@ -113,9 +119,22 @@ class Decoder:
                         total += float(self.model[((s[0] * _SYMBOLS + s[1]) * _SYMBOLS + s[2]) * _SYMBOLS + code])
                         s = (s[1], s[2], code)
                     if s not in new or total > new[s][0]:
-                        new[s] = (total, text + option.replace("\0", " "))
+                        new[s] = (total, (path, option))
             states = new
-        return max(states.values())[1].strip()
+            if len(states) == 1:
+                ((s, (_, path)),) = states.items()
+                done.append(self.spell(path))
+                states = {s: (0.0, None)}
+        done.append(self.spell(max(states.values(), key=lambda x: x[0])[1]))
+        return "".join(done).replace("\0", " ").strip()
+
+    @staticmethod
+    def spell(path: tuple | None) -> str:
+        out = []
+        while path:
+            path, option = path
+            out.append(option)
+        return "".join(reversed(out))
 
     def restore(self, text: str) -> list[str]:
         """Readings of the disguised tokens of a text, in order."""
@@ -125,14 +144,14 @@ class Decoder:
             for m in pattern.finditer(text):
                 if m.start() < at:
                     continue
-                begin = m.start()
-                while begin > 0 and m.start() - begin < LONGEST and not text[begin - 1].isspace():
+                begin, end = m.span()
+                while begin > at and text[begin - 1] in PIECE:
                     begin -= 1
-                at = m.end()
-                while at < len(text) and at - begin <= LONGEST and not text[at].isspace():
-                    at += 1
-                token = text[begin:at].strip(".,;:!?*#%&()[]\"'")
-                if 1 < len(token) <= LONGEST:
+                while end < len(text) and text[end] in PIECE:
+                    end += 1
+                at = end
+                token = text[begin:end].strip(".!*")
+                if len(token) > 1:
                     tokens.append(token)
         return [self.decode(t) for t in tokens]
 
