@@ -31,11 +31,18 @@ LEET = {
     "!": "i", "|": "il", "+": "t", "*": "aeiou",
 }
 
-MIXED = re.compile(r"[A-Za-z][@$!|+*0-9]+[A-Za-z]|(?<!\S)[@$|0-9]+[A-Za-z]")
-STRETCHED = re.compile(r"([A-Za-z])\1\1")
-SPACED = re.compile(r"(?<!\w)(?:[A-Za-z0-9@$!][ .\-_*]){2,}[A-Za-z0-9@$!](?!\w)")
+#: Latin letters, as in a class of a pattern.
+LETTERS = "A-Za-zªºÀ-ÖØ-öø-ɏ̀-ͯḀ-ỿ"
+_READ = re.escape("".join(LEET))
+DISGUISED = re.compile(rf"[{LETTERS}][{_READ}]|[{_READ}][{LETTERS}]|([{LETTERS}])\1\1")
+#: Single characters with anything between them.
+SPACED = re.compile(rf"(?<![{LETTERS}0-9])[{LETTERS}0-9@$!](?:(?:[^\w@$!̀-ͯ]|_)++[{LETTERS}0-9@$!]){{2,}}(?![{LETTERS}0-9])")
+#: Separators; those that have readings too are left to them.
+BETWEEN = rf"(?:[^\w{_READ}̀-ͯ]|_)+"
+APART = re.compile(rf"(?:[^\w@$!̀-ͯ]|_)+")
 #: What words and their disguises are made of, or joined by; runs of these are split at all other characters.
-PIECE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz.-_").union(LEET)
+PIECE = frozenset(c for c in map(chr, range(0x1F00)) if re.match(rf"[{LETTERS}{_READ}._/\-]", c))
+RUNS = re.compile(rf"{BETWEEN}|(.)\1*", re.S)
 REPEATED = re.compile(r"(.)\1{2,}", re.S)
 #: Readings of longer tokens are not kept for the next time.
 KEPT = 64
@@ -43,6 +50,7 @@ KEPT = 64
 ORDER = 4
 _SYMBOLS = 28  # 0: outside a word, 1-26: letters, 27: other characters of words
 _CLASS = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 if b >= 128 else 0 for b in range(256)], np.int32)
+_CODES: dict[str, tuple[int, ...]] = {}
 
 
 # ---------------------------------------------------------------- character model
@@ -82,16 +90,16 @@ class Decoder:
         self.model, self.known = model, {}
 
     def readings(self, token: str) -> list[list[str]]:
-        """Readings of each run of equal characters; a separator between letters reads as nothing."""
+        """Readings of each run of equal characters; separators read as nothing or as a word's end."""
         out = []
-        for run in re.finditer(r"(.)\1*", token.lower(), re.S):
+        for run in RUNS.finditer(token.lower()):
             c, n = run[1], len(run[0])
-            if "a" <= c <= "z":
-                out.append([c] if n == 1 else [c, c + c])
+            if c is None:
+                out.append(["", "\0"])
             elif c in LEET:
                 out.append([x for r in LEET[c] for x in ([r] if n == 1 else [r, r + r])] + ([""] if c in "*!|+" else []))
-            elif c in " .-_":
-                out.append([""])
+            elif c in PIECE:
+                out.append([c] if n == 1 else [c, c + c])
             else:
                 out.append(["\0"])
         return out
@@ -114,8 +122,7 @@ class Decoder:
             for state, (score, path) in states.items():
                 for option in options:
                     s, total = state, score
-                    for c in option:
-                        code = ord(c) - 96 if "a" <= c <= "z" else 0
+                    for code in self.codes(option):
                         total += float(self.model[((s[0] * _SYMBOLS + s[1]) * _SYMBOLS + s[2]) * _SYMBOLS + code])
                         s = (s[1], s[2], code)
                     if s not in new or total > new[s][0]:
@@ -128,6 +135,14 @@ class Decoder:
         done.append(self.spell(max(states.values(), key=lambda x: x[0])[1]))
         return "".join(done).replace("\0", " ").strip()
 
+    @staticmethod
+    def codes(option: str) -> tuple[int, ...]:
+        """As _CLASS gives them."""
+        found = _CODES.get(option)
+        if found is None:
+            found = _CODES[option] = tuple(_CLASS[list(option.encode())].tolist())
+        return found
+
     @staticmethod
     def spell(path: tuple | None) -> str:
         out = []
@@ -138,22 +153,29 @@ class Decoder:
 
     def restore(self, text: str) -> list[str]:
         """Readings of the disguised tokens of a text, in order."""
-        tokens = [m[0] for m in SPACED.finditer(text)]
-        for pattern in (MIXED, STRETCHED):
-            at = 0
-            for m in pattern.finditer(text):
-                if m.start() < at:
-                    continue
-                begin, end = m.span()
-                while begin > at and text[begin - 1] in PIECE:
-                    begin -= 1
-                while end < len(text) and text[end] in PIECE:
-                    end += 1
-                at = end
-                token = text[begin:end].strip(".!*")
-                if len(token) > 1:
-                    tokens.append(token)
-        return [self.decode(t) for t in tokens]
+        out = []
+        for m in SPACED.finditer(text):
+            glued, parted = self.decode(APART.sub("", m[0])), self.decode(m[0])
+            out += [glued] if parted == glued else [glued, parted]
+        at = 0
+        for m in DISGUISED.finditer(text):
+            if m.start() < at:
+                continue
+            begin, end = m.span()
+            while begin > at and text[begin - 1] in PIECE:
+                begin -= 1
+            while end < len(text) and text[end] in PIECE:
+                end += 1
+            at = end
+            whole = text[begin:end]
+            # Marks at an end may be letters or marks; without them there may be nothing to restore.
+            bare = whole.strip("._/-!*|+")
+            found = [self.decode(bare)] if len(bare) > 1 and DISGUISED.search(bare) else []
+            if whole[0] in LEET or whole[-1] in LEET:
+                more = self.decode(whole)
+                found += [more] if more not in (*found, bare.lower()) else []
+            out += found
+        return out
 
 
 # ---------------------------------------------------------------- marks of toxic texts

@@ -24,3 +24,19 @@ def test_time_of_long_runs(decoder):
     assert decoder.restore("word-" * 4000 + "m0r0n")[0].endswith("moron")
     decoder.restore("m1" * 10000)
     assert time.process_time() - began < 20
+
+
+CASES = {"a$$": "ass", "idi0+": "idiot", "bull$h!7": "bullshit", "dumb4$$": "dumbass", "!diot": "idiot", "(1diot": "idiot", '"!diot"': "idiot", "m  o  r  o  n": "moron", "m/o/r/o/n": "moron", "m - o - r, o - n": "moron", "t0richter": "torichter", "sch4dling": "schadling", "schädl1ng": "schädling", "tör1chter": "törichter", "m0r0n/word": "moron", "word-m0r0n": "moron", "m0-r0n": "moron"}
+
+
+@pytest.mark.parametrize("text", CASES)
+def test_disguises_at_ends_and_with_separators(decoder, text):
+    assert CASES[text] in " ".join(decoder.restore(text)).split()
+
+
+def test_a_separator_may_end_a_word(decoder):
+    assert "moron" in " ".join(decoder.restore("you are a m o r o n")).split()
+
+
+def test_plain_text_gives_nothing(decoder):
+    assert decoder.restore("such words! and* an idiot, (törichter) état/word you're 12 and 3") == []
