@@ -165,7 +165,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = MAX_LABELLED
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     ids = slim.select("doc_id").filter("doc_id is not null").distinct().join(known, "doc_id", "left_anti")
     others = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled).withColumn("label", F.lit(-1).cast("long"))
-    sample = slim.join(F.broadcast(some.union(others)), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(4)))
+    rows = slim.join(F.broadcast(some.union(others)), "doc_id")
+    # One row of each id: the least by these columns.  The bound is one of rows, and no id weighs more than another.
+    least = F.min(F.struct("text", "lang", "source", "n_chars")).alias("_row")
+    sample = rows.groupBy("doc_id", "label").agg(least).select("doc_id", "label", "_row.*").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(4)))
     got = cut(sample.drop("doc_id").mapInArrow(_features, "label long, fold long, a array<double>, b array<double>")).toArrow()
     y, fold = got["label"].to_numpy().astype(float), got["fold"].to_numpy()
     for f in (fold == 0, fold != 0):
