@@ -121,11 +121,16 @@ def _surest(p: np.ndarray, free: np.ndarray, most: int) -> tuple[np.ndarray, np.
 
 
 def co_train(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS) -> CoModel:
-    """y: 1, 0, or -1 for unlabelled rows; labelled rows of fold 0 are kept for the calibration."""
+    """y: 1, 0, or -1 for unlabelled rows; labelled rows of fold 0 are kept for the calibration.
+
+    Where fold 0 lacks a kind, the calibration takes all labelled rows.
+    """
     mean, spread = content.mean(axis=0), content.std(axis=0) + 1e-6
     mean[0], spread[0] = 0, 1
     views = [(content - mean) / spread, metadata]
     seed, held, open_rows = (y >= 0) & (fold != 0), (y >= 0) & (fold == 0), y < 0
+    if not 0 < y[held].sum() < held.sum():
+        held = y >= 0
     own = [np.where(seed, y, -1.0), np.where(seed, y, -1.0)]
     weights = [np.zeros(v.shape[1]) for v in views]
     for turn in range(rounds + 1):
@@ -139,11 +144,19 @@ def co_train(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, fold: np.
         for k, (rows, labels) in enumerate(given):
             own[1 - k][rows] = labels
     odds = np.column_stack([np.ones(held.sum()), *(np.clip(views[k][held] @ weights[k], -30, 30) for k in (0, 1))])
-    both = 0 < y[held].sum() < held.sum()
-    calibration = fit_logistic(odds, y[held], penalty=1.0) if both else np.array([0.0, 1.0, 0.0])
+    calibration = fit_logistic(odds, y[held], penalty=1.0)
     return CoModel(weights[0], weights[1], calibration, mean, spread)
 
 
+def stratified(y: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Folds 0 to 3 dealt within each kind of label; the first rows of a kind are in folds 1 to 3."""
+    fold = np.zeros(len(y), int)
+    for kind in np.unique(y):
+        rows = np.flatnonzero(y == kind)
+        fold[rows[np.argsort(order[rows], kind="stable")]] = np.arange(1, len(rows) + 1) % 4
+    return fold
+
+
 def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("double").alias("n_chars"))
 
@@ -155,27 +168,30 @@ def _both_views(batch) -> tuple[np.ndarray, np.ndarray]:
 def _features(batches):
     for batch in batches:
         a, b = _both_views(batch)
-        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("fold"), pa.array(list(a), pa.list_(pa.float64())), pa.array(list(b), pa.list_(pa.float64()))], names=["label", "fold", "a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("place"), pa.array(list(a), pa.list_(pa.float64())), pa.array(list(b), pa.list_(pa.float64()))], names=["label", "place", "a", "b"])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = MAX_LABELLED, unlabelled: int = MAX_UNLABELLED, rounds: int = ROUNDS) -> CoModel | None:
     """None where the labels are not of both kinds."""
     slim = _columns(docs)
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("long").alias("label"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    ids = slim.select("doc_id").filter("doc_id is not null").distinct().join(known, "doc_id", "left_anti")
+    every = slim.select("doc_id").filter("doc_id is not null").distinct()
+    ids, known = every.join(known, "doc_id", "left_anti"), known.join(every, "doc_id", "left_semi")
+    # A twentieth of the bound for either kind, so that a rare kind is never missed; the rest as they come.
+    least = max(1, labelled // 20)
+    first = lambda rows, n: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    some = first(known, max(0, labelled - 2 * least)).union(first(known.filter("label = 0"), least)).union(first(known.filter("label > 0"), least)).distinct()
     others = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled).withColumn("label", F.lit(-1).cast("long"))
     rows = slim.join(F.broadcast(some.union(others)), "doc_id")
     # One row of each id: the least by these columns.  The bound is one of rows, and no id weighs more than another.
     least = F.min(F.struct("text", "lang", "source", "n_chars")).alias("_row")
-    sample = rows.groupBy("doc_id", "label").agg(least).select("doc_id", "label", "_row.*").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(4)))
-    got = cut(sample.drop("doc_id").mapInArrow(_features, "label long, fold long, a array<double>, b array<double>")).toArrow()
-    y, fold = got["label"].to_numpy().astype(float), got["fold"].to_numpy()
-    for f in (fold == 0, fold != 0):
-        if not 0 < (y[f] == 1).sum() < (y[f] >= 0).sum():
-            return None
+    sample = rows.groupBy("doc_id", "label").agg(least).select("doc_id", "label", "_row.*").withColumn("place", F.xxhash64("doc_id", F.lit(9)))
+    got = cut(sample.drop("doc_id").mapInArrow(_features, "label long, place long, a array<double>, b array<double>")).toArrow()
+    y = np.minimum(got["label"].to_numpy().astype(float), 1)
+    if not (y == 0).any() or not (y == 1).any():
+        return None
     a, b = (np.array(got[c].to_pylist()) for c in "ab")
-    return co_train(a, b, np.minimum(y, 1), fold, rounds)
+    return co_train(a, b, y, stratified(y, got["place"].to_numpy()), rounds)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
