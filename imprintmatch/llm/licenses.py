@@ -47,6 +47,7 @@ FAMILIES = (
 
 RANK = {"or": 1, "and": 2, "with": 3}
 TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
+COMMENT_END = re.compile(r"--+!?>|\*+/|\?>|%>|[#*%-]\}|\*\)")
 
 
 class ExpressionError(ValueError):
@@ -123,6 +124,37 @@ def labels_of(expression: str) -> set[str]:
     return stack[0]
 
 
+def leading_expression(line: str) -> str:
+    """The longest part at the start of a line that is an expression; "" if there is none.
+
+    It ends at the end of a comment and of a sentence at the latest.  Read once from the left, as nothing
+    that follows mends what cannot be read.
+    """
+    tokens, good, operand, depth = [], 0, True, 0
+    for m in TOKEN.finditer(COMMENT_END.split(line, maxsplit=1)[0]):
+        token = m[0].rstrip(".:")
+        if token.lower() in RANK or token == ")":
+            if operand:
+                break
+            operand = token != ")"
+            depth -= token == ")"
+        elif token == "(" or any(c.isalnum() for c in token[:1]):
+            if not operand:
+                break
+            operand = token == "("
+            depth += token == "("
+        else:
+            break
+        if depth < 0:
+            break
+        tokens.append(token)
+        if not operand and not depth:
+            good = len(tokens)
+        if token != m[0]:
+            break
+    return " ".join(tokens[:good])
+
+
 #: Bytes to a normal form: A-Z to lower case, ASCII that is neither letter nor digit to a space.
 _FORM = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -149,7 +181,7 @@ def scan_text(text: str, automaton: ahocorasick.Automaton) -> dict:
     tagged: set[str] = set()
     if any(phrase == TAG for _, phrase in hits):
         for expression in TAGGED.findall(text):
-            tagged |= labels_of(expression)
+            tagged |= labels_of(leading_expression(expression))
     if starts:
         row["n_base"] = len(starts)
         row["first_word"], row["last_word"] = (normal.count(" ", 0, at) for at in (starts[0], starts[-1]))
@@ -168,8 +200,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     every place; labels of tags and further notices are added.  score: 1 with a readable identifier tag,
     0.9 with a base phrase, 0.6 with another notice, else 0.
 
-    Cases: null and empty texts have no words and no labels (empty strings) and null places; an expression
-    that cannot be read gives no label; repeated rows are all returned; an empty table gives no rows.
+    Cases: null and empty texts have no words and no labels (empty strings) and null places; of a tag's line
+    the longest leading part that can be read counts, and gives no label if there is none; repeated rows are all returned; an empty table gives no rows.
     """
 
     def scan(batches):
