@@ -34,7 +34,7 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files(table(spark, sf_dir, "documents"), new_folder(spark, "tokens"))
+    return token_files(table(spark, sf_dir, "documents"), new_folder(spark, "tokens"), null_ids=True)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
