@@ -34,7 +34,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix; returns doc_id, start, n_tokens, ids_crc32 of each document in them."""
-    return token_files(docs, new_folder(spark, "tokens"))
+    return token_files(docs, new_folder(spark, "tokens"), null_ids=True)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix), ("tokens", tokens)]
