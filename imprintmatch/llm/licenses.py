@@ -38,12 +38,18 @@ MORE_PHRASES = {
 TAG = "spdx license identifier"
 TAGGED = re.compile(r"spdx-license-identifier\s*:\s*([^\r\n]*)", re.I)
 
-#: Starts of licence identifiers (lower case), longest first where one starts another.
-FAMILIES = (
-    ("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"), ("gfdl", "gfdl"), ("apache", "apache"), ("mit", "mit"),
-    ("mpl", "mpl"), ("epl", "epl"), ("bsd", "bsd"), ("isc", "isc"), ("bsl", "bsl"), ("cc0", "cc0"),
-    ("cc-by-nc", "cc-by-nc"), ("cc-by-nd", "cc-by-nd"), ("cc-by-sa", "cc-by-sa"), ("cc-by", "cc-by"), ("unlicense", "public-domain"),
-)
+#: Labels of licence identifiers by their first part (lower case); the longest that fits counts.
+FAMILIES = {
+    "agpl": "agpl", "lgpl": "lgpl", "gpl": "gpl", "gfdl": "gfdl", "apache": "apache", "mit": "mit", "mpl": "mpl", "epl": "epl",
+    "bsd": "bsd", "0bsd": "bsd", "isc": "isc", "bsl": "bsl", "cc0": "cc0", "cc-by-nc": "cc-by-nc", "cc-by-nd": "cc-by-nd",
+    "cc-by-sa": "cc-by-sa", "cc-by": "cc-by", "unlicense": "public-domain", "zlib": "zlib", "artistic": "artistic", "wtfpl": "wtfpl",
+    "eupl": "eupl", "cddl": "cddl", "ofl": "ofl", "python": "python", "postgresql": "postgresql", "openssl": "openssl", "ncsa": "ncsa", "x11": "mit",
+}
+_FAMILY = re.compile(rf"({'|'.join(sorted(map(re.escape, FAMILIES), key=len, reverse=True))})(?=$|[-+.]|v?\d)")
+#: Identifiers of no known family: references, and names with a version.
+_OTHER = re.compile(r"(licenseref|documentref)-|(?=.*-)(?=.*\d)[a-z]")
+#: Labels that may be used without conditions on what is made of a text.
+PERMISSIVE = frozenset({"apache", "bsd", "bsl", "cc0", "cc-by", "isc", "mit", "ncsa", "postgresql", "public-domain", "python", "wtfpl", "zlib"})
 
 RANK = {"or": 1, "and": 2, "with": 3}
 TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
@@ -94,7 +100,13 @@ def to_postfix(expression: str) -> list[str]:
 
 def family(identifier: str) -> str:
     known = identifier.lower()
-    return next((label for start, label in FAMILIES if known.startswith(start)), known.rstrip("+"))
+    found = _FAMILY.match(known)
+    return FAMILIES[found[1]] if found else known.rstrip("+")
+
+
+def is_licence(word: str) -> bool:
+    """Whether a word can be a licence identifier rather than prose."""
+    return bool(_FAMILY.match(word.lower()) or _OTHER.match(word.lower()))
 
 
 def permits(expression: str, allowed: set[str]) -> bool:
@@ -130,18 +142,18 @@ def leading_expression(line: str) -> str:
     It ends at the end of a comment and of a sentence at the latest.  Read once from the left, as nothing
     that follows mends what cannot be read.
     """
-    tokens, good, operand, depth = [], 0, True, 0
+    tokens, good, operand, depth, exception = [], 0, True, 0, False
     for m in TOKEN.finditer(COMMENT_END.split(line, maxsplit=1)[0]):
         token = m[0].rstrip(".:")
         if token.lower() in RANK or token == ")":
             if operand:
                 break
-            operand = token != ")"
+            operand, exception = token != ")", token.lower() == "with"
             depth -= token == ")"
-        elif token == "(" or any(c.isalnum() for c in token[:1]):
+        elif token == "(" or ("exception" in token.lower() or "-" in token if exception else is_licence(token)):
             if not operand:
                 break
-            operand = token == "("
+            operand, exception = token == "(", False
             depth += token == "("
         else:
             break
@@ -167,10 +179,10 @@ def phrase_automaton() -> ahocorasick.Automaton:
     return found
 
 
-def scan_text(text: str, automaton: ahocorasick.Automaton) -> dict:
-    """Counts, places and labels of one text."""
+def scan_text(text: str, automaton: ahocorasick.Automaton, allowed: frozenset[str] = PERMISSIVE) -> dict:
+    """Counts, places and labels of one text, and whether the allowed labels suffice for it."""
     words = text.encode("utf-8", "surrogatepass").translate(_FORM).split()
-    row = {"n_words": len(words), "n_base": 0, "first_word": None, "last_word": None, "base_labels": "", "labels": "", "score": 0.0}
+    row = {"n_words": len(words), "n_base": 0, "first_word": None, "last_word": None, "base_labels": "", "labels": "", "score": 0.0, "permitted": None}
     normal = f" {b' '.join(words).decode('latin-1')} "
     hits = [(end - len(phrase) - 1, phrase) for end, phrase in automaton.iter(normal)]
     if not hits:
@@ -179,38 +191,46 @@ def scan_text(text: str, automaton: ahocorasick.Automaton) -> dict:
     base = {BASE_PHRASES[phrase] for _, phrase in hits if phrase in BASE_PHRASES}
     more = {MORE_PHRASES[phrase] for _, phrase in hits if phrase in MORE_PHRASES}
     tagged: set[str] = set()
+    permitted = base | more <= allowed
     if any(phrase == TAG for _, phrase in hits):
-        for expression in TAGGED.findall(text):
-            tagged |= labels_of(leading_expression(expression))
+        for expression in filter(None, map(leading_expression, TAGGED.findall(text))):
+            tagged |= labels_of(expression)
+            permitted = permitted and permits(expression, allowed)
     if starts:
         row["n_base"] = len(starts)
         row["first_word"], row["last_word"] = (normal.count(" ", 0, at) for at in (starts[0], starts[-1]))
     row["base_labels"], row["labels"] = ",".join(sorted(base)), ",".join(sorted(base | more | tagged))
+    row["permitted"] = permitted if base | more | tagged else None
     row["score"] = 1.0 if tagged else 0.9 if base else 0.6 if more else 0.0
     return row
 
 
-COLUMNS = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+COLUMNS = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, permitted boolean"
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowed: frozenset[str] = PERMISSIVE) -> DataFrame:
+    """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, permitted.
 
     Words are runs of [0-9a-z] and non-ASCII characters after lower-casing A-Z.  Base phrases are counted at
     every place; labels of tags and further notices are added.  score: 1 with a readable identifier tag,
     0.9 with a base phrase, 0.6 with another notice, else 0.
 
-    Cases: null and empty texts have no words and no labels (empty strings) and null places; of a tag's line
-    the longest leading part that can be read counts, and gives no label if there is none; repeated rows are all returned; an empty table gives no rows.
+    permitted: whether the allowed labels are enough for every notice and, as its and, or and with are
+    evaluated, for every readable tag; null without any label.
+
+    Cases: null and empty texts have no words and no labels (empty strings), null places and null permitted;
+    of a tag's line the longest leading part that can be read counts, and gives no label if there is none; a
+    text of any length is scanned whole; ties do not arise; repeated rows are all returned; only the id and
+    the text are read, so other columns cannot clash; an empty table gives no rows.
     """
 
     def scan(batches):
         automaton = phrase_automaton()
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("permitted", pa.bool_())])
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                rows.append({"doc_id": doc_id} | scan_text(text.as_py() or "", automaton))
+                rows.append({"doc_id": doc_id} | scan_text(text.as_py() or "", automaton, allowed))
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
