@@ -46,21 +46,24 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, seed: int = 0) -> DataFrame:
-    """Add size, source_size, target, _rate and _copies to every row of docs.
+    """Add size, source_size, target, _rate and _copies to every row of docs, in place of columns of these names.
 
     A source's rate is target / size.  A document is taken floor(rate) times, and once more when a
     number seeded by its doc_id is under the rest: a Bernoulli draw that reruns repeat.
 
-    Cases: a null text has size 0; a null source is a source of its own; a source of size 0 has target
-    and copies 0; repeated rows draw alike; an empty table gives an empty result.  A doc_id of null is
-    drawn as the empty string.
+    Cases: a null or empty text has size 0, a very long one its whole size; a null source is a source of its
+    own; a source of size 0 has target and copies 0; repeated rows, and different rows of one doc_id, draw
+    alike; an empty table gives an empty result.  A doc_id of null is drawn as the empty string.
     """
-    sized = docs.withColumn("size", n_words(F.col("text")))
+    return _mix_sized(docs.withColumn("size", n_words(F.col("text"))), weights, cap, seed)
+
+
+def _mix_sized(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, seed: int = 0) -> DataFrame:
     targets = source_targets(sized.select("source", "size"), weights, cap)
     right = targets.select(F.col("source").alias("_source"), "source_size", "target")
     if targets.count() <= MOST_BROADCAST:  # else a sorted join, in which Spark splits a large source
         right = F.broadcast(right)
-    out = sized.join(right, sized["source"].eqNullSafe(right["_source"])).drop("_source")
+    out = sized.drop("source_size", "target").join(right, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(F.lit(0.0))
     out = out.withColumn("_rate", rate)
     extra = hash_uniform(F.lit(seed), F.col("doc_id")) < F.col("_rate") - F.floor("_rate")
@@ -68,13 +71,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, s
 
 
 def mix_digest(docs: DataFrame, **options) -> DataFrame:
-    """Per document what the mix takes: doc_id, size, source_size, target, taken."""
-    slim = docs.select("doc_id", "source", "text")
-    return mix(slim, **options).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("_copies")).alias("taken"))
+    """Per document what the mix takes: doc_id, size, source_size, target, taken.  Other columns are not read.
+
+    Texts are read once: what follows works on their sizes.
+    """
+    sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    return _mix_sized(sized, **options).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("_copies")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row as often as it is taken, with the columns of docs."""
+    """The mix itself: each row as often as it is taken, with the columns of docs, whatever their names."""
     names = docs.columns
     taken = mix(docs.select(F.struct(*names).alias("_row"), "doc_id", "source", "text"), **options).filter(F.col("_copies") > 0)
     copies = taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
