@@ -2,11 +2,16 @@
 
 Queries have imprint, shape_guess and color_guess ("" for none); items the seven catalogue fields and item_idx.
 Readings repeat heavily, so work is done on distinct queries (imprint, shape, colour) and on distinct
-imprints within them, and joined back at the end.
+imprints within them, and joined back at the end.  Items repeat as well: those that print the same tokens (one
+look) and share shape and colours are one class, worth the same to every query.  An imprint meets looks, not
+items, and a query meets classes of attributes with the best few items of each.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -70,21 +75,28 @@ def _matched(prefilter: bool = False) -> tuple[Column, Column]:
 def seed_pairs(queries: DataFrame, seeds: DataFrame, items: DataFrame, basic: bool = False) -> DataFrame:
     """Queries with their candidates' attributes and flags.
 
-    Aliases are listed once for each query and attributes stripped once for each item, so that a pair costs
-    no more than looking into short arrays.
+    Aliases are listed once for each query, so that a pair costs no more than looking into short arrays.
     """
+    pairs = queries.withColumns(_alias_lists(basic)).join(seeds, "imprint").join(items.select("item_idx", *ATTRIBUTES), "item_idx")
+    return _with_flags(pairs, "item_idx").drop(*ATTRIBUTES)
+
+
+def _alias_lists(basic: bool = False) -> dict[str, Column]:
     shape, color = F.col("shape_guess"), F.col("color_guess")
-    lists = {"_s": T.shape_aliases(shape, stripped=True), "_c": T.color_aliases_rank(color, basic), "_sp": T.shape_aliases(shape), "_cp": T.color_aliases_prefilter(color)}
-    bare = [T.strip(F.col(c)).alias(f"_{c}") for c in ATTRIBUTES]
-    pairs = queries.withColumns(lists).join(seeds, "imprint").join(items.select("item_idx", *ATTRIBUTES, *bare), "item_idx")
-    holds = lambda names, *values: F.coalesce(F.array_contains(names, values[0]), F.lit(False)) | (F.coalesce(F.array_contains(names, values[1]), F.lit(False)) if len(values) > 1 else F.lit(False))
+    return {"_s": T.shape_aliases(shape, stripped=True), "_c": T.color_aliases_rank(color, basic), "_sp": T.shape_aliases(shape), "_cp": T.color_aliases_prefilter(color)}
+
+
+def _with_flags(pairs: DataFrame, *more: str) -> DataFrame:
+    """Queries' columns, attributes, more and the flags _hs, _hc (ranking) and _ps, _pc (pre-filter)."""
+    bare = [T.strip(F.col(c)) for c in ATTRIBUTES]
+    holds = lambda names, *values: reduce(or_, [F.coalesce(F.array_contains(names, v), F.lit(False)) for v in values])
     flags = {
-        "_hs": holds("_s", F.col("_drug_shape")),
-        "_hc": holds("_c", F.col("_color_class1"), F.col("_color_class2")),
-        "_ps": (shape == "") | holds("_sp", F.col("_drug_shape")),
-        "_pc": (color == "") | holds("_cp", F.col("_color_class1"), F.col("_color_class2")),
+        "_hs": holds("_s", bare[0]),
+        "_hc": holds("_c", *bare[1:]),
+        "_ps": (F.col("shape_guess") == "") | holds("_sp", bare[0]),
+        "_pc": (F.col("color_guess") == "") | holds("_cp", *bare[1:]),
     }
-    return pairs.select(*QUERY, "item_idx", *[v.alias(k) for k, v in flags.items()])
+    return pairs.select(*QUERY, *ATTRIBUTES, *more, *[v.alias(k) for k, v in flags.items()])
 
 
 def _flagged(pairs: DataFrame) -> DataFrame:
@@ -104,13 +116,20 @@ def passes_ladder(mode: Column, shape: Column, color: Column) -> Column:
     return (mode == "none") | ((mode == "strong") & shape & color) | ((mode == "mid") & shape) | ((mode == "weak") & color)
 
 
+def _modes(pairs: DataFrame, weight: Column) -> DataFrame:
+    """(a query's columns, mode) from counts that are combined before the shuffle."""
+    shape, color = F.col("_ps"), F.col("_pc")
+    count = lambda c: F.sum(F.when(c, weight).otherwise(0))
+    return pairs.groupBy(*QUERY).agg(ladder_mode(count(shape & color), count(shape), count(color)).alias("mode"))
+
+
+def _by_ladder(pairs: DataFrame, weight: Column) -> DataFrame:
+    return pairs.join(_modes(pairs, weight), list(QUERY)).filter(passes_ladder(F.col("mode"), F.col("_ps"), F.col("_pc")))
+
+
 def prefilter_ladder(pairs: DataFrame) -> DataFrame:
     """pairs (a query's columns, item_idx and flags or attributes) that the ladder leaves, with their mode."""
-    per_query = W.partitionBy(*QUERY)
-    shape, color = F.col("_ps"), F.col("_pc")
-    count = lambda c: F.count_if(c).over(per_query)
-    rows = _flagged(pairs).withColumn("mode", ladder_mode(count(shape & color), count(shape), count(color)))
-    return rows.filter(passes_ladder(F.col("mode"), shape, color))
+    return _by_ladder(_flagged(pairs), F.lit(1))
 
 
 def score_pair(imprint: Column, basic: bool = False) -> Column:
@@ -131,17 +150,27 @@ def score_pair(imprint: Column, basic: bool = False) -> Column:
     return F.when(empty, alone).otherwise(total + extra)
 
 
+def look_scores(imprints: DataFrame, looks: DataFrame) -> DataFrame:
+    """(imprint, look, text_score) of pairs with a matching token, by equi-joins.
+
+    Each distinct target token meets the looks once, however many imprints hold it.
+    """
+    target = imprints.select("imprint", F.explode(F.array_distinct(T.rank_tokens(F.col("imprint")))).alias("target"))
+    spelled = target.select("target").distinct().select("target", F.explode(T.rank_variants(F.col("target"))).alias("token"))
+    printed = looks.select("look", F.explode(_tokens_of(F.col("look"), 1)).alias("token"))
+    hits = spelled.join(printed, "token").select("target", "look").distinct()
+    own = F.col("target")
+    scored = target.join(hits, "target").groupBy("imprint", "look").agg(F.sum(T.token_weight(own)).alias("total"), F.collect_set(T.unhyphened(own)).alias("forms"))
+    total = F.when((F.size("forms") == 1) & F.array_contains("forms", "PAC"), F.least("total", F.lit(69))).otherwise(F.col("total"))
+    return scored.select("imprint", "look", (total + F.when(F.size("forms") >= 2, 25).otherwise(0)).cast("int").alias("text_score"))
+
+
 def text_score_join(imprints: DataFrame, items: DataFrame, basic: bool = False) -> DataFrame:
     """(imprint, item_idx, text_score) of pairs with a matching token, by equi-joins."""
     if basic:
         return _basic_text_score_join(imprints, items)
-    target = imprints.select("imprint", F.explode(F.array_distinct(T.rank_tokens(F.col("imprint")))).alias("target"))
-    spelled = target.select("imprint", "target", F.explode(T.rank_variants(F.col("target"))).alias("token"))
-    printed = items.select("item_idx", F.explode(T.item_rank_tokens(F.col("print_front"), F.col("print_back"))).alias("token"))
-    hits = spelled.join(printed, "token").select("imprint", "item_idx", "target").distinct()
-    scored = hits.groupBy("imprint", "item_idx").agg(F.sum(T.token_weight(F.col("target"))).alias("total"), F.collect_set(T.unhyphened(F.col("target"))).alias("forms"))
-    total = F.when((F.size("forms") == 1) & F.array_contains("forms", "PAC"), F.least("total", F.lit(69))).otherwise(F.col("total"))
-    return scored.select("imprint", "item_idx", (total + F.when(F.size("forms") >= 2, 25).otherwise(0)).cast("int").alias("text_score"))
+    seen = with_look(items).select("look", "item_idx")
+    return look_scores(imprints, seen.select("look").distinct()).join(seen, "look").select("imprint", "item_idx", "text_score")
 
 
 def _basic_text_score_join(imprints: DataFrame, items: DataFrame) -> DataFrame:
@@ -155,84 +184,164 @@ def _basic_text_score_join(imprints: DataFrame, items: DataFrame) -> DataFrame:
 
 def score_candidates(pairs: DataFrame, text_scores: DataFrame, basic: bool = False) -> DataFrame:
     """pairs with their score: text by join, attributes from the flags.  basic: all three are of the basic kind."""
-    shape, color = F.col("_hs"), F.col("_hc")
     joined = _flagged(pairs).join(text_scores, ["imprint", "item_idx"], "left")
-    extra = shape.cast("int") * 8 + color.cast("int") * 8
-    alone = shape.cast("int") * 25 + color.cast("int") * 25 + (shape & color).cast("int") * 20
-    score = F.when(T.rank_norm(F.col("imprint"), basic) == "", F.lit(0) if basic else alone).otherwise(F.coalesce("text_score", F.lit(0)) + extra)
+    score = _score(F.col("imprint"), F.coalesce("text_score", F.lit(0)), basic)
     return joined.withColumn("score", score.cast("int")).drop("text_score", "_hs", "_hc", "_ps", "_pc")
 
 
+def _score(imprint: Column, text: Column, basic: bool = False) -> Column:
+    """Score of a flagged pair."""
+    shape, color = F.col("_hs").cast("int"), F.col("_hc").cast("int")
+    alone = F.lit(0) if basic else shape * 25 + color * 25 + shape * color * 20
+    return F.when(T.rank_norm(imprint, basic) == "", alone).otherwise(text + shape * 8 + color * 8)
+
+
 def topk_candidates(scored: DataFrame, k: int = TOP) -> DataFrame:
     """The k best of each query with a positive score; ties go to the lower item_idx."""
     best = W.partitionBy(*QUERY).orderBy(F.desc("score"), "item_idx")
     return scored.filter("score > 0").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+# ---------------------------------------------------------------- looks and classes
+
+
+def with_look(items: DataFrame) -> DataFrame:
+    """items with look: the tokens under which an item is found, and those by which it is scored."""
+    own = T.print_tokens(F.col("print_front"), F.col("print_back"))
+    found = F.filter(F.array_union(own, F.transform(own, T.norm_token)), lambda t: t != "")
+    return items.withColumn("look", F.concat_ws("|", F.array_join(found, " "), F.array_join(T.item_rank_tokens(F.col("print_front"), F.col("print_back")), " ")))
+
+
+def _tokens_of(look: Column, part: int) -> Column:
+    return F.filter(F.split(F.get(F.split(look, r"\|"), F.lit(part)), " "), lambda t: t != "")
+
+
+def classes_by(items: DataFrame, *keys: str, k: int = TOP, salts: int = 32) -> DataFrame:
+    """Items by keys: n, idx_sum (of item_idx) and lowest, the k lowest item_idx.
+
+    Counts are combined before the shuffle; the lowest of a large class are found in salted parts first.
+    """
+    counts = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("item_idx").alias("idx_sum"))
+    parts = items.select(*keys, "item_idx", F.pmod(F.xxhash64("item_idx"), F.lit(salts)).alias("_salt"))
+    first = F.row_number().over(W.partitionBy(*keys, "_salt").orderBy("item_idx"))
+    low = parts.withColumn("_k", first).filter(F.col("_k") <= k)
+    nothing = F.lit(0).cast("long")
+    both = counts.select(*keys, "n", "idx_sum", F.lit(None).cast("long").alias("item_idx")).union(low.select(*keys, nothing, nothing, "item_idx"))
+    return both.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("idx_sum").alias("idx_sum"), F.slice(F.sort_array(F.collect_list("item_idx")), 1, k).alias("lowest"))
+
+
+def item_classes(items: DataFrame, k: int = TOP) -> DataFrame:
+    """Items by look and attributes."""
+    return classes_by(with_look(items), "look", *ATTRIBUTES, k=k)
+
+
+def seed_looks(imprints: DataFrame, looks: DataFrame) -> DataFrame:
+    """Distinct (imprint, look) that share a token of the imprint or of its variants."""
+    index = looks.select("look", F.explode(_tokens_of(F.col("look"), 0)).alias("token"))
+    wanted = imprints.select("imprint", F.explode(T.query_tokens(F.col("imprint"))).alias("token"))
+    return wanted.join(index, "token").select("imprint", "look").distinct()
+
+
+def best_by_class(met: DataFrame, classes: DataFrame, k: int = TOP) -> DataFrame:
+    """(imprint, attributes, n, idx_sum, best) from rows (imprint, look, text_score).
+
+    Items of one look are worth the same, and so are, but for their text, those of one class of attributes.
+    best: structs (less, item_idx), less being the negative text score, of the k best in order.
+    """
+    group = ["imprint", *ATTRIBUTES]
+    rows = met.join(classes, "look")
+    counts = rows.groupBy(*group).agg(F.sum("n").alias("n"), F.sum("idx_sum").alias("idx_sum"))
+    one = F.struct((-F.col("text_score")).alias("less"), F.col("item_idx"))
+    each = rows.select(*group, "text_score", F.explode("lowest").alias("item_idx")).select(*group, one.alias("one"))
+    each = each.withColumn("_k", F.row_number().over(W.partitionBy(*group).orderBy("one"))).filter(F.col("_k") <= k)
+    nothing = F.lit(0).cast("long")
+    both = counts.select(*group, "n", "idx_sum", F.lit(None).cast("struct<less:int,item_idx:bigint>").alias("one")).union(each.select(*group, nothing, nothing, "one"))
+    return both.groupBy(*group).agg(F.sum("n").alias("n"), F.sum("idx_sum").alias("idx_sum"), F.array_sort(F.collect_list("one")).alias("best"))
+
+
+def class_pairs(queries: DataFrame, by_class: DataFrame) -> DataFrame:
+    """Queries with the classes that their imprints meet (best_by_class), flagged as seed_pairs flags items."""
+    return _with_flags(queries.withColumns(_alias_lists()).join(by_class, "imprint"), "n", "idx_sum", "best")
+
+
+def class_ladder(pairs: DataFrame) -> DataFrame:
+    """class_pairs that the ladder leaves, with their mode."""
+    return _by_ladder(pairs, F.col("n"))
+
+
+def class_items(pairs: DataFrame) -> DataFrame:
+    """The best items of class_pairs with their score."""
+    each = pairs.withColumn("_one", F.explode("best")).withColumn("item_idx", F.col("_one.item_idx"))
+    text = -F.col("_one.less")
+    return each.withColumn("score", _score(F.col("imprint"), text).cast("int")).drop("n", "idx_sum", "best", "_one", "_hs", "_hc", "_ps", "_pc")
+
+
 # ---------------------------------------------------------------- queries without a candidate
 
 
-def attribute_classes(items: DataFrame, k: int = TOP, salts: int = 32) -> DataFrame:
+def attribute_classes(items: DataFrame, k: int = TOP) -> DataFrame:
     """Items by (shape, colour, colour): number of items and the k lowest item_idx.
 
     Without a text match an item is worth as much as its class, so no other item of a class can be among the
-    best k.  A large class is dealt over salted parts first.
+    best k.
     """
-    part = [*ATTRIBUTES, "_salt"]
-    own = W.partitionBy(*part)
-    parts = items.select(*ATTRIBUTES, "item_idx", F.pmod(F.xxhash64("item_idx"), F.lit(salts)).alias("_salt"))
-    parts = parts.withColumns({"_k": F.row_number().over(own.orderBy("item_idx")), "_n": F.count(F.lit(1)).over(own)}).filter(F.col("_k") <= k)
-    lowest = F.slice(F.sort_array(F.collect_list("item_idx")), 1, k)
-    return parts.groupBy(*ATTRIBUTES).agg(F.sum(F.when(F.col("_k") == 1, F.col("_n"))).alias("n"), lowest.alias("lowest"))
+    return classes_by(items, *ATTRIBUTES, k=k).drop("idx_sum")
 
 
 def _meet(guesses: DataFrame, classes: DataFrame) -> DataFrame:
-    """Guesses with every class that shares an alias of their shape or colour, by equi-joins on the aliases."""
-    shapes = F.array_union(T.shape_aliases(F.col("shape_guess")), T.shape_aliases(F.col("shape_guess"), stripped=True))
-    colors = F.array_union(T.color_aliases_prefilter(F.col("color_guess")), T.color_aliases_rank(F.col("color_guess")))
-    marked = lambda mark, names: F.transform(names, lambda x: F.concat(F.lit(mark), x))
-    want = guesses.select("*", F.explode(F.array_union(marked("s", shapes), marked("c", colors))).alias("_key"))
+    """Flagged pairs of guesses and classes (n, lowest) that share an alias of shape or colour, by equi-joins on the aliases."""
+    marked = lambda mark, *names: F.transform(F.array_union(*names), lambda x: F.concat(F.lit(mark), x))
+    listed = guesses.withColumns(_alias_lists())
+    want = listed.select("*", F.explode(F.array_union(marked("s", F.col("_s"), F.col("_sp")), marked("c", F.col("_c"), F.col("_cp")))).alias("_key"))
     own = F.array(*[F.concat(F.lit(m), T.strip(F.col(c))) for m, c in (("s", "drug_shape"), ("c", "color_class1"), ("c", "color_class2"))])
     have = classes.select("*", F.explode(F.array_distinct(F.array_compact(own))).alias("_key"))
-    return want.join(have, "_key").drop("_key").distinct()
+    pairs = want.join(have, "_key").dropDuplicates(["shape_guess", "color_guess", *ATTRIBUTES])
+    return _with_flags(pairs.withColumn("imprint", F.lit("")), "n", "lowest").drop("imprint")
 
 
-def fallback_modes(guesses: DataFrame, classes: DataFrame) -> DataFrame:
-    """Ladder modes over the whole catalogue for (shape_guess, color_guess), from class counts."""
-    shape, color = _matched(prefilter=True)
-    met = _meet(guesses, classes).withColumns({"_shape": shape, "_color": color})
-    total = F.lit(classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])  # one number
+def fallback_modes(guesses: DataFrame, met: DataFrame, total: int) -> DataFrame:
+    """Ladder modes over the whole catalogue of `total` items for (shape_guess, color_guess), from class counts."""
+    shape, color = F.col("_ps"), F.col("_pc")
     count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-    sums = met.groupBy("shape_guess", "color_guess").agg(count(F.col("_shape")).alias("_s"), count(F.col("_color")).alias("_c"), count(F.col("_shape") & F.col("_color")).alias("_both"))
+    sums = met.groupBy("shape_guess", "color_guess").agg(count(shape).alias("_s"), count(color).alias("_c"), count(shape & color).alias("_both"))
     rows = guesses.join(sums, ["shape_guess", "color_guess"], "left").fillna(0, ["_s", "_c", "_both"])
-    any_shape, any_color = F.col("shape_guess") == "", F.col("color_guess") == ""
-    mid, weak = F.when(any_shape, total).otherwise(F.col("_s")), F.when(any_color, total).otherwise(F.col("_c"))
+    any_shape, any_color, every = F.col("shape_guess") == "", F.col("color_guess") == "", F.lit(total)
+    mid, weak = F.when(any_shape, every).otherwise(F.col("_s")), F.when(any_color, every).otherwise(F.col("_c"))
     strong = F.when(any_shape, weak).when(any_color, mid).otherwise(F.col("_both"))
     return rows.select("shape_guess", "color_guess", ladder_mode(strong, mid, weak).alias("mode"))
 
 
-def _left_by(mode_pairs: DataFrame) -> DataFrame:
-    shape, color = _matched(prefilter=True)
-    return mode_pairs.filter((F.col("mode") == "single") | passes_ladder(F.col("mode"), shape, color))
+def _left_by_mode(pairs: DataFrame) -> DataFrame:
+    return pairs.filter((F.col("mode") == "single") | passes_ladder(F.col("mode"), F.col("_ps"), F.col("_pc")))
 
 
-def fallback_topk(queries: DataFrame, items: DataFrame, text_scores: DataFrame, ladder: bool = True, k: int = TOP) -> tuple[DataFrame, DataFrame]:
+def fallback_topk(queries: DataFrame, classes: DataFrame, text_scores: DataFrame, ladder: bool = True, k: int = TOP) -> tuple[DataFrame, DataFrame]:
     """(best, queries with their mode): the best k of the whole catalogue, without pairing all queries with it.
 
-    Candidates of a query are its text matches and the k lowest items of every class that shares its shape or
-    colour; all other items score 0.  Missing guesses are empty strings.
+    classes: item_classes of the catalogue; text_scores: look_scores.  Candidates of a query are the best of its
+    text matches in every class of attributes, and the k lowest items of every class that shares its shape or
+    colour; all other items score 0 or less than k others of their class.  Missing guesses are empty strings.
     """
-    classes = cut(attribute_classes(items, k))
-    guesses = queries.select("shape_guess", "color_guess").distinct()
-    modes = fallback_modes(guesses, classes) if ladder else guesses.withColumn("mode", F.lit("single"))
-    queries = queries.select(*QUERY).join(cut(modes), ["shape_guess", "color_guess"]).withColumn("_kind", F.when(F.col("imprint") == "", "").otherwise("-"))
+    lowest = F.explode("lowest").alias("item_idx")
+    plain = classes.groupBy(*ATTRIBUTES).agg(F.sum("n").alias("n"))
+    low = classes.select(*ATTRIBUTES, lowest).withColumn("_k", F.row_number().over(W.partitionBy(*ATTRIBUTES).orderBy("item_idx"))).filter(F.col("_k") <= k)
+    both = plain.select(*ATTRIBUTES, "n", F.lit(None).cast("long").alias("item_idx")).union(low.select(*ATTRIBUTES, F.lit(0).cast("long"), "item_idx"))
+    plain = cut(both.groupBy(*ATTRIBUTES).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("item_idx")).alias("lowest")))
+    guesses = cut(queries.select("shape_guess", "color_guess").distinct())
+    met = cut(_meet(guesses, plain))
+    total = plain.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one number
+    modes = fallback_modes(guesses, met, total) if ladder else guesses.withColumn("mode", F.lit("single"))
+    queries = cut(queries.select(*QUERY).join(modes, ["shape_guess", "color_guess"]).withColumn("_kind", F.when(F.col("imprint") == "", "").otherwise("-")))
     # Attribute scores depend on the guesses and on whether there is an imprint: found once for each such kind.
     kinds = queries.select("_kind", "shape_guess", "color_guess", "mode").distinct()
-    near = _left_by(_meet(kinds, classes)).withColumn("imprint", F.col("_kind")).withColumn("item_idx", F.explode("lowest"))
-    near = topk_candidates(score_candidates(near, text_scores.limit(0)), k)
-    lists = near.groupBy("_kind", "shape_guess", "color_guess").agg(F.collect_list(F.struct("item_idx", *ATTRIBUTES)).alias("_near"))
-    by_class = queries.join(lists, ["_kind", "shape_guess", "color_guess"]).select(*QUERY, "mode", F.inline("_near"))
-    by_text = queries.join(text_scores.select("imprint", "item_idx"), "imprint").join(items.select("item_idx", *ATTRIBUTES), "item_idx")
-    by_text = _left_by(by_text).select(*QUERY, "mode", "item_idx", *ATTRIBUTES)
-    best = topk_candidates(score_candidates(by_class.union(by_text).distinct(), text_scores), k)
-    return best.select(*QUERY, "mode", "item_idx", "score", "rank"), queries.select(*QUERY, "mode")
+    near = _left_by_mode(kinds.join(met, ["shape_guess", "color_guess"])).withColumn("imprint", F.col("_kind"))
+    near = near.withColumn("best", F.transform("lowest", lambda i: F.struct(F.lit(0).alias("less"), i.alias("item_idx"))))
+    near = topk_candidates(class_items(near), k)
+    lists = near.groupBy("_kind", "shape_guess", "color_guess").agg(F.collect_list(F.struct("item_idx", "score")).alias("_near"))
+    columns = [*QUERY, "mode", "item_idx", "score"]
+    by_class = queries.join(lists, ["_kind", "shape_guess", "color_guess"]).select(*QUERY, "mode", F.inline("_near")).select(*columns)
+    by_text = class_pairs(queries.select(*QUERY), best_by_class(text_scores.join(queries.select("imprint").distinct(), "imprint", "left_semi"), classes, k))
+    by_text = _left_by_mode(by_text.join(queries.select(*QUERY, "mode"), list(QUERY)))
+    # An item in both lists counts with its text.
+    every = by_class.union(class_items(by_text).select(*columns)).groupBy(*QUERY, "mode", "item_idx").agg(F.max("score").alias("score"))
+    return topk_candidates(every, k).select(*columns, "rank"), queries.select(*QUERY, "mode")

@@ -22,23 +22,32 @@ def clean_readings(readings: DataFrame) -> DataFrame:
 
 def best_of_queries(queries: DataFrame, items: DataFrame, ladder: bool = True, k: int = M.TOP) -> tuple[DataFrame, DataFrame]:
     """(imprint, shape_guess, color_guess, mode, item_idx, score, rank) of distinct queries, and the queries' modes."""
-    imprints = cut(queries.select("imprint").distinct())
-    index = M.build_print_index(items)
-    seeds = cut(M.seed_candidates(imprints, index))
-    text_scores = cut(M.text_score_join(imprints, items))
-    pairs = M.seed_pairs(queries, seeds, items)
-    pairs = M.prefilter_ladder(pairs) if ladder else pairs.withColumn("mode", F.lit("single"))
-    scored = M.score_candidates(pairs, text_scores).select(*M.QUERY, "mode", "item_idx", "score")
-    hit = M.topk_candidates(scored, k)
+    imprints = queries.select("imprint").distinct()
+    classes = cut(M.item_classes(items, k))
+    seeds, text_scores = met_looks(imprints, classes)
+    pairs = M.class_pairs(queries, M.best_by_class(seeds, classes, k))
+    if ladder:
+        pairs = cut(M.class_ladder(pairs))
+    else:
+        pairs = pairs.withColumn("mode", F.lit("single"))
+    hit = M.topk_candidates(M.class_items(pairs), k)
     found = seeds.select("imprint").distinct()
     missed = cut(queries.join(found, "imprint", "left_anti"))
-    rest, modes = M.fallback_topk(missed, items, text_scores, ladder, k)
+    rest, modes = M.fallback_topk(missed, classes, text_scores, ladder, k)
     # A query with candidates keeps its mode even where none of them scores.
-    hit_modes = scored.select(*M.QUERY, "mode").distinct() if ladder else queries.join(found, "imprint", "left_semi").withColumn("mode", F.lit("single"))
+    hit_modes = pairs.select(*M.QUERY, "mode").distinct() if ladder else queries.join(found, "imprint", "left_semi").withColumn("mode", F.lit("single"))
     columns = [*M.QUERY, "mode", "item_idx", "score", "rank"]
     return hit.select(*columns).union(rest.select(*columns)), hit_modes.union(modes)
 
 
+def met_looks(imprints: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(imprint, look, text_score) of the looks that seed an imprint, and of those that its text scores with."""
+    looks = classes.select("look").distinct()
+    text_scores = cut(M.look_scores(imprints, looks))
+    seeds = M.seed_looks(imprints, looks).join(text_scores, ["imprint", "look"], "left")
+    return cut(seeds.fillna(0, ["text_score"])), text_scores
+
+
 def _candidates(best: DataFrame, items: DataFrame) -> DataFrame:
     """One row for each query: its candidates by rank."""
     shown = items.select("item_idx", T.candidate_view().alias("view"))

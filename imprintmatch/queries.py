@@ -20,7 +20,7 @@ from .plans import identify as I
 from .sources import catalog as S
 from .sources import images as G
 from .sources import labels as Y
-from .storage import new_folder
+from .storage import cut, new_folder
 
 NOW, PAGE = 100_000_000.0, S.ROWS_PER_PAGE
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -329,7 +329,7 @@ def foreground_pixel(spark, sf_dir):
 
 
 def _queries(spark, sf_dir):
-    return I.clean_readings(load(spark, sf_dir, "readings")).select(*M.QUERY).distinct()
+    return cut(I.clean_readings(load(spark, sf_dir, "readings")).select(*M.QUERY).distinct())
 
 
 def _imprints(spark, sf_dir):
@@ -376,10 +376,15 @@ def item_has_color(spark, sf_dir):
     return _own_pairs(spark, sf_dir).select("reading_id", M.item_has_color(*args).alias("rank"), M.item_has_color(*args, prefilter=True).alias("prefilter"))
 
 
+def _class_pairs(spark, sf_dir):
+    """Every distinct query with the classes of its candidates."""
+    queries, classes = _queries(spark, sf_dir), cut(M.item_classes(load(spark, sf_dir, "catalog")))
+    return M.class_pairs(queries, M.best_by_class(I.met_looks(queries.select("imprint").distinct(), classes)[0], classes))
+
+
 @query
 def prefilter_ladder(spark, sf_dir):
-    pairs, _ = _seed_pairs(spark, sf_dir)
-    return M.prefilter_ladder(pairs).groupBy(*M.QUERY, "mode").agg(F.count(F.lit(1)).alias("n"), F.sum("item_idx").alias("idx_sum"))
+    return M.class_ladder(_class_pairs(spark, sf_dir)).groupBy(*M.QUERY, "mode").agg(F.sum("n").alias("n"), F.sum("idx_sum").alias("idx_sum"))
 
 
 @query
@@ -436,16 +441,16 @@ def text_score_join(spark, sf_dir):
 @query
 def topk_candidates(spark, sf_dir):
     """Readings' queries with candidates: the best five of the seeds, without the ladder."""
-    pairs, items = _seed_pairs(spark, sf_dir)
-    scored = M.score_candidates(pairs, M.text_score_join(_imprints(spark, sf_dir), items))
-    return M.topk_candidates(scored).select(*M.QUERY, "item_idx", "score", F.col("rank").cast("long").alias("rank"))
+    best = M.topk_candidates(M.class_items(_class_pairs(spark, sf_dir)))
+    return best.select(*M.QUERY, "item_idx", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query
 def fallback_topk(spark, sf_dir):
-    items, queries = load(spark, sf_dir, "catalog"), _queries(spark, sf_dir)
-    missed = queries.join(M.seed_fallback(queries.select("imprint").distinct(), M.build_print_index(items)), "imprint", "left_semi")
-    best, _ = M.fallback_topk(missed, items, M.text_score_join(missed.select("imprint").distinct(), items))
+    queries, classes = _queries(spark, sf_dir), cut(M.item_classes(load(spark, sf_dir, "catalog")))
+    seeds, text_scores = I.met_looks(queries.select("imprint").distinct(), classes)
+    missed = queries.join(seeds.select("imprint").distinct(), "imprint", "left_anti")
+    best, _ = M.fallback_topk(missed, classes, text_scores)
     return best.select(*M.QUERY, "mode", "item_idx", "score", F.col("rank").cast("long").alias("rank"))
 
 
