@@ -2,7 +2,7 @@
 
 A character model counted over the whole corpus restores disguised words (leetspeak, spaced or dotted
 letters, stretched letters): each disguised token is a lattice of readings, and Viterbi search picks the
-likeliest.  Words and word beginnings whose presence marks toxic training texts then score the text as
+likeliest under the channel's and the model's probabilities together.  Words and word beginnings whose presence marks toxic training texts then score the text as
 it stands together with what was restored.
 """
 
@@ -31,6 +31,13 @@ LEET = {
     "!": "i", "|": "il", "+": "t", "*": "aeiou",
 }
 
+#: The channel, stated rather than learned: how likely a sign in a disguised word stands for a letter (its letters
+#: share this evenly) or, where it is punctuation too, for nothing; a run of equal characters for one or for two; a
+#: separator for nothing or for the end of a word.
+CHANNEL = {"sign": 0.8, "nothing": 0.2, "one": 0.7, "two": 0.3, "joins": 0.5, "parts": 0.5}
+PUNCTUATION = "*!|+"
+_COST = {name: float(np.log(p)) for name, p in CHANNEL.items()}
+
 #: Latin letters, as in a class of a pattern.
 LETTERS = "A-Za-zªºÀ-ÖØ-öø-ɏ̀-ͯḀ-ỿ"
 _READ = re.escape("".join(LEET))
@@ -89,19 +96,23 @@ class Decoder:
     def __init__(self, model: np.ndarray):
         self.model, self.known = model, {}
 
-    def readings(self, token: str) -> list[list[str]]:
-        """Readings of each run of equal characters; separators read as nothing or as a word's end."""
+    def readings(self, token: str) -> list[list[tuple[str, float]]]:
+        """Readings of each run of equal characters, with the channel's log-probability of each."""
         out = []
         for run in RUNS.finditer(token.lower()):
             c, n = run[1], len(run[0])
             if c is None:
-                out.append(["", "\0"])
-            elif c in LEET:
-                out.append([x for r in LEET[c] for x in ([r] if n == 1 else [r, r + r])] + ([""] if c in "*!|+" else []))
+                out.append([("", _COST["joins"]), ("\0", _COST["parts"])])
+                continue
+            often = [(1, _COST["one"]), (2, _COST["two"])] if n > 1 else [(1, 0.0)]
+            if c in LEET:
+                each = (_COST["sign"] if c in PUNCTUATION else 0.0) - float(np.log(len(LEET[c])))
+                own = [(r * times, each + cost) for r in LEET[c] for times, cost in often]
+                out.append(own + ([("", _COST["nothing"])] if c in PUNCTUATION else []))
             elif c in PIECE:
-                out.append([c] if n == 1 else [c, c + c])
+                out.append([(c * times, cost) for times, cost in often])
             else:
-                out.append(["\0"])
+                out.append([("\0", 0.0)])
         return out
 
     def decode(self, token: str) -> str:
@@ -117,11 +128,11 @@ class Decoder:
         """A state holds its score and its readings, linked to those before; what all states share is put aside."""
         done: list[str] = []
         states: dict[tuple, tuple[float, tuple | None]] = {(0, 0, 0): (0.0, None)}
-        for options in self.readings(token) + [["\0"]]:
+        for options in self.readings(token) + [[("\0", 0.0)]]:
             new: dict[tuple, tuple[float, tuple | None]] = {}
             for state, (score, path) in states.items():
-                for option in options:
-                    s, total = state, score
+                for option, cost in options:
+                    s, total = state, score + cost
                     for code in self.codes(option):
                         total += float(self.model[((s[0] * _SYMBOLS + s[1]) * _SYMBOLS + s[2]) * _SYMBOLS + code])
                         s = (s[1], s[2], code)
@@ -329,8 +340,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) ->
 
     Learns only from labelled rows that are not held out; scores depend on the text alone.
 
-    Cases: null and empty texts get the score of a text without marks; without labels of both kinds a fixed
-    model is used; repeated rows score alike; a null doc_id is held out; an empty table gives no rows.
+    Cases: null and empty texts get the score of a text without marks; a text of any length is read whole; without
+    labels of both kinds a fixed model is used; repeated rows and ties score alike, and rows of one doc_id are
+    scored each by its own text (one takes part in the fit); a null doc_id is held out as the empty string would
+    be by its checksum; other columns are not read, so their names cannot clash; an empty table gives no rows.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     decoder = Decoder(character_model(slim))

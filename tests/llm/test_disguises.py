@@ -40,3 +40,17 @@ def test_a_separator_may_end_a_word(decoder):
 
 def test_plain_text_gives_nothing(decoder):
     assert decoder.restore("such words! and* an idiot, (törichter) état/word you're 12 and 3") == []
+
+
+def test_the_channel_weighs_readings(decoder):
+    """Of readings that the language model finds alike, the channel's likelier one is taken."""
+    flat = X.Decoder(decoder.model * 0)
+    assert flat.decode("mooo") == "mo" and flat.decode("a!a") == "aia" and flat.decode("m00n") == "mon"
+    sure = {r: c for r, c in decoder.readings("!")[0]}
+    assert sure["i"] > sure[""] and abs(sum(map(lambda c: 2.718281828**c, sure.values())) - 1) < 1e-6
+
+
+@pytest.mark.parametrize("c", X.LEET)
+def test_readings_of_a_sign_are_a_distribution(decoder, c):
+    for token in (c, c * 2):
+        assert abs(sum(2.718281828**cost for _, cost in decoder.readings(token)[0]) - 1) < 1e-6
