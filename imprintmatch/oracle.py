@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from .fixtures import with_ctes
-from .functions.text import PREFILTER_COLORS, RANK_COLORS, RANK_SWAPS, READER_SWAPS
-from .sources.labels import ALPHABET
 
 SQL: dict[str, str] = {}
+
+#: Fixed values, written out here so that the SQL does not lean on the code it is compared with.
+READER_SWAPS = [x.split(">") for x in "0>O O>0 1>I I>1 5>S S>5 2>Z Z>2 8>B B>8".split()]
+RANK_SWAPS = [x.split(">") for x in "VV>W W>VV S>C C>S 0>O O>0 1>I I>1".split()]
+PREFILTER_COLORS = {x.split()[0]: x.split() for x in ("연두 녹색 초록 초록색", "하양 흰색 백색", "노랑 황색", "파랑 청색")}
+RANK_COLORS = {x.split()[0]: x.split() for x in ("주황 주황색 연주황 적주황", "빨강 적색 빨간 적", "하양 흰색 백색", "파랑 청색 파란", "노랑 황색 노란", "연두 녹색 초록 초록색")}
+ALPHABET = list("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ-.")
 TOK = r"'[A-Z0-9\-]{2,}'"
 
 
@@ -175,7 +180,14 @@ def define(name: str, sql: str) -> None:
 
 # sources and sinks
 
-define("read_catalog_pages", "select distinct p_partkey // 100 + 1 as page_no, true as parse_ok from part")
+#: A page as it lands: fields without a value are left out.
+ITEM_TEXT = " || ',' || ".join(f"coalesce('\"{f.upper()}\":' || to_json({f}), '')" for f in "item_name entp_name print_front print_back color_class1 color_class2 drug_shape".split())
+define(
+    "read_catalog_pages",
+    with_ctes("catalog", more=rf"""it as (select item_idx, '{{' || trim(regexp_replace({ITEM_TEXT}, ',+', ',', 'g'), ',') || '}}' as item from catalog),
+pg as (select item_idx // 100 + 1 as page_no, '{{"header":{{"resultCode":"00","resultMsg":"OK"}},"body":{{"items":[' || string_agg(item, ',' order by item_idx) || ']}}}}' || chr(10) as payload from it group by 1)""")
+    + "select page_no, true as parse_ok, length(payload) as n_chars, md5(payload) as digest from pg",
+)
 define("flatten_envelope", with_ctes("catalog") + "select item_idx + 1 as item_idx, item_name, entp_name, print_front, print_back, color_class1, color_class2, drug_shape from catalog")
 define(
     "page_status",
@@ -230,7 +242,6 @@ define("rank_norm", catalog_readings() + f"select reading_id, {rank_norm('imprin
 TARGETS = f"tg as (select distinct unnest({toks(up('imprint_raw'))}) as token from readings), tn as (select token, {rank_norm('token')} as s, {rank_norm('token', True)} as b from tg)"
 define("rank_variants", catalog_readings(TARGETS) + f"select token, coalesce(array_to_string({rank_variants('s')}, '|'), '') as variants, array_to_string(list_sort(list_distinct([b, {flat('b')}])), '|') as basic from tn")
 define("token_weight", catalog_readings(TARGETS) + f"select token, {weight('token')} as weight, {weight('token', True)} as basic from tn")
-define("match_level", catalog_readings() + f"select reading_id, {LEVEL} as match_level from (select reading_id, reading_id % 200 as score from readings)")
 define("shape_aliases", catalog_readings() + f"select reading_id, {joined(shapes('shape_guess'))} as prefilter, {joined(shapes('shape_guess', True))} as rank from readings")
 define("color_aliases_prefilter", catalog_readings() + f"select reading_id, {joined(colors('color_guess', 'prefilter'))} as aliases from readings")
 define("color_aliases_rank", catalog_readings() + f"select reading_id, {joined(colors('color_guess', 'rank'))} as aliases, {joined(colors('color_guess', 'basic'))} as basic from readings")
@@ -262,7 +273,6 @@ SHAPE = """case when w / (h + 1e-6) >= 2.2 then '장방형'
 define("shape_label", with_ctes("contours") + f"select image_id, box_id, {SHAPE} as batch, case when area >= 400 then {SHAPE} end as single from contours")
 define("is_capsule", with_ctes("contours") + f"select image_id, box_id, {SHAPE} in ('타원형', '장방형') and h > 0 and w / h > 1.3 as is_capsule from contours")
 INK = "ink as (select roi_id, coalesce(avg(abs(r - g)) filter (in_mask), avg(abs(r - g))) / 255 as ink from pixels group by roi_id)"
-define("imprint_type", with_ctes("pixels", more=INK) + "select roi_id, case when ink - 0.25 > 0.08 then 'printed' when 0.15::double + (roi_id % 10) / 100 > 0.20::double then 'debossed' else 'unknown' end as kind from ink")
 define("color_label_en", with_ctes("pixels", more=HSV) + f"select roi_id, {LABEL_EN} as label, count(*) as n from hsv group by 1, 2")
 define(
     "shape_label_en",
@@ -277,30 +287,7 @@ define("foreground_pixel", with_ctes("pixels", more=HSV) + "select roi_id, cast(
 define("build_print_index", with_ctes("catalog", more=INDEX) + "select token, item_idx from idx")
 define("seed_candidates", catalog_readings(f"{CLEAN},\n{INDEX},\n{SEEDS}") + "select imprint, count(*) as n, cast(sum(item_idx) as bigint) as idx_sum from seeds group by 1")
 define("seed_fallback", catalog_readings(f"{CLEAN},\n{INDEX},\n{SEEDS}") + "select imprint from im where imprint not in (select imprint from seeds)")
-OWN = "own as (select r.*, c.* from readings r join catalog c on c.item_idx = r.reading_id % 1999 + 1)"
-define("item_has_shape", catalog_readings(OWN) + f"select reading_id, {has_shape('drug_shape', 'shape_guess')} as rank, {has_shape('drug_shape', 'shape_guess', True)} as prefilter from own")
-define("item_has_color", catalog_readings(OWN) + f"select reading_id, {has_color('color_class1', 'color_class2', 'color_guess')} as rank, {has_color('color_class1', 'color_class2', 'color_guess', 'prefilter')} as prefilter from own")
 define("prefilter_ladder", catalog_readings(f"{MATCH},\n{ranked(True)}") + "select imprint, shape_guess, color_guess, mode, count(*) as n, cast(sum(item_idx) as bigint) as idx_sum from lf where not missed group by 1, 2, 3, 4")
-define(
-    "score_candidates",
-    catalog_readings(f"{CLEAN},\n{SCORES},\n{OWN}")
-    + f"""select reading_id, item_idx, cast(case when imprint = '' then 25 * hs::int + 25 * hc::int + 20 * (hs and hc)::int else coalesce(text_score, 0) + 8 * hs::int + 8 * hc::int end as int) as score
-from (select own.reading_id, own.item_idx, clean.imprint, {FLAGS.replace('shape_guess', 'own.shape_guess').replace('color_guess', 'own.color_guess')} from own join clean using (reading_id)) left join ts using (imprint, item_idx)""",
-)
-define(
-    "score_candidates_basic",
-    catalog_readings(
-        f"""{CLEAN},\n{OWN},
-bt as (select reading_id, unnest({toks(strip(up('imprint')))}) as target, from clean),
-bi as (select item_idx, list_concat({toks(strip(up('print_front')))}, {toks(strip(up('print_back')))}) as tok from catalog),
-bs as (
- select reading_id, sum({weight('target', True)}) as total from bt join own using (reading_id) join bi using (item_idx)
- where list_has_any([target, {flat('target')}], tok) group by 1)"""
-    )
-    + f"""select own.reading_id, own.item_idx, cast(case when imprint = '' then 0 else coalesce(total, 0) + 8 * {has_shape('drug_shape', 'own.shape_guess')}::int
- + 8 * {has_color('color_class1', 'color_class2', 'own.color_guess', 'basic')}::int end as int) as score
-from own join clean using (reading_id) left join bs using (reading_id)""",
-)
 #: Every candidate of every distinct query.
 ALL = f"{CLEAN},\n{INDEX},\n{SEEDS},\nsp as (select q.*, c.* from q join seeds using (imprint) join catalog c using (item_idx))"
 PER_QUERY = "select imprint, shape_guess, color_guess, count(*) as n"
@@ -326,6 +313,9 @@ bs as (
     + f"""{SUMS} from (select sp.*, case when imprint = '' then 0 else coalesce(text_score, 0) + 8 * {has_shape('drug_shape', 'shape_guess')}::int
  + 8 * {has_color('color_class1', 'color_class2', 'color_guess', 'basic')}::int end as score from sp left join bs using (imprint, item_idx)) group by 1, 2, 3""",
 )
+for whole in ("item_has_shape", "item_has_color", "score_candidates", "score_candidates_basic"):
+    SQL[whole] = SQL[f"{whole}_all"]
+define("match_level", catalog_readings(f"{CLEAN},\n{SCORES}") + f"select imprint, item_idx, {LEVEL.replace('score', 'text_score')} as match_level from ts")
 define("text_score_join", catalog_readings(f"{CLEAN},\n{SCORES}") + "select imprint, count(*) as n, cast(sum(text_score) as bigint) as total, cast(sum(text_score * item_idx) as bigint) as weighed from ts group by 1")
 RANK = "imprint, shape_guess, color_guess, item_idx, score, rank"
 define("topk_candidates", catalog_readings(f"{MATCH},\n{ranked(False)}") + f"select {RANK} from rk where not missed")
@@ -372,15 +362,6 @@ define("ocr_pass_text", with_ctes("ocr_lines", more=PASSES) + "select roi_id, pa
 define("ocr_cascade", with_ctes("ocr_lines", more=PASSES) + "select roi_id, text from cs")
 define("ocr_sweep_best", with_ctes("ocr_attempts", more=SWEEP) + "select roi_id, text from sw")
 define("merge_roi_text", with_ctes("ocr_lines", more=PASSES) + f"select image_id, {normal('j', True)} as text from (select roi_id % 50 as image_id, coalesce(string_agg(text, ' ' order by roi_id) filter (text <> ''), '') as j from cs group by 1)")
-define(
-    "route_imprint",
-    with_ctes("ocr_lines", "ocr_attempts", more=f"{PASSES},\n{SWEEP}")
-    + r""", rt as (
- select sw.roi_id, cs.text as c, sw.text as w, substr(cs.text, 1, case when sw.roi_id % 4 = 0 then 9 else 2 end) as r,
-  sw.roi_id % 11 <> 0 and sw.roi_id % 5 <> 0 and sw.roi_id % 4 in (1, 2) as use from sw left join cs using (roi_id))
-select roi_id, coalesce(nullif(case when use then case when length(regexp_replace(coalesce(r, ''), '\s', '', 'g')) < 3 then w else r end else c end, ''), c, '') as text from rt""",
-)
-
 # detections
 
 SCORED = """sb as (
@@ -417,6 +398,66 @@ runs = "string_agg(ch, '' order by turn)"
 for c in ALPHABET:
     runs = f"regexp_replace({runs}, '[{c}]{{3,}}', '{c}{c}', 'g')"
 SQL["decode_radial"] = SQL["decode_radial"].replace("RUNS(string_agg(ch, '' order by turn))", runs)
+define(
+    "route_imprint",
+    SQL["decode_radial"].replace("with ", "with " + with_ctes("ocr_lines", "ocr_attempts", more=f"{PASSES},\n{SWEEP}")[5:].rstrip() + ",\n", 1).replace("select image_id, regexp", ", rd as (select image_id, regexp")
+    + r"""), rt as (
+ select sw.roi_id, cs.text as c, sw.text as w, coalesce(rd.text, '') as r, sw.roi_id % 11 <> 0 and sw.roi_id % 5 <> 0 and sw.roi_id % 4 in (1, 2) as use
+ from sw left join cs using (roi_id) left join rd on rd.image_id = sw.roi_id)
+select roi_id, coalesce(nullif(case when use then case when length(regexp_replace(r, '\s', '', 'g')) < 3 then w else r end else c end, ''), c, '') as text from rt""",
+)
+QUANTILE = lambda v, q: f"({v}[floor((len({v}) - 1) * {q}::double)::int + 1] + ({v}[ceil((len({v}) - 1) * {q}::double)::int + 1] - {v}[floor((len({v}) - 1) * {q}::double)::int + 1]) * ((len({v}) - 1) * {q}::double - floor((len({v}) - 1) * {q}::double)))"
+ROUNDS = "".join(f""",
+c{i + 1} as (select image_id, ys, coalesce(list_avg(list_filter(ys, lambda y: y < (c1 + c2) / 2)), c1) as c1, coalesce(list_avg(list_filter(ys, lambda y: y >= (c1 + c2) / 2)), c2) as c2 from c{i})""" for i in range(10))
+define(
+    "decode_linear",
+    "with recursive "
+    + with_ctes("detections", more=CLASS_MAP)[5:].rstrip()
+    + f""",
+a as (
+ select image_id, det_id, ch, conf, case when conf >= 0.25 or (ch = '-' and conf >= 0.12) then (x0 + x1) * 0.5::double end as cx, (y0 + y1) * 0.5::double as cy
+ from detections join cls using (class_id)),
+b as (select *, abs(cx - median(cx) over (partition by image_id)) as off from a),
+d as (select *, off <= 3.5::double * (median(off) over (partition by image_id) + 1e-6::double) as near from b),
+c0 as (select image_id, ys, {QUANTILE('ys', 0.3)} as c1, {QUANTILE('ys', 0.7)} as c2 from (select image_id, list(cy order by cy) as ys from d where near group by 1) where len(ys) >= 4){ROUNDS},
+e as (select d.*, coalesce(abs(cy - least(c1, c2)) > abs(cy - greatest(c1, c2)), false) as low from d left join c10 using (image_id) where near),
+f as (
+ select *, low and ch <> '-' as line, row_number() over w as k, list(cx) over (w rows between unbounded preceding and unbounded following) as xs
+ from e window w as (partition by image_id, low and ch <> '-' order by cx, -conf, ch = '-', low, det_id)),
+g as (
+ select image_id, line, ch, cx, conf, row_number() over (partition by image_id, line order by k) as k
+ from f where cx between {QUANTILE('xs', 0.1)} - 25 and {QUANTILE('xs', 0.9)} + 25),
+w as (
+ select image_id, line, k, cx, conf, ch, '' as done from g where k = 1
+ union all
+ select g.image_id, g.line, g.k, case when abs(g.cx - w.cx) < 10 and g.conf <= w.conf then w.cx else g.cx end, case when abs(g.cx - w.cx) < 10 and g.conf <= w.conf then w.conf else g.conf end,
+  case when abs(g.cx - w.cx) < 10 and g.conf <= w.conf then w.ch else g.ch end, case when abs(g.cx - w.cx) < 10 then w.done else w.done || w.ch end
+ from w join g on g.image_id = w.image_id and g.line = w.line and g.k = w.k + 1),
+t as (select image_id, line, arg_max(done || ch, k) as text from w group by 1, 2),
+u as (
+ select image_id, regexp_replace(replace(coalesce(max(text) filter (not line), ''), 'VV', 'W'), '^D{{2,}}', 'D') as top, translate(coalesce(max(text) filter (line), ''), '01', 'OI') as bot from t group by 1)
+select i.image_id, trim(coalesce(top, '') || case when coalesce(bot, '') = '' then '' else ' ' || bot end) as text from (select distinct image_id from a) i left join u using (image_id)""",
+)
+define(
+    "nms_boxes",
+    "with recursive "
+    + with_ctes("detections", more=SCORED)[5:].rstrip()
+    + """,
+bx as (
+ select image_id, anchor_id, cast(list_position(scores, list_max(scores)) - 1 as int) as class_id, list_max(scores) as conf, cx - w / 2 as x0, cy - h / 2 as y0, cx + w / 2 as x1, cy + h / 2 as y1
+ from sb where list_max(scores) >= 0.12),
+rb as (select *, greatest(x1 - x0, 0) * greatest(y1 - y0, 0) as area, row_number() over (partition by image_id order by conf desc, anchor_id) as k from bx),
+ov as (
+ select a.image_id, a.k, b.k as before, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) as met, a.area + b.area as total
+ from rb a join rb b on a.image_id = b.image_id and b.k < a.k),
+cf as (select rb.image_id, rb.k, list(before) filter (total - met > 0 and met / (total - met) > 0.45::double) as hit from rb left join ov using (image_id, k) group by 1, 2),
+kp as (
+ select image_id, k, [k] as kept from cf where k = 1
+ union all
+ select cf.image_id, cf.k, case when list_has_any(kept, coalesce(hit, [])) then kept else list_append(kept, cf.k) end from kp join cf on cf.image_id = kp.image_id and cf.k = kp.k + 1),
+ls as (select image_id, arg_max(kept, k) as kept from kp group by 1)
+select rb.image_id, anchor_id, conf, class_id, x0, y0, x1, y1 from rb join ls using (image_id) where list_contains(kept, k)""",
+)
 
 
 def rois(shaped: str, count: int, pad: str, order: str) -> str:
@@ -478,4 +519,35 @@ p as (select *, floor(0.10::double * greatest(xe - xs + 1, ye - ys + 1))::int as
 select roi_id, case when n < 50 then 0 else greatest(0, xs - pad) end::bigint as x0, case when n < 50 then 0 else greatest(0, ys - pad) end::bigint as y0,
  case when n < 50 then 100 else least(100, xe + 1 + pad) end::bigint as x1, case when n < 50 then 80 else least(80, ye + 1 + pad) end::bigint as y1 from p""",
 )
+DEBOSS = """cl as (
+ select roi_id, x, y, max(round_even(r * 0.299::double + g * 0.587::double + b * 0.114::double, 0)::int) as v, max(in_mask::int) as m from pixels group by 1, 2, 3),
+gd as (
+ select i.roi_id, xs.x, ys.y, coalesce(v, 0) as v, coalesce(m, 0) as m
+ from (select distinct roi_id from cl) i, (select unnest(range(100)) as x) xs, (select unnest(range(80)) as y) ys left join cl on cl.roi_id = i.roi_id and cl.x = xs.x and cl.y = ys.y),
+ro as (
+ select *, coalesce(lead(v) over w, lag(v) over w) - coalesce(lag(v) over w, lead(v) over w) as dx, coalesce(lead(v) over w, lag(v) over w) + 2 * v + coalesce(lag(v) over w, lead(v) over w) as sx
+ from gd window w as (partition by roi_id, y order by x)),
+so as (
+ select roi_id, m, coalesce(lag(dx) over w, lead(dx) over w) + 2 * dx + coalesce(lead(dx) over w, lag(dx) over w) as across, coalesce(lead(sx) over w, lag(sx) over w) - coalesce(lag(sx) over w, lead(sx) over w) as down
+ from ro window w as (partition by roi_id, x order by y)),
+db as (select roi_id, coalesce(avg(sqrt(across * across + down * down)) filter (m > 0), avg(sqrt(across * across + down * down))) / 255 as deboss from so group by 1)"""
+define("deboss_score", with_ctes("pixels", more=DEBOSS) + "select roi_id, round(deboss, 6) as deboss from db")
+define("imprint_type", with_ctes("pixels", more=f"{INK},\n{DEBOSS}") + "select roi_id, case when ink > 0.08 then 'printed' when deboss > 0.20 then 'debossed' else 'unknown' end as kind from ink join db using (roi_id)")
 define("ink_score", with_ctes("pixels", more=INK) + "select roi_id, round(ink, 6) as ink from ink")
+
+# label corpus
+
+
+def draw(key: str, what: str, n: str) -> str:
+    return f"('0x' || substr(md5('0|' || ({what})::varchar || '|' || {key}::varchar), 1, 13))::bigint % ({n})"
+
+
+define(
+    "synth_tokens",
+    catalog_readings().rstrip()
+    + f""", ln as (select reading_id as id, [2, 3, 3, 4, 4, 5, 6][{draw('reading_id', '-1', '7')} + 1] as n from readings),
+pl as (select id, n, array_to_string(list_transform(range(n), lambda i: {_list(ALPHABET[:36])}[{draw('id', 'i', '36')} + 1]), '') as plain from ln),
+hy as (select *, n >= 3 and {draw('id', '-2', '1000000')} < 180000 as hyphen, case when n >= 3 then 1 + {draw('id', '-3', 'n - 2')} else 1 end as k from pl)
+select id, case when hyphen then substr(plain, 1, k) || '-' || substr(plain, k + 1) else plain end as token from hy""",
+)
+define("assign_split", catalog_readings() + f"select case when {draw('reading_id', '-4', '1000000')} < 900000 then 'train' else 'val' end as split, count(*) as n from readings group by 1")

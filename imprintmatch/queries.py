@@ -54,7 +54,7 @@ def _pages(spark, sf_dir):
 
 @query
 def read_catalog_pages(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_no", F.length("payload").cast("long").alias("n_chars"), "parse_ok").select("page_no", "parse_ok")
+    return _pages(spark, sf_dir).select("page_no", "parse_ok", F.length("payload").cast("long").alias("n_chars"), F.md5("payload").alias("digest"))
 
 
 @query
@@ -249,7 +249,8 @@ def token_weight(spark, sf_dir):
 
 @query
 def match_level(spark, sf_dir):
-    return load(spark, sf_dir, "readings").select("reading_id", T.match_level(F.col("reading_id") % 200).alias("match_level"))
+    """Of the text scores of all imprints."""
+    return M.text_score_join(_imprints(spark, sf_dir), load(spark, sf_dir, "catalog")).select("imprint", "item_idx", T.match_level(F.col("text_score")).alias("match_level"))
 
 
 @query
@@ -303,8 +304,9 @@ def is_capsule(spark, sf_dir):
 
 @query
 def imprint_type(spark, sf_dir):
-    ink = P.ink_score(load(spark, sf_dir, "pixels"))
-    return ink.select("roi_id", L.imprint_type(F.col("ink") - 0.25, F.lit(0.15) + (F.col("roi_id") % 10) / 100).alias("kind"))
+    pixels = load(spark, sf_dir, "pixels")
+    both = P.ink_score(pixels).join(P.deboss_score(P.gray_images(pixels, 100, 80)), "roi_id")
+    return both.select("roi_id", L.imprint_type(F.col("ink"), F.col("deboss")).alias("kind"))
 
 
 @query
@@ -358,24 +360,6 @@ def seed_fallback(spark, sf_dir):
     return M.seed_fallback(_imprints(spark, sf_dir), M.build_print_index(load(spark, sf_dir, "catalog")))
 
 
-def _own_pairs(spark, sf_dir):
-    """Each reading with one item, at most: a sample of pairs.  The queries named *_all cover every pair."""
-    readings = load(spark, sf_dir, "readings").withColumn("item_idx", F.col("reading_id") % 1999 + 1)
-    return readings.join(load(spark, sf_dir, "catalog"), "item_idx")
-
-
-@query
-def item_has_shape(spark, sf_dir):
-    a, g = F.col("drug_shape"), F.col("shape_guess")
-    return _own_pairs(spark, sf_dir).select("reading_id", M.item_has_shape(a, g).alias("rank"), M.item_has_shape(a, g, prefilter=True).alias("prefilter"))
-
-
-@query
-def item_has_color(spark, sf_dir):
-    args = [F.col(c) for c in ("color_class1", "color_class2", "color_guess")]
-    return _own_pairs(spark, sf_dir).select("reading_id", M.item_has_color(*args).alias("rank"), M.item_has_color(*args, prefilter=True).alias("prefilter"))
-
-
 def _class_pairs(spark, sf_dir):
     """Every distinct query with the classes of its candidates."""
     queries, classes = _queries(spark, sf_dir), cut(M.item_classes(load(spark, sf_dir, "catalog")))
@@ -387,18 +371,6 @@ def prefilter_ladder(spark, sf_dir):
     return M.class_ladder(_class_pairs(spark, sf_dir)).groupBy(*M.QUERY, "mode").agg(F.sum("n").alias("n"), F.sum("idx_sum").alias("idx_sum"))
 
 
-@query
-def score_candidates(spark, sf_dir):
-    pairs = _own_pairs(spark, sf_dir).withColumn("imprint", T.post_fix_imprint(F.col("imprint_raw")))
-    return pairs.select("reading_id", "item_idx", M.score_pair(F.col("imprint")).cast("int").alias("score"))
-
-
-@query
-def score_candidates_basic(spark, sf_dir):
-    pairs = _own_pairs(spark, sf_dir).withColumn("imprint", T.post_fix_imprint(F.col("imprint_raw")))
-    return pairs.select("reading_id", "item_idx", M.score_pair(F.col("imprint"), basic=True).cast("int").alias("score"))
-
-
 def _flag_counts(pairs: DataFrame, rank: str, prefilter: str) -> DataFrame:
     return pairs.groupBy(*M.QUERY).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(rank)).alias("rank"), F.count_if(F.col(prefilter)).alias("prefilter"))
 
@@ -432,6 +404,11 @@ def score_candidates_basic_all(spark, sf_dir):
     return _scores_all(spark, sf_dir, basic=True)
 
 
+# Under their shorter names too.
+for _name in ("item_has_shape", "item_has_color", "score_candidates", "score_candidates_basic"):
+    QUERIES[_name] = QUERIES[f"{_name}_all"]
+
+
 @query
 def text_score_join(spark, sf_dir):
     scores = M.text_score_join(_imprints(spark, sf_dir), load(spark, sf_dir, "catalog"))
@@ -507,7 +484,7 @@ def merge_roi_text(spark, sf_dir):
 def route_imprint(spark, sf_dir):
     cascade = O.ocr_cascade(O.ocr_pass_text(load(spark, sf_dir, "ocr_lines")))
     sweep = O.ocr_sweep_best(load(spark, sf_dir, "ocr_attempts"))
-    radial = cascade.select("roi_id", F.substring("text", 1, 2 + 0).alias("text")).filter("roi_id % 4 <> 0").union(cascade.filter("roi_id % 4 = 0").select("roi_id", F.substring("text", 1, 9).alias("text")))
+    radial = D.decode_radial(_chars(spark, sf_dir)).withColumnRenamed("image_id", "roi_id")
     kind = F.element_at(F.array(*map(F.lit, ("printed", "debossed", "debossed", "unknown"))), (F.col("roi_id") % 4 + 1).cast("int"))
     regions = sweep.select("roi_id", (F.col("roi_id") % 11 != 0).alias("has_detector"), (F.col("roi_id") % 5 == 0).alias("is_capsule"), kind.alias("imprint_type"))
     return O.route_imprint(regions, cascade, radial, sweep)
@@ -643,7 +620,7 @@ def ink_score(spark, sf_dir):
 
 @query
 def deboss_score(spark, sf_dir):
-    return P.deboss_score(P.gray_images(load(spark, sf_dir, "pixels"), 100, 80))
+    return _rounded(P.deboss_score(P.gray_images(load(spark, sf_dir, "pixels"), 100, 80)), "deboss")
 
 
 # ---------------------------------------------------------------- label corpus

@@ -58,10 +58,40 @@ def dets(spark, rows):
     return spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "image_id long, det_id long, ch string, conf double, x0 int, y0 int, x1 int, y1 int")
 
 
+def linear(spark, rows):
+    return D.decode_linear(dets(spark, rows)).first().text
+
+
 def test_linear(spark):
     row = [("V", 0.9, 100, 100, 120, 140), ("V", 0.9, 130, 100, 150, 140), ("D", 0.9, 70, 100, 90, 140), ("0", 0.8, 100, 200, 120, 240), ("1", 0.8, 130, 200, 150, 240), ("-", 0.13, 116, 210, 124, 214)]
-    assert D.decode_linear(dets(spark, row)).first().text == D.linear_text([dict(zip(("ch", "conf", "x0", "y0", "x1", "y1"), r)) for r in row]) == "D-W OI".replace("-W", "V-V")
-    assert D.linear_text([]) == ""
+    assert linear(spark, row) == "D-W OI".replace("-W", "V-V")
+    assert linear(spark, row[::-1]) == linear(spark, row)
+
+
+LINES = {
+    "one line from left to right": ([("B", 0.9, 40, 10, 60, 30), ("A", 0.9, 10, 10, 30, 30), ("C", 0.3, 70, 10, 90, 30)], "ABC"),
+    "nothing sure": ([("A", 0.24, 10, 10, 30, 30), ("-", 0.11, 10, 10, 30, 30)], ""),
+    "of two boxes at one place the surer": ([("A", 0.5, 10, 10, 30, 30), ("4", 0.6, 14, 10, 34, 30), ("B", 0.9, 28, 10, 48, 30)], "4B"),
+    "equally sure boxes at one place": ([("A", 0.5, 10, 10, 30, 30), ("4", 0.5, 14, 10, 34, 30), ("B", 0.9, 28, 10, 48, 30)], "AB"),
+    "a stray far from the others": ([(c, 0.9, 10 + 20 * i, 10, 30 + 20 * i, 30) for i, c in enumerate("ABCDE")] + [("X", 0.9, 900, 10, 920, 30)], "ABCDE"),
+    "two lines": ([("X", 0.9, 10, 10, 30, 30), ("Y", 0.9, 40, 10, 60, 30), ("1", 0.9, 10, 110, 30, 130), ("0", 0.9, 40, 110, 60, 130)], "XY IO"),
+    "three characters are one line": ([("X", 0.9, 10, 10, 30, 30), ("Y", 0.9, 40, 10, 60, 30), ("1", 0.9, 70, 110, 90, 130)], "XY1"),
+    "doubled letters": ([("D", 0.9, 10, 10, 30, 30), ("D", 0.9, 40, 10, 60, 30), ("V", 0.9, 70, 10, 90, 30)], "DV"),
+}
+
+
+@pytest.mark.parametrize("name", LINES)
+def test_linear_cases(spark, name):
+    rows, want = LINES[name]
+    assert linear(spark, rows) == want
+
+
+def test_linear_keeps_images_apart(spark):
+    every = [(i, k, *r) for i, (rows, _) in enumerate(LINES.values()) for k, r in enumerate(rows)]
+    frame = spark.createDataFrame(every, "image_id long, det_id long, ch string, conf double, x0 int, y0 int, x1 int, y1 int")
+    got = D.decode_linear(frame.repartition(5))
+    assert {r.image_id: r.text for r in got.collect()} == {i: want for i, (_, want) in enumerate(LINES.values())}
+    assert "Python" not in got._jdf.queryExecution().toString()
 
 
 def test_radial(spark):
