@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -53,11 +54,15 @@ def _items(root: Column) -> Column:
 
 
 def flatten_envelope(pages: DataFrame, rows_per_page: int = ROWS_PER_PAGE) -> DataFrame:
-    """One row per item: page_no, pos, item_idx and the item's fields.  item_idx needs no global sort."""
+    """One row per item: page_no, pos, item_idx and the item's fields.  item_idx needs no global sort.
+
+    Fails on a page of more than rows_per_page items, whose item_idx would meet those of the next page.
+    """
     root = F.try_parse_json("payload")
     rows = pages.select("page_no", F.posexplode(_items(root)).alias("pos", "item"))
     fields = [F.try_variant_get("item", f"$.{f}", "string").alias(f.lower()) for f in FIELDS]
-    index = (F.col("page_no") - 1) * rows_per_page + F.col("pos")
+    full = F.raise_error(F.concat(F.lit(f"more than {rows_per_page} items on page "), F.col("page_no").cast("string"))).cast("bigint")
+    index = F.when(F.col("pos") < rows_per_page, (F.col("page_no") - 1) * rows_per_page + F.col("pos")).otherwise(full)
     return rows.select("page_no", "pos", index.cast("bigint").alias("item_idx"), *fields)
 
 
@@ -109,16 +114,19 @@ def load_progress(items: DataFrame) -> DataFrame:
 
 
 def load_snapshot(spark: SparkSession, path: str, now: float | None = None) -> DataFrame | None:
-    """The latest version's items, or None where there is no readable snapshot with an item."""
+    """The latest version's items, or None where there is no readable snapshot with an item.
+
+    The footers of all its files are read first, so that a broken file counts as unreadable.
+    """
     try:
         stored = spark.read.parquet(path)
         if "version" not in stored.columns:
             return None
         last = stored.agg(F.max("version")).first()[0]  # from partition names
         items = stored.filter(F.col("version") == last) if last is not None else None
-        if items is None or items.isEmpty():
+        if items is None or not items.count():
             return None
-    except AnalysisException:
+    except (PySparkException, Py4JJavaError):
         return None
     current = F.lit(float(now)) if now is not None else F.unix_micros(F.current_timestamp()) / 1e6
     return items.withColumn("loaded_at", F.coalesce("loaded_at", current))

@@ -15,11 +15,34 @@ def image_kind(content: Column) -> Column:
     return F.when(F.startswith(head, F.lit("FFD8FF")), "jpeg").when(F.startswith(head, F.lit("89504E470D0A1A0A")), "png").when(webp, "webp")
 
 
-def read_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """((path, content, kind) of images, (path, reason) of the others); the suffix and the first bytes decide."""
+def read_images(spark: SparkSession, path: str, decode: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((path, content, kind) of images, (path, reason) of the others); the suffix and the first bytes decide.
+
+    decode: jpeg and png files must also be images that Spark's image source can decode (reason: decode).  It
+    does not know webp, which is judged by its first bytes.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     files = files.withColumns({"_named": suffix.isin(*SUFFIXES), "kind": image_kind(F.col("content"))})
-    good = files.filter(F.col("_named") & F.col("kind").isNotNull()).select("path", "content", "kind")
-    bad = files.filter(~F.col("_named") | F.col("kind").isNull()).select("path", F.when(~F.col("_named"), "suffix").otherwise("content").alias("reason"))
-    return good, bad
+    reason = F.when(~F.col("_named"), "suffix").when(F.col("kind").isNull(), "content")
+    if decode:
+        bare = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+        seen = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jpg,jpeg,png,JPG,JPEG,PNG}").load(path)
+        seen = seen.filter("image.width > 0").select(bare(F.col("image.origin")).alias("_path"), F.lit(True).alias("_seen"))
+        files = files.join(seen, bare(F.col("path")) == F.col("_path"), "left")
+        reason = reason.when(F.col("_seen").isNull() & (F.col("kind") != "webp"), "decode")
+    files = files.withColumn("reason", reason)
+    return files.filter("reason is null").select("path", "content", "kind"), files.filter("reason is not null").select("path", "reason")
+
+
+def bgr_pixels(spark: SparkSession, path: str) -> DataFrame:
+    """(path, x, y, b, g, r) of the decoded jpeg and png images under path: a pixel table for the aggregates.
+
+    Planes are read by position from the source's rows of blue, green and red bytes (one byte in grey images).
+    """
+    image = spark.read.format("image").option("recursiveFileLookup", "true").load(path).select("image.*").filter("width > 0")
+    rows = image.select("origin", "width", "nChannels", "data", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
+    line = F.substring("data", F.col("y") * F.col("width") * F.col("nChannels") + 1, F.col("width") * F.col("nChannels"))
+    cells = rows.select("origin", "nChannels", "y", line.alias("line"), F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
+    byte = lambda k: F.conv(F.hex(F.substring("line", F.col("x") * F.col("nChannels") + F.least(F.lit(k), F.col("nChannels") - 1) + 1, F.lit(1))), 16, 10).cast("int")
+    return cells.select(F.col("origin").alias("path"), "x", "y", byte(0).alias("b"), byte(1).alias("g"), byte(2).alias("r"))
