@@ -27,8 +27,8 @@ OVERLAP = 0.5
 SHINGLE = 5
 BLOCK = 8
 K1, B = 1.2, 0.75
-#: Items of one index; more items are taken in turns, each with an index of its own.
-ITEMS_PER_INDEX = 20_000
+#: Items and words of one index, about; more are taken in turns, each with an index of its own.
+ITEMS_PER_INDEX, WORDS_PER_INDEX = 20_000, 4_000_000
 
 
 def normal(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -227,7 +227,8 @@ def term_counts(docs: DataFrame, terms: np.ndarray) -> tuple[dict[int, int], int
 def _indexes(docs: DataFrame, benchmark: DataFrame, threshold: float):
     """Broadcast indexes of all items, ITEMS_PER_INDEX at a time, so that each has a bounded size."""
     rows = benchmark.select("item_id", "text").filter("item_id is not null and text is not null").distinct()
-    turns = max(1, -(-rows.count() // ITEMS_PER_INDEX))
+    n, words = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()
+    turns = max(1, -(-n // ITEMS_PER_INDEX), -(-words // WORDS_PER_INDEX))
     for turn in range(turns):
         own = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(turns)) == turn)
         items = read_items([(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()])
@@ -244,9 +245,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
     The items are a stated query set; every index of theirs meets all documents.
 
-    Cases: items and texts that are null or without words match nothing; repeated documents are reported as
-    often as they stand there; a null doc_id is kept; an empty table gives no rows.  Other columns of docs
-    are not read.
+    Cases: items and texts that are null or without words match nothing; a text of any length is cut into
+    passages, a score or share that just reaches its bound counts; repeated documents are reported as often as
+    they stand there, repeated items once; a null doc_id is kept, an item without an id is left out; an empty
+    table gives no rows.  Other columns of docs are not read, whatever their names.
     """
     slim = docs.select("doc_id", "text")
     out = docs.sparkSession.createDataFrame([], LEAKS)
@@ -265,7 +267,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all columns, whose text holds no test item; nothing is shuffled."""
+    """The rows of docs, with all columns, whose text holds no test item; nothing is shuffled.  Cases as in find_leaks."""
     out = docs
     for sent in _indexes(docs, benchmark, threshold):
 
