@@ -4,10 +4,14 @@ Documents with equal sets form one class, and classes are compared.  Shingles ar
 class's group counts are its point, and the sum of coordinate minima of two points bounds their overlap
 from above.  With all shingles in one order, rare before frequent, two sets of similarity t share one of
 their first n - ceil(t n) + 1: such a shingle makes a block, and all blocks with the same pivot class make
-a cluster, so that every pair to find stands in a cluster.  Clusters are cut into leaves of bounded size.
-Pairs of leaves are searched as in an R-tree: first the boxes of the leaves, then the points; classes with
-a surviving partner are verified on their whole sets, first in one leaf each, then wherever a pair left by
-the bound is not connected yet.  A pair of leaves gives links enough for its components, not all its pairs.
+a cluster, so that every pair to find stands in a cluster.
+
+Each cluster is an R-tree over the points of its classes.  Leaves are packed in the order of tiles (size,
+then coarse counts) within a bound of classes and bytes.  First the classes of a leaf meet each other and the
+cluster's pivot: pairs that the bound leaves are verified on the whole sets.  Then, in clusters of several
+leaves whose classes are not all connected yet, the tree is searched from the root: pairs of nodes whose
+boxes and sizes allow a link are opened, down to pairs of leaves, whose classes meet as before.  A group of
+classes gives links enough for its components, not all its pairs.
 """
 
 from __future__ import annotations
@@ -28,6 +32,10 @@ from .url_filter import Level, _level
 #: The similarity is NUM / DEN or more.
 NUM, DEN = 75, 100
 MOST_HEAVY = 200_000
+#: A leaf has so many classes and bytes of sets at most (or one class); an inner node so many children.
+LEAF, LEAF_BYTES, FANOUT = 256, 8_000_000, 8
+#: Groups of a box, at most.
+BOX = 64
 
 
 def _heavy(k: int, often: int):
@@ -71,7 +79,7 @@ def _prefixes(k: int, heavy: np.ndarray):
 
     def make(batches):
         for batch in (piece for whole in batches for piece in _pieces(whole)):
-            sizes, nodes, points, rare, often = [], [], [], [], []
+            sizes, nodes, tiles, points, rare, often = [], [], [], [], [], []
             for own in doc_shingles(batch.column("text"), k):
                 n = len(own)
                 length = n - -(-NUM * n // DEN) + 1 if n else 0
@@ -83,12 +91,13 @@ def _prefixes(k: int, heavy: np.ndarray):
                     light, dense = own[:length], own[:0]
                 sizes.append(n)
                 nodes.append(node_of(own) if n else None)
-                points.append(point(own).tobytes())
+                tiles.append(tile(own))
+                points.append(packed(point(own)))
                 rare.append(light.view(np.int64))
                 often.append(dense[: length - len(light)].view(np.int64))
             lists = [pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(x) for x in part])].astype(np.int32), pa.array(np.concatenate(part))) for part in (rare, often)]
             ids = [batch.column("doc_id").cast(pa.int64()), batch.column("row")]
-            yield pa.RecordBatch.from_arrays([*ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary()), *lists], names=["doc_id", "row", "n", "node", "point", "rare", "often"])
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(tiles, pa.int64()), pa.array(points, pa.binary()), *lists], names=["doc_id", "row", "n", "node", "tile", "point", "rare", "often"])
 
     return make
 
@@ -104,8 +113,26 @@ def point(own: np.ndarray) -> np.ndarray:
     return counts.astype(np.uint8 if counts.max() < 256 else np.uint32)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """A point as read_point takes it: two counts to a byte where all are under 16."""
+    half = len(counts) // 2
+    return (counts[:half] | counts[half:] << 4).astype(np.uint8).tobytes() if counts.max() < 16 else counts.tobytes()
+
+
+def tile(own: np.ndarray) -> int:
+    """Order of packing: the size in steps of a similar pair's greatest difference, then the counts of eight groups
+    in quarters of their spread."""
+    n = len(own)
+    if not n:
+        return 0
+    counts = np.bincount((own & np.uint64(7)).astype(np.int64), minlength=8)
+    quarter = np.searchsorted((-0.67, 0.0, 0.67), (counts - n / 8) / np.sqrt(n * 7 / 64), side="right")
+    return (int(np.log(n) / np.log(DEN / NUM)) << 16) | int((quarter << np.arange(0, 16, 2)).sum())
+
+
 def read_point(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint8 if len(data) == groups(n) else np.uint32)
+    g, own = groups(n), np.frombuffer(data, np.uint8)
+    return np.r_[own & 15, own >> 4] if len(own) == g // 2 else own if len(own) == g else np.frombuffer(data, np.uint32)
 
 
 def folded(p: np.ndarray, g: int) -> np.ndarray:
@@ -221,47 +248,160 @@ def _spanning(pairs: np.ndarray, count: int) -> np.ndarray:
     return np.column_stack([part[rest], rest])
 
 
-def _by_group(batches, columns: list[str]):
-    """Rows of each (p, i, j, part) of a sorted partition together; a group is two leaves at most."""
-    held: list[tuple] = []
+def _by_group(batches, keys: tuple[str, ...]):
+    """(key, rows) of each run of equal keys in a sorted partition; a group is two leaves at most."""
+    held: list[pa.RecordBatch] = []
     last = None
-    for batch in (piece for whole in batches for piece in _pieces(whole)):
-        keys = zip(*(batch.column(c).to_pylist() for c in ("p", "i", "j", "part")))
-        for key, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in columns))):
+    together = lambda: held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.array([batch.column(k).to_numpy() for k in keys])
+        ends = np.r_[np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1, batch.num_rows].tolist()
+        for first, end in zip([0, *ends], ends):
+            key = tuple(at[:, first].tolist())
             if key != last and held:
-                yield last, held
+                yield last, together()
                 held = []
             last = key
-            held.append(row)
+            held.append(batch.slice(first, end - first))
     if held:
-        yield last, held
+        yield last, together()
+
+
+def _bytes_of(column: pa.Array) -> list[memoryview]:
+    """The values of a binary column, not copied."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1].tolist()
+    data = memoryview(column.buffers()[2]) if column.buffers()[2] else memoryview(b"")
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def _pack(leaf_size: int):
+    """Adds leaf to rows sorted by p and tile: runs of one p within the bounds, numbered throughout the table."""
+
+    def pack(batches):
+        from pyspark import TaskContext
+
+        leaf, last, rows, size = TaskContext.get().partitionId() << 32, None, 0, 0
+        for batch in batches:
+            leaves = []
+            for p, n in zip(*(batch.column(c).to_pylist() for c in ("p", "n"))):
+                if p != last or rows == leaf_size or size + 8 * n > LEAF_BYTES:
+                    leaf, last, rows, size = leaf + 1, p, 0, 0
+                rows, size = rows + 1, size + 8 * n
+                leaves.append(leaf)
+            yield batch.append_column("leaf", pa.array(leaves, pa.int64()))
+
+    return pack
+
+
+def _boxes(batches):
+    """Of each leaf: its least and greatest size, the greatest counts of its points, and its label where it has but one."""
+    for (p, leaf), rows in _by_group(batches, ("p", "leaf")):
+        n, label = rows.column("n").to_numpy(), rows.column("label").to_numpy()
+        points = [read_point(x, m) for x, m in zip(_bytes_of(rows.column("point")), n)]
+        g = min(BOX, *(len(x) for x in points))
+        box = np.max([folded(x, g) for x in points], axis=0).astype(np.uint32)
+        one = int(label[0]) if (label == label[0]).all() else None
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((p, pa.int64()), (leaf, pa.int64()), (int(n.min()), pa.int64()), (int(n.max()), pa.int64()), (box.tobytes(), pa.binary()), (one, pa.int64()))], names=["p", "leaf", "lo", "hi", "box", "label"])
+
+
+class Tree:
+    """The boxes of a cluster's leaves, in order, and those of their inner nodes."""
+
+    def __init__(self, lo: np.ndarray, hi: np.ndarray, boxes: list[np.ndarray], label: list[int | None]):
+        g = min(len(b) for b in boxes)
+        pure = np.array([x is not None for x in label])
+        level = (lo, hi, np.array([folded(b, g) for b in boxes]), pure, np.array([x or 0 for x in label], np.int64))
+        self.levels, self.opened = [level], 0
+        while len(level[0]) > 1:
+            at = np.arange(0, len(level[0]), FANOUT)
+            lo, hi, box, pure, label = level
+            same = np.logical_and.reduceat(pure, at) & (np.minimum.reduceat(label, at) == np.maximum.reduceat(label, at))
+            level = (np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(box, at, axis=0), same, label[at])
+            self.levels.append(level)
+
+    def search(self):
+        """Pairs (i <= j) of leaves whose boxes allow a link between classes of different labels, some at a time."""
+        yield from self._below(len(self.levels) - 1, np.zeros((1, 2), np.int64))
+
+    def _below(self, depth: int, pairs: np.ndarray):
+        pairs = pairs[self._may(depth, pairs)]
+        self.opened += len(pairs)
+        if not depth or not len(pairs):
+            yield pairs
+            return
+        step, size = np.arange(FANOUT), len(self.levels[depth - 1][0])
+        for first in range(0, len(pairs), 256):
+            i, j = (pairs[first : first + 256] * FANOUT).T
+            i, j = np.broadcast_arrays((i[:, None] + step)[:, :, None], (j[:, None] + step)[:, None, :])
+            below = np.column_stack([i.ravel(), j.ravel()])
+            yield from self._below(depth - 1, below[(below[:, 0] <= below[:, 1]) & (below[:, 1] < size)])
+
+    def _may(self, depth: int, pairs: np.ndarray) -> np.ndarray:
+        lo, hi, box, pure, label = self.levels[depth]
+        i, j = pairs.T
+        fits = (DEN * hi[i] >= NUM * lo[j]) & (DEN * hi[j] >= NUM * lo[i]) & ~(pure[i] & pure[j] & (label[i] == label[j]))
+        at = np.flatnonzero(fits)
+        fits[at] = np.minimum(box[i[at]], box[j[at]]).sum(axis=1) >= needed(lo[i[at]], lo[j[at]])
+        return fits
+
+
+def _open_leaves(batches):
+    """(p, i, j) of pairs of leaves that the search of each cluster's tree ends in."""
+    for (p,), rows in _by_group(batches, ("p",)):
+        tree = Tree(rows.column("lo").to_numpy(), rows.column("hi").to_numpy(), [np.frombuffer(x, np.uint32) for x in _bytes_of(rows.column("box"))], rows.column("label").to_pylist())
+        leaf = rows.column("leaf").to_numpy()
+        for pairs in tree.search():
+            ends = [leaf[pairs[:, k]] for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), p), pa.int64()), *map(pa.array, ends)], names=["p", "i", "j"])
+
+
+FOUND = "p long, i long, j long, part long, node long, leaf long"
+
+
+def _found(place: tuple[int, int, int], pairs: np.ndarray, node: np.ndarray, leaf: np.ndarray) -> pa.RecordBatch:
+    """Memberships FOUND of the ends of pairs.  Partners of partners have one part; pairs between parts are none."""
+    used = np.unique(pairs)
+    part = _parts(pairs, len(node))[used]
+    return pa.RecordBatch.from_arrays([*(pa.array(np.full(len(used), x), pa.int64()) for x in place), *(pa.array(x, pa.int64()) for x in (part, node[used], leaf[used]))], names=["p", "i", "j", "part", "node", "leaf"])
 
 
 def _search(batches):
-    """Memberships (p, i, j, part, node, leaf) of classes with a partner that the bound leaves.
+    """FOUND of classes of two leaves, or of one, with a partner of another label that the bound leaves."""
+    for place, rows in _by_group(batches, ("p", "i", "j")):
+        n, leaf, node, label = (rows.column(c).to_numpy() for c in ("n", "leaf", "node", "label"))
+        pairs = _candidates(n, [read_point(x, m) for x, m in zip(_bytes_of(rows.column("point")), n)], leaf)
+        pairs = pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
+        if len(pairs):
+            yield _found(place, pairs, node, leaf)
 
-    Partners of partners have one part; pairs between parts are none.
-    """
-    for (p, i, j, _), rows in _by_group(batches, ["node", "leaf", "n", "point"]):
-        if len(rows) < 2:
+
+def _search_small(batches):
+    """FOUND of clusters that are leaves themselves; where their sets have more bytes than a leaf, of all pairs of their parts."""
+    for (p,), rows in _by_group(batches, ("p",)):
+        if rows.num_rows < 2:
             continue
-        n = np.array([r[2] for r in rows])
-        leaf = np.array([r[1] for r in rows])
-        pairs = _candidates(n, [read_point(r[3], r[2]) for r in rows], leaf)
-        used = np.unique(pairs)
-        if len(used):
-            where = [pa.array([x] * len(used), pa.int64()) for x in (p, i, j)]
-            part, nodes = _parts(pairs, len(rows))[used], [rows[u][0] for u in used]
-            yield pa.RecordBatch.from_arrays([*where, pa.array(part, pa.int64()), pa.array(nodes, pa.int64()), pa.array(leaf[used], pa.int64())], names=["p", "i", "j", "part", "node", "leaf"])
+        n, node = rows.column("n").to_numpy(), rows.column("node").to_numpy()
+        points = [read_point(x, m) for x, m in zip(_bytes_of(rows.column("point")), n)]
+        own = (np.cumsum(8 * n) - 1) // LEAF_BYTES
+        for i in np.unique(own).tolist():
+            for j in np.unique(own[own >= i]).tolist():
+                at = np.flatnonzero((own == i) | (own == j))
+                leaf = (own[at] == j).astype(np.int64) if i < j else np.zeros(len(at), np.int64)
+                pairs = _candidates(n[at], [points[k] for k in at], leaf)
+                if len(pairs):
+                    yield _found((p, i, j), pairs, node[at], leaf)
 
 
 def _links(batches):
     """Links (a, b) of labels that connect the similar classes of each group."""
-    for _, rows in _by_group(batches, ["label", "leaf", "members"]):
-        if len(rows) < 2:
+    for _, rows in _by_group(batches, ("p", "i", "j", "part")):
+        if rows.num_rows < 2:
             continue
-        sets, leaf = [np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[1] for r in rows])
-        labels, label = np.unique(np.array([r[0] for r in rows]), return_inverse=True)
+        sets, leaf = [np.frombuffer(x, np.uint64) for x in _bytes_of(rows.column("members"))], rows.column("leaf").to_numpy()
+        labels, label = np.unique(rows.column("label").to_numpy(), return_inverse=True)
         pairs = _candidates(np.array([len(s) for s in sets]), [point(s) for s in sets], leaf)
         pairs = pairs[label[pairs[:, 0]] != label[pairs[:, 1]]]
         if len(pairs):
@@ -292,14 +432,11 @@ def _clusters(feats: DataFrame) -> DataFrame:
     return rare.filter("lo < hi").select("p", "node").union(often.select("p", "node")).distinct()
 
 
-def _groups(clusters: DataFrame, leaf_size: int, *more: str) -> DataFrame:
-    """(p, i, j, node, leaf): every class in all pairs of leaves of its clusters that its own leaf is in."""
-    sizes = clusters.groupBy("p").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    parts = F.ceil(F.col("size") / leaf_size)
-    rows = clusters.join(sizes, "p").select("p", "node", *more, parts.alias("m"), F.pmod(F.xxhash64("node", F.lit(1)), parts).alias("c"))
-    rows = rows.select("p", "node", *more, "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("d"))
-    second = (F.col("c") > F.col("d")).cast("long")
-    return rows.select("p", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "node", second.alias("leaf"), *more)
+def _packed(members: DataFrame, leaf_size: int, *first: str) -> DataFrame:
+    """members with their leaf: by p, then by first, then by tile."""
+    keys = ["p", *first, "tile", "node"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema) + ", leaf long"
+    return cut(members.repartitionByRange(shuffle_partitions(members.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(_pack(leaf_size), schema))
 
 
 def _home(found: DataFrame) -> DataFrame:
@@ -314,63 +451,103 @@ def _home(found: DataFrame) -> DataFrame:
     return both.selectExpr("p", "i", "i as j", "0L as part", "node", "0L as leaf", "node as label")
 
 
-def _open(found: DataFrame, labels: DataFrame) -> DataFrame:
-    """The memberships of parts whose classes have several labels yet; a part is two leaves at most."""
-    known = found.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    part = W.partitionBy("p", "i", "j", "part")
-    ends = known.withColumn("lo", F.min("label").over(part)).withColumn("hi", F.max("label").over(part))
-    return ends.filter("lo < hi").drop("lo", "hi")
+def _label_of(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return rows.withColumn("label", F.col("node"))
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def similar_classes(docs: DataFrame, k: int = 5, leaf_size: int = 256) -> tuple[DataFrame, DataFrame | None]:
-    """(features per document, labels of linked classes).
+def _open(rows: DataFrame, *group: str) -> DataFrame:
+    """The groups whose classes have several labels: combined before the shuffle."""
+    return rows.groupBy(*group).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select(*group)
 
-    Sets are verified in two passes.  The first takes each class in one leaf; the second takes all other
-    pairs that the bound leaves, but for those that the first has connected already.
-    """
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """labels (node, label) after links (a, b) between labels, or between classes that have none."""
+    if links.isEmpty():
+        return labels
+    joined = components(links)
+    if labels is None:
+        return joined
+    far = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("far")), "label", "left").select("node", F.coalesce("far", "label").alias("label"))
+    return cut(far.union(joined.join(labels, "node", "left_anti").select("node", "label")))
+
+
+def similar_classes(docs: DataFrame, k: int = 5, leaf_size: int = LEAF) -> tuple[DataFrame, DataFrame | None]:
+    """(features per document, labels of linked classes)."""
     n_parts = shuffle_partitions(docs.sparkSession)
     slim = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    feats = cut(slim.mapInArrow(_prefixes(k, heavy_shingles(slim, k)), "doc_id long, row long, n long, node long, point binary, rare array<long>, often array<long>"))
+    feats = cut(slim.mapInArrow(_prefixes(k, heavy_shingles(slim, k)), "doc_id long, row long, n long, node long, tile long, point binary, rare array<long>, often array<long>"))
     clusters = cut(_clusters(feats))
-    points = feats.filter("n > 0").select("node", "n", "point").dropDuplicates(["node"])
-    feats = cut(feats.select("doc_id", "row", "n", "node"))
-    together = lambda df: df.repartition(n_parts, "p", "i", "j").sortWithinPartitions("p", "i", "j", "part")
-    members = clusters.join(points.select("node", "n", "point"), "node").select("p", "node", "n", "point")
-    leaves = _groups(members, leaf_size, "n", "point").withColumn("part", F.lit(0).cast("long"))
-    found = cut(together(leaves).mapInArrow(_search, "p long, i long, j long, part long, node long, leaf long"))
-    wanted = cut(found.select(F.col("node").alias("key")).distinct())
-    if wanted.isEmpty():
-        return feats, None
-    sets, drop = _fetched(docs, wanted, k)
-    verified = lambda df: cut(together(df.join(sets, "node")).mapInArrow(_links, "a long, b long"))
-    labels = components(verified(_home(found)))
-    more = verified(_open(found, labels))
-    drop()
-    if not more.isEmpty():
-        joined = components(more)
-        far = labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("far")), "label", "left").select("node", F.coalesce("far", "label").alias("label"))
-        labels = cut(far.union(joined.join(labels, "node", "left_anti").select("node", "label")))
-    return feats, None if labels.isEmpty() else labels
+    points = feats.filter("n > 0").select("node", "n", "tile", "point").dropDuplicates(["node"])
+    slim = cut(feats.select("doc_id", "row", "n", "node"))
+    # Stored, so that the join on a large cluster is dealt out anew and can be split.
+    sizes = cut(clusters.groupBy("p").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    of_size = lambda which: clusters.join(sizes.filter(which).select("p"), "p").join(points, "node").select("p", "node", "n", "tile", "point")
+    places = ("p", "i", "j")
+    together = lambda df, *keys: df.repartition(n_parts, *places).sortWithinPartitions(*places, *keys)
+    searched = lambda rows: together(rows).mapInArrow(_search, FOUND)
+    linked = lambda found, sets: cut(together(found.join(sets, "node"), "part").mapInArrow(_links, "a long, b long"))
+    found = of_size(f"size <= {leaf_size}").repartition(n_parts, "p").sortWithinPartitions("p", "tile", "node").mapInArrow(_search_small, FOUND)
+    leaves = None
+    if not sizes.filter(f"size > {leaf_size}").isEmpty():
+        leaves = _packed(of_size(f"size > {leaf_size}"), leaf_size)
+        pivots = leaves.select("p", "leaf").distinct().join(leaves.filter("p = node").select("p", "node", "n", "point", F.col("leaf").alias("own")), "p").filter("leaf <> own").drop("own")
+        rows = leaves.select("p", "leaf", "node", "n", "point").unionByName(pivots)
+        found = found.union(searched(rows.selectExpr("p", "leaf as i", "leaf as j", "node", "n", "point", "0L as leaf", "node as label")))
+    found, labels = cut(found), None
+    if not found.isEmpty():
+        sets, drop = _fetched(docs, cut(found.select(F.col("node").alias("key")).distinct()), k)
+        try:
+            labels = _merged(None, linked(_home(found), sets))
+            known = _label_of(found, labels)
+            labels = _merged(labels, linked(known.join(cut(_open(known, *places, "part")), [*places, "part"], "left_semi"), sets))
+        finally:
+            drop()
+    if leaves is None:
+        return slim, labels
+    # Large clusters with several labels: their trees.
+    known = _label_of(leaves.drop("leaf"), labels)
+    known = known.join(cut(_open(known, "p")), "p", "left_semi")
+    # Classes of a cluster's greatest label stand together, so that leaves of that label alone need not meet.
+    greatest = cut(known.groupBy("p", "label").agg(F.count(F.lit(1)).alias("_n")).groupBy("p").agg(F.max(F.struct("_n", "label"))["label"].alias("_most")))
+    if greatest.isEmpty():
+        return slim, labels
+    known = known.join(greatest, "p").withColumn("apart", (F.col("label") != F.col("_most")).cast("int")).drop("_most")
+    leaves = _packed(known, leaf_size, "apart")
+    boxes = leaves.repartition(n_parts, "p", "leaf").sortWithinPartitions("p", "leaf").mapInArrow(_boxes, "p long, leaf long, lo long, hi long, box binary, label long")
+    pairs = cut(boxes.repartition(n_parts, "p").sortWithinPartitions("p", "leaf").mapInArrow(_open_leaves, "p long, i long, j long"))
+    ends = pairs.selectExpr("*", "i as at", "0L as side").union(pairs.filter("i < j").selectExpr("*", "j as at", "1L as side"))
+    rows = ends.withColumnRenamed("at", "leaf").join(leaves.select("p", "leaf", "node", "n", "point", "label"), ["p", "leaf"])
+    found = cut(searched(rows.drop("leaf").withColumnRenamed("side", "leaf")))
+    if found.isEmpty():
+        return slim, labels
+    sets, drop = _fetched(docs, cut(found.select(F.col("node").alias("key")).distinct()), k)
+    try:
+        return slim, _merged(labels, linked(_label_of(found, labels), sets))
+    finally:
+        drop()
 
 
 def _labelled(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, row, n, label) of every row of docs; label is null where a text has no word."""
     feats, labels = similar_classes(docs, k)
-    out = feats.select("doc_id", "row", "n", "node")
     if labels is None:
-        return out.withColumnRenamed("node", "label")
-    return out.join(labels, "node", "left").select("doc_id", "row", "n", F.coalesce("label", "node").alias("label"))
+        return feats.withColumnRenamed("node", "label")
+    return feats.join(labels, "node", "left").select("doc_id", "row", "n", F.coalesce("label", "node").alias("label"))
 
 
 def ngram_join(docs: DataFrame, k: int = 5) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id reachable by links).
 
     Cases: null and empty texts, and texts without a word, have an empty set and no link; a text of fewer
-    than k words is one shingle; repeated rows are all returned; a null doc_id is never a component_id
-    unless its component has no other.  An empty table gives an empty result.  Other columns are not read.
+    than k words is one shingle; a text of any length is taken whole; repeated rows and texts are all returned;
+    a tie in similarity (exactly 0.75) is a link; a null doc_id is never a component_id unless its component
+    has no other.  An empty table gives an empty result.  Other columns are not read, whatever their names.
     """
     out = cut(_labelled(docs, k))
-    least = out.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
+    # Stored, so that the join on a large component is dealt out anew and can be split.
+    least = cut(out.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")))
     # Texts without words have no label; they are kept from meeting in one task of the join.
     linked = out.filter("label is not null").join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
     alone = out.filter("label is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -380,14 +557,17 @@ def ngram_join(docs: DataFrame, k: int = 5) -> DataFrame:
 def one_of_each(docs: DataFrame, k: int = 5) -> DataFrame:
     """The rows of docs, with all columns, but one row of each component: that with the least doc_id.
 
-    Texts without words are no copies of each other and all stay.  docs must list its rows alike each time
-    it is read, as stored tables do.
+    Texts without words are no copies of each other and all stay.  docs must list its rows alike each time it is
+    read, as stored tables do: rows are known by their place in it.  A change is noticed and fails where it
+    changes a row's doc_id.  Other cases as in ngram_join.
     """
-    name = "_row"
-    while name in docs.columns:
-        name = f"_{name}"
+    name, other = "_row", "_id"
+    while {name, other} & set(docs.columns):
+        name, other = f"_{name}", f"_{other}"
     out = cut(_labelled(docs, k))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    stays = out.filter("label is not null").groupBy("label").agg(F.min(first).alias("first")).select(F.col("first.row").alias(name))
-    stays = stays.union(out.filter("label is null").select(F.col("row").alias(name)))
-    return docs.withColumn(name, F.monotonically_increasing_id()).join(stays, name, "left_semi").drop(name)
+    stays = out.filter("label is not null").groupBy("label").agg(F.min(first).alias("first")).select(F.col("first.row").alias(name), F.col("first.doc_id").alias(other))
+    stays = stays.union(out.filter("label is null").select(F.col("row").alias(name), F.col("doc_id").alias(other)))
+    kept = docs.withColumn(name, F.monotonically_increasing_id()).join(stays, name)
+    moved = F.raise_error(F.lit("docs listed its rows differently when it was read again"))
+    return kept.filter(F.when(F.col("doc_id").cast("long").eqNullSafe(F.col(other)), F.lit(True)).otherwise(moved.cast("boolean"))).drop(name, other)
