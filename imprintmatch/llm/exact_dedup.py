@@ -26,7 +26,8 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Cases: a null text equals the empty text.  A null doc_id ranks behind all others and stays only
     where its group has no other.  Of rows equal in id and text exactly one stays.  The same id with
-    different texts gives separate groups.  An empty table gives an empty result.
+    different texts gives separate groups.  Texts are compared whole at any length.  An empty table gives an
+    empty result.
     """
     n, rows = shuffle_partitions(docs.sparkSession), docs.count()
     most = max(16, rows // (parts_per_task * n))
@@ -38,7 +39,8 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hot = slim.groupBy("_h").agg(F.count(F.lit(1)).alias("_copies")).filter(F.col("_copies") > most)
     dealt = slim.join(F.broadcast(hot), "_h", "left")
     ranges = F.ceil(F.col("_copies") / F.lit(most))
-    dealt = dealt.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), ranges), F.lit(0)))
+    # The input's partition takes part, so that copies under one id, or none, are dealt out too.
+    dealt = dealt.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), ranges), F.lit(0)))
     ordered = dealt.repartitionByRange(n, "_head", "_h", "_salt")
     group = ["_head", "_h", "_salt", "_text"]
     best = F.col("doc_id").desc_nulls_last() if keep == "largest" else F.col("doc_id").asc_nulls_last()
@@ -50,17 +52,22 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.first("doc_id").over(near).alias("_keep"),
         F.count(F.lit(1)).over(all_near).alias("_size"),
         F.when(F.col("_copies").isNotNull(), F.col("_text")).alias("_hot"),
+        "_salt",
     )
     local = cut(local.withColumn("_hot", F.when(F.col("_place") == 1, F.col("_hot"))))
-    pick = F.max if keep == "largest" else F.min
+    known = F.col("_keep").isNotNull()
+    own = F.struct((known if keep == "largest" else ~known).alias("known"), F.col("_keep").alias("keep"), F.col("_salt").alias("salt"))
+    pick = F.max(own) if keep == "largest" else F.min(own)
     # One row per salted range of a hot text, compared in full again.
-    wide = local.filter(F.col("_hot").isNotNull()).groupBy("_hot").agg(F.first("text_sha256").alias("text_sha256"), pick("_keep").alias("_keep_all"), F.sum("_size").alias("_size_all"))
-    out = local.drop("_hot").join(F.broadcast(wide.drop("_hot")), "text_sha256", "left")
-    keep_id = F.coalesce(F.col("_keep_all"), F.col("_keep"))
+    wide = local.filter(F.col("_hot").isNotNull()).groupBy("_hot").agg(F.first("text_sha256").alias("text_sha256"), pick.alias("_best"), F.sum("_size").alias("_size_all"))
+    wide = wide.select("text_sha256", "_size_all", F.col("_best.keep").alias("_keep_all"), F.col("_best.salt").alias("_salt_all"))
+    out = local.drop("_hot").join(F.broadcast(wide), "text_sha256", "left")
+    keep_id = F.when(F.col("_size_all").isNotNull(), F.col("_keep_all")).otherwise(F.col("_keep"))
+    here = F.coalesce(F.col("_salt") == F.col("_salt_all"), F.lit(True))
     return out.select(
         "doc_id",
         keep_id.alias("keep_id"),
         F.coalesce(F.col("_size_all"), F.col("_size")).cast("long").alias("group_size"),
-        ((F.col("_place") == 1) & F.col("_keep").eqNullSafe(keep_id)).alias("kept"),
+        ((F.col("_place") == 1) & F.col("_keep").eqNullSafe(keep_id) & here).alias("kept"),
         "text_sha256",
     )
