@@ -23,6 +23,8 @@ from .models import fit_logistic, sigmoid
 
 #: Labelled rows that a model is fitted on, at most: those with the least hash of their id.
 MAX_TRAIN = 40_000
+#: Features that are sent to all tasks, at most; more meet the texts in a sorted join.
+MOST_BROADCAST = 2_000_000
 PREFIXES = (4, 5, 6)
 
 #: Readings of characters in disguised words.
@@ -292,7 +294,7 @@ def find_marks(train: DataFrame) -> Marks:
 
     Groups of near copies (one least shingle) count once, or a copied text would make marks of its words.
     """
-    sizes = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.countDistinct("text").alias("n")).collect()}
+    sizes = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.countDistinct(F.xxhash64("text")).alias("n")).collect()}
     n_bad, n_good = sizes.get(1, 0), sizes.get(0, 0)
     none = Marks(np.zeros(0, np.uint64), np.zeros(0))
     if not n_bad or not n_good:
@@ -300,17 +302,21 @@ def find_marks(train: DataFrame) -> Marks:
     schema = "key long, toxic long, groups long"
     bad = train.filter("toxic = 1").select("text", "toxic").mapInArrow(_presence, schema).groupBy("key").agg(F.countDistinct("groups").alias("bad"))
     tried = cut(bad)
-    bad = tried.filter("bad >= 3")
-    good = train.filter("toxic = 0").select("text", "toxic").mapInArrow(_presence, schema).join(F.broadcast(bad.select("key")), "key").groupBy("key").agg(F.countDistinct("groups").alias("good"))
-    both = bad.join(good, "key", "left").select("key", "bad", F.coalesce("good", F.lit(0)).alias("good")).toArrow()
-    key, b, g = (both[c].to_numpy().astype(np.int64) for c in ("key", "bad", "good"))
+    bad, n_tried = tried.filter("bad >= 3"), tried.count()
+    wanted = bad.select("key")
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
+    good = train.filter("toxic = 0").select("text", "toxic").mapInArrow(_presence, schema).join(wanted, "key").groupBy("key").agg(F.countDistinct("groups").alias("good"))
+    both = bad.join(good, "key", "left").select("key", "bad", F.coalesce("good", F.lit(0)).alias("good"))
+    # Only marks come to the driver: most words of toxic texts are none.
     base = n_bad / (n_bad + n_good)
-    rate = b / np.maximum(1, b + g)
-    gain = b * np.log(np.maximum(rate, 1e-9) / base) + g * np.log(np.maximum(1 - rate, 1e-9) / (1 - base))
-    keep = (rate > 0.5) & (gain > np.log(max(2, tried.count())) + 1)
-    odds = np.log((b + 0.5 * base) / (g + 0.5 * (1 - base))) - np.log(base / (1 - base))
-    order = np.argsort(key.view(np.uint64)[keep])
-    return Marks(key.view(np.uint64)[keep][order], np.clip(odds[keep][order], 0, 12))
+    b, g = F.col("bad"), F.col("good")
+    rate = b / (b + g)
+    gain = b * F.log(rate / base) + g * F.log(F.greatest(1 - rate, F.lit(1e-9)) / (1 - base))
+    odds = F.log((b + 0.5 * base) / (g + 0.5 * (1 - base))) - float(np.log(base / (1 - base)))
+    marks = both.filter((rate > 0.5) & (gain > float(np.log(max(2, n_tried))) + 1)).select("key", odds.alias("odds")).toArrow()
+    key = marks["key"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(key)
+    return Marks(key[order], np.clip(marks["odds"].to_numpy().astype(float)[order], 0, 12))
 
 
 def fit(docs: DataFrame, labels: DataFrame, decoder: Decoder, most: int = MAX_TRAIN) -> Marks:
