@@ -154,6 +154,15 @@ class Held:
         return out
 
 
+def _unseen_odds(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Log-odds of the first len(fold) rows, each from a fit on all rows but those of its fold."""
+    out = np.zeros(len(fold))
+    for f in np.unique(fold):
+        rest = np.r_[fold != f, np.ones(len(y) - len(fold), bool)]
+        out[fold == f] = x[: len(fold)][fold == f] @ fit_logistic(x[rest], y[rest], penalty=1.0)
+    return np.clip(out, -30, 30)
+
+
 def co_train(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS, pool=None, most: int | None = None) -> CoModel:
     """y: 1, 0, or -1 for unlabelled rows; labelled rows of fold 0 are kept for the calibrations.
 
@@ -177,7 +186,9 @@ def co_train(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, fold: np.
         if turn == rounds:
             break
         for k, (a, b, is_high) in enumerate(pool.take(model, most - high, high)):
-            sure = fit_logistic(np.column_stack([np.ones(held.sum()), odds[k]]), y[held], penalty=1.0)
+            # What a view's log-odds are worth, from all labelled rows: each was out of the fit that its own come from.
+            unseen = np.r_[odds[k], _unseen_odds(*own[k], fold[seed])]
+            sure = fit_logistic(np.column_stack([np.ones(len(unseen)), unseen]), np.r_[y[held], y[seed]], penalty=1.0)
             label = sigmoid(np.column_stack([np.ones(len(a)), np.clip(model.odds(a, b)[k], -30, 30)]) @ sure)
             given = np.where(is_high, label > base, label < base)
             rows = b[given] if k == 0 else (a[given] - mean) / spread
