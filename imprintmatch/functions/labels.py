@@ -1,4 +1,7 @@
-"""Labels for colours, shapes and marks as column expressions."""
+"""Labels for colours, shapes and marks as column expressions.
+
+The names and thresholds in the rules below are fixed values.
+"""
 
 from __future__ import annotations
 

@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: what counts as a token.
 TOKEN = r"[A-Z0-9\-]{2,}"
+#: A mark read with one letter too many on either side, and how it is meant.
+PAC, PAC_ANYWHERE = r"\b[A-Z]?PAC[A-Z]?\b", "[A-Z]?PAC[A-Z]?"
+#: Slips of one pair of marks, and what tokens are worth: the two known marks, and all others.
+DW_SLIPS = (("D-W1", "D-W"), ("DW1", "DW"))
+WEIGHTS = {"DW": 70, "PAC": 60, "other": 35}
 
 #: Characters that readers confuse, tried one swap at a time.
 READER_SWAPS = (("0", "O"), ("O", "0"), ("1", "I"), ("I", "1"), ("5", "S"), ("S", "5"), ("2", "Z"), ("Z", "2"), ("8", "B"), ("B", "8"))
@@ -45,6 +51,12 @@ def replaced(c: Column, a: str, b: str) -> Column:
     return F.replace(c, F.lit(a), F.lit(b))
 
 
+def _without_slips(c: Column) -> Column:
+    for slip, meant in DW_SLIPS:
+        c = replaced(c, slip, meant)
+    return c
+
+
 def unhyphened(c: Column) -> Column:
     return replaced(c, "-", "")
 
@@ -74,10 +86,9 @@ def print_tokens(front: Column, back: Column) -> Column:
 def post_fix_imprint(c: Column, basic: bool = False) -> Column:
     """A reading with usual slips mended; two known pairs of marks replace all else they stand with."""
     if basic:
-        return F.trim(F.regexp_replace(F.regexp_replace(_upper(c), "[A-Z]?PAC[A-Z]?", "PAC"), r"\s+", " "))
+        return F.trim(F.regexp_replace(F.regexp_replace(_upper(c), PAC_ANYWHERE, "PAC"), r"\s+", " "))
     s = F.trim(F.regexp_replace(F.regexp_replace(_upper(c), r"[^A-Z0-9\-\s.]", " "), r"\s+", " "))
-    s = replaced(replaced(s, "D-W1", "D-W"), "DW1", "DW")
-    s = F.regexp_replace(s, r"\b[A-Z]?PAC[A-Z]?\b", "PAC")
+    s = F.regexp_replace(_without_slips(s), PAC, "PAC")
     every = F.regexp_extract_all(s, F.lit(TOKEN), F.lit(0))
     keys = F.transform(every, unhyphened)
     first = F.filter(every, lambda t, i: F.array_position(keys, unhyphened(t)) == i + 1)
@@ -102,7 +113,7 @@ def query_tokens(imprint: Column) -> Column:
 
 def rank_norm(c: Column, basic: bool = False) -> Column:
     s = strip(_upper(c))
-    return s if basic else replaced(replaced(s, "D-W1", "D-W"), "DW1", "DW")
+    return s if basic else _without_slips(s)
 
 
 def rank_tokens(c: Column, basic: bool = False) -> Column:
@@ -133,7 +144,7 @@ def rank_variants(t: Column, basic: bool = False) -> Column:
 def token_weight(t: Column, basic: bool = False) -> Column:
     flat = unhyphened(rank_norm(t, basic))
     strong = flat.isin("DW") if basic else flat.isin("DW", "DVV")
-    return F.when(strong, 70).when(rank_norm(t, basic) == "PAC", 60).otherwise(35)
+    return F.when(strong, WEIGHTS["DW"]).when(rank_norm(t, basic) == "PAC", WEIGHTS["PAC"]).otherwise(WEIGHTS["other"])
 
 
 def match_level(score: Column) -> Column:
