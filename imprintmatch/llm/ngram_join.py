@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from .common import cut, dealt_table, shuffle_partitions
 from .components import components
 from .hashing import doc_shingles, mix64
-from .url_filter import Level, _level
+from .url_filter import _level
 
 #: The similarity is NUM / DEN or more.
 NUM, DEN = 75, 100
@@ -409,13 +409,27 @@ def _links(batches):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def _fetched(docs: DataFrame, wanted: DataFrame, k: int) -> tuple[DataFrame, Callable[[], None]]:
-    """Sets of the wanted classes (key), dealt out by class, and what removes them."""
-    # A filter of bounded size keeps most other classes from the shuffle; the join is exact.
-    sieve: Level = _level(wanted, max(8, min(wanted.count(), 1 << 23)), 7, 8, 1 << 26)
-    sets = docs.select("text").mapInArrow(_sets(k), "node long, members binary").filter(sieve.passes(F.col("node")))
-    sets = sets.repartition(shuffle_partitions(docs.sparkSession), "node").dropDuplicates(["node"])
-    return dealt_table(sets.join(wanted.withColumnRenamed("key", "node"), "node", "left_semi"), "node", "sets")
+def _fetched(docs: DataFrame, rows: DataFrame, wanted: DataFrame, k: int) -> tuple[DataFrame, Callable[[], None]]:
+    """Sets of the wanted classes (key), dealt out by class, and what removes them.
+
+    rows (row, node): one document of each class is enough, known by its place in docs.  Should docs list its rows
+    differently by now, classes are missing among the sets, and all documents are read.
+    """
+    one = cut(rows.join(wanted.withColumnRenamed("key", "node"), "node").groupBy("node").agg(F.min("row").alias("key")))
+    n = one.count()
+    placed = docs.select("text", F.monotonically_increasing_id().alias("row"))
+    # Filters of bounded size keep most other documents and classes out; the join is exact.
+    sieve = lambda keys: _level(keys, max(8, min(n, 1 << 23)), 7, 8, 1 << 26)
+    for some in (placed.filter(sieve(one.select("key")).passes(F.col("row"))), placed):
+        sets = some.select("text").mapInArrow(_sets(k), "node long, members binary").filter(sieve(wanted).passes(F.col("node")))
+        sets = sets.repartition(shuffle_partitions(docs.sparkSession), "node").dropDuplicates(["node"])
+        table, drop = dealt_table(sets.join(wanted.withColumnRenamed("key", "node"), "node", "left_semi"), "node", "sets")
+        if table.count() == n:
+            break
+        drop()
+    else:
+        raise ValueError("docs lists other texts than when it was read first")
+    return table, drop
 
 
 def _clusters(feats: DataFrame) -> DataFrame:
@@ -497,7 +511,7 @@ def similar_classes(docs: DataFrame, k: int = 5, leaf_size: int = LEAF) -> tuple
         found = found.union(searched(rows.selectExpr("p", "leaf as i", "leaf as j", "node", "n", "point", "0L as leaf", "node as label")))
     found, labels = cut(found), None
     if not found.isEmpty():
-        sets, drop = _fetched(docs, cut(found.select(F.col("node").alias("key")).distinct()), k)
+        sets, drop = _fetched(docs, slim, cut(found.select(F.col("node").alias("key")).distinct()), k)
         try:
             labels = _merged(None, linked(_home(found), sets))
             known = _label_of(found, labels)
@@ -522,7 +536,7 @@ def similar_classes(docs: DataFrame, k: int = 5, leaf_size: int = LEAF) -> tuple
     found = cut(searched(rows.drop("leaf").withColumnRenamed("side", "leaf")))
     if found.isEmpty():
         return slim, labels
-    sets, drop = _fetched(docs, cut(found.select(F.col("node").alias("key")).distinct()), k)
+    sets, drop = _fetched(docs, slim, cut(found.select(F.col("node").alias("key")).distinct()), k)
     try:
         return slim, _merged(labels, linked(_label_of(found, labels), sets))
     finally:

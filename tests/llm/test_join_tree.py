@@ -76,3 +76,28 @@ def test_many_similar_and_odd_texts(spark, make_docs, monkeypatch):
         for r in out:
             least[r.l] = min(least.get(r.l, r.doc_id), r.doc_id)
         assert sorted(((r.doc_id, r.n, least[r.l]) for r in out), key=repr) == want
+
+
+def test_sets_are_found_where_rows_moved(spark, make_docs):
+    """Rows are known by their place; where they have another one by now all documents are read."""
+    from pyspark.sql import functions as F
+
+    def numbered(batches):
+        import pyarrow as pa
+
+        from imprintmatch.llm import ngram_join as join
+        from imprintmatch.llm.hashing import doc_shingles
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([join.node_of(s) for s in doc_shingles(b.column("text"))], pa.int64())], names=["row", "node"])
+
+    docs = make_docs([f"text number {i} of many, of which each is alone" for i in range(50)])
+    rows = docs.select("text", F.monotonically_increasing_id().alias("row")).mapInArrow(numbered, "row long, node long").cache()
+    wanted = rows.filter("row % 3 = 0").select(F.col("node").alias("key"))
+    want = {r.key for r in wanted.collect()}
+    for moved in (docs, docs.orderBy(F.desc("doc_id")).coalesce(1)):
+        table, drop = J._fetched(moved, rows, wanted, 5)
+        assert {r.node for r in table.collect()} == want
+        drop()
+    with pytest.raises(ValueError):
+        J._fetched(docs.filter("doc_id > 10"), rows, wanted, 5)
