@@ -415,7 +415,8 @@ def _fetched(docs: DataFrame, rows: DataFrame, wanted: DataFrame, k: int) -> tup
     rows (row, node): one document of each class is enough, known by its place in docs.  Should docs list its rows
     differently by now, classes are missing among the sets, and all documents are read.
     """
-    one = cut(rows.join(wanted.withColumnRenamed("key", "node"), "node").groupBy("node").agg(F.min("row").alias("key")))
+    one = rows.filter("node is not null").groupBy("node").agg(F.min("row").alias("key"))  # combined before the shuffle
+    one = cut(one.join(wanted.withColumnRenamed("key", "node"), "node"))
     n = one.count()
     placed = docs.select("text", F.monotonically_increasing_id().alias("row"))
     # Filters of bounded size keep most other documents and classes out; the join is exact.
