@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .hashing import Words, mix64, slices, utf8
 
 #: Share of an item's own score that a passage needs to be retrieved.
@@ -220,7 +221,7 @@ def term_counts(docs: DataFrame, terms: np.ndarray) -> tuple[dict[int, int], int
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[terms[own].view(np.int64)]), pa.array(seen[own]), pa.array(np.zeros(len(own), np.int64))], names=["term", "seen", "rows"])
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([n], pa.int64())], names=["term", "seen", "rows"])
 
-    found = docs.select("text").mapInArrow(count, "term long, seen long, rows long").groupBy("term").agg(F.sum("seen").alias("seen"), F.sum("rows").alias("rows")).collect()
+    found = docs.select("text").mapInArrow(lean(count), "term long, seen long, rows long").groupBy("term").agg(F.sum("seen").alias("seen"), F.sum("rows").alias("rows")).collect()
     return {r.term: r.seen for r in found}, sum(r.rows for r in found)
 
 
@@ -262,7 +263,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                 own = [pa.array([index.items[x[1]].item_id for x in found], pa.int64()), *(pa.array([x[k] for x in found], pa.float64()) for k in (2, 3))]
                 yield pa.RecordBatch.from_arrays([ids, *own], names=["doc_id", "item_id", "question_overlap", "answer_overlap"])
 
-        out = out.union(slim.mapInArrow(search, LEAKS))
+        out = out.union(slim.mapInArrow(lean(search), LEAKS))
     return out
 
 
@@ -277,5 +278,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
                 keep[[x[0] for x in sent.value.search(batch.column("text"))]] = False
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(clean, docs.schema)
+        out = out.mapInArrow(lean(clean), docs.schema)
     return out

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, dealt_table, shuffle_partitions
+from .common import cut, dealt_table, lean, shuffle_partitions
 from .components import components
 from .hashing import doc_shingles, mix64
 from .url_filter import _level
@@ -57,7 +57,7 @@ def heavy_shingles(docs: DataFrame, k: int = 5, often: int = 8) -> np.ndarray:
     It only sets the order of shingles and which blocks count as large, so leaving some out costs time,
     not results.
     """
-    found = docs.select("text").mapInArrow(_heavy(k, often), "s long, times long")
+    found = docs.select("text").mapInArrow(lean(_heavy(k, often)), "s long, times long")
     top = found.groupBy("s").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "s").limit(MOST_HEAVY)
     return np.array([r.s for r in top.collect()][::-1], dtype=np.int64).view(np.uint64)
 
@@ -422,7 +422,7 @@ def _fetched(docs: DataFrame, rows: DataFrame, wanted: DataFrame, k: int) -> tup
     # Filters of bounded size keep most other documents and classes out; the join is exact.
     sieve = lambda keys: _level(keys, max(8, min(n, 1 << 23)), 7, 8, 1 << 26)
     for some in (placed.filter(sieve(one.select("key")).passes(F.col("row"))), placed):
-        sets = some.select("text").mapInArrow(_sets(k), "node long, members binary").filter(sieve(wanted).passes(F.col("node")))
+        sets = some.select("text").mapInArrow(lean(_sets(k)), "node long, members binary").filter(sieve(wanted).passes(F.col("node")))
         sets = sets.repartition(shuffle_partitions(docs.sparkSession), "node").dropDuplicates(["node"])
         table, drop = dealt_table(sets.join(wanted.withColumnRenamed("key", "node"), "node", "left_semi"), "node", "sets")
         if table.count() == n:
@@ -492,7 +492,7 @@ def similar_classes(docs: DataFrame, k: int = 5, leaf_size: int = LEAF) -> tuple
     """(features per document, labels of linked classes)."""
     n_parts = shuffle_partitions(docs.sparkSession)
     slim = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    feats = cut(slim.mapInArrow(_prefixes(k, heavy_shingles(slim, k)), "doc_id long, row long, n long, node long, tile long, point binary, rare array<long>, often array<long>"))
+    feats = cut(slim.mapInArrow(lean(_prefixes(k, heavy_shingles(slim, k))), "doc_id long, row long, n long, node long, tile long, point binary, rare array<long>, often array<long>"))
     clusters = cut(_clusters(feats))
     points = feats.filter("n > 0").select("node", "n", "tile", "point").dropDuplicates(["node"])
     slim = cut(feats.select("doc_id", "row", "n", "node"))
@@ -501,9 +501,9 @@ def similar_classes(docs: DataFrame, k: int = 5, leaf_size: int = LEAF) -> tuple
     of_size = lambda which: clusters.join(sizes.filter(which).select("p"), "p").join(points, "node").select("p", "node", "n", "tile", "point")
     places = ("p", "i", "j")
     together = lambda df, *keys: df.repartition(n_parts, *places).sortWithinPartitions(*places, *keys)
-    searched = lambda rows: together(rows).mapInArrow(_search, FOUND)
-    linked = lambda found, sets: cut(together(found.join(sets, "node"), "part").mapInArrow(_links, "a long, b long"))
-    found = of_size(f"size <= {leaf_size}").repartition(n_parts, "p").sortWithinPartitions("p", "tile", "node").mapInArrow(_search_small, FOUND)
+    searched = lambda rows: together(rows).mapInArrow(lean(_search), FOUND)
+    linked = lambda found, sets: cut(together(found.join(sets, "node"), "part").mapInArrow(lean(_links), "a long, b long"))
+    found = of_size(f"size <= {leaf_size}").repartition(n_parts, "p").sortWithinPartitions("p", "tile", "node").mapInArrow(lean(_search_small), FOUND)
     leaves = None
     if not sizes.filter(f"size > {leaf_size}").isEmpty():
         leaves = _packed(of_size(f"size > {leaf_size}"), leaf_size)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 from .hashing import Words, slices, utf8
 from .models import fit_logistic, sigmoid
 
@@ -297,7 +297,7 @@ def _unpacked(a: pa.Array | pa.ChunkedArray, b: pa.Array | pa.ChunkedArray) -> t
 
 
 def features(docs: DataFrame) -> DataFrame:
-    return cut(_columns(docs).withColumn("place", F.xxhash64("doc_id", F.lit(9))).mapInArrow(_features, "doc_id long, place long, a binary, b binary"))
+    return cut(_columns(docs).withColumn("place", F.xxhash64("doc_id", F.lit(9))).mapInArrow(lean(_features), "doc_id long, place long, a binary, b binary"))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = MAX_LABELLED, unlabelled: int = MAX_UNLABELLED, rounds: int = ROUNDS, feats: DataFrame | None = None) -> CoModel | None:
@@ -356,4 +356,4 @@ def accepted_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFra
                 batch = batch.filter(pa.array(model.score(content, expanded(stored.astype(float)))[2] >= REJECT_BELOW))
             yield batch
 
-    return docs.mapInArrow(accept, docs.schema)
+    return docs.mapInArrow(lean(accept), docs.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, shuffle_partitions
+from .common import cut, lean, shuffle_partitions
 from .hashing import slices, utf8
 
 END_ID = 0
@@ -31,7 +31,7 @@ END_ID = 0
 DOCS_PER_PART, TOKENS_PER_PART = 50_000, 1 << 24
 #: Stands for a null document id in `<part>.docs`.
 NO_ID = -(1 << 63)
-#: Bytes of text that are encoded at once; bytes of words that a worker remembers, in two halves of this size.
+#: Bytes of text that are encoded at once; bytes of words that a task remembers, in two halves of this size.
 SLICE_BYTES, REMEMBERED, PER_WORD = 4_000_000, 60_000_000, 200
 #: Words that are encoded in one call.
 TOGETHER = 64
@@ -139,6 +139,10 @@ class Encoder:
                 self._remember(wanted[i], ids)
         return got
 
+    def forget(self) -> None:
+        """At the end of a task: the worker lives on, and other work needs the room."""
+        self.known, self.older, self.held = {}, {}, 0
+
     def _remember(self, word: str, ids: bytes) -> None:
         self.known[word] = ids
         self.held += len(word) + len(ids) + PER_WORD
@@ -238,10 +242,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
                 part = None
         if part:
             rows.append({"part": number, "seq": len(rows)} | part.close())
+        enc.forget()
         if rows:
             yield pa.RecordBatch.from_pylist(rows)
 
-    parts = cut(ordered.mapInArrow(write, "part long, seq long, name string, n_tokens long, n_docs long"))
+    parts = cut(ordered.mapInArrow(lean(write), "part long, seq long, name string, n_tokens long, n_docs long"))
     before = W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)
     return parts.select("*", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"), F.lit(dtype).alias("dtype"))
 
