@@ -31,6 +31,15 @@ def lean(function):
     return run
 
 
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of `name type, ...`, for plain types and arrays of them; needs no session, so tasks can use it."""
+    fields = [field.split() for field in ddl.split(",")]
+    return pa.schema([(name, pa.list_(_ARROW[kind[6:-1]]) if kind.startswith("array<") else _ARROW[kind]) for name, kind in fields])
+
+
 def dealt_table(df: DataFrame, key: str, kind: str) -> tuple[DataFrame, Callable[[], None]]:
     """df as a bucketed table in the shared folder, and what removes it: joins on key do not shuffle it again."""
     spark = df.sparkSession

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import new_folder
+from .conversations import repair_conversations
 from .decontam import find_leaks
 from .exact_dedup import content_sort
 from .licenses import scan_licenses
@@ -63,6 +64,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
@@ -74,6 +79,7 @@ QUERIES = {
     "op6_mix_sources": op6_mix_sources,
     "op7_url_filter": op7_url_filter,
     "op8_warc": op8_warc,
+    "op13_conversations": op13_conversations,
 }
 
 ORACLE_SQL = {
