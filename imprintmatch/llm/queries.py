@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .align import align_tokens
 from .common import new_folder
 from .conversations import repair_conversations
 from .decontam import find_leaks
@@ -64,6 +65,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(table(spark, sf_dir, "conversations"))
 
@@ -79,6 +84,7 @@ QUERIES = {
     "op6_mix_sources": op6_mix_sources,
     "op7_url_filter": op7_url_filter,
     "op8_warc": op8_warc,
+    "op12_alignment": op12_alignment,
     "op13_conversations": op13_conversations,
 }
 

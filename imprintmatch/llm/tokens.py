@@ -38,7 +38,8 @@ TOGETHER = 64
 #: Fixed value: the words of a byte-level tokenizer, in texts whose white space is single blanks and line ends.
 _WORD = r"'(?:[stmd]|re|ve|ll)| ?\pL+| ?\pN+| ?[^ \n\pL\pN]+|\n"
 #: Other white space, and characters outside blocks whose classes are the same in all versions of Unicode.
-_UNSAFE = r"[^\n -~\x{a1}-\x{52f}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{3041}-\x{3096}\x{30a1}-\x{30fa}\x{4e00}-\x{9fa5}\x{ac00}-\x{d7a3}]|[ \n][ \n]|^[ \n]|[ \n]$"
+_UNSAFE = r"[^\n -~\x{a1}-\x{52f}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{3041}-\x{3096}\x{30a1}-\x{30fa}\x{4e00}-\x{9fa5}\x{ac00}-\x{d7a3}]|[ \n][ \n]|[ \n]$"
+_FIRST = r"^[ \n]"
 _KEPT: dict = {}
 
 
@@ -70,17 +71,19 @@ class Encoder:
     A byte-level tokenizer first splits a text into words and encodes each alone.  Where white space is
     simple, texts are split alike here, and every distinct word of a slice is encoded once.  Other texts are
     encoded as they are, and so are texts that hold an added token's string and all texts of other tokenizers.
+    With plain, such strings are plain text, and texts begin with one blank.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.tokenizer.encode_special_tokens = plain
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.unsafe = "|".join([_UNSAFE, *map(re.escape, added)])
+        self.unsafe = _UNSAFE if plain else "|".join([_UNSAFE, _FIRST, *map(re.escape, added)])
         made = json.loads(self.tokenizer.to_str())
         before = made.get("pre_tokenizer") or {}
         self.splits = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not made.get("normalizer") and not made.get("post_processor")
@@ -159,14 +162,14 @@ class Encoder:
         return [data[a * size : b * size] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)])]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain: bool = False) -> Encoder:
     """One encoder for each Python worker."""
-    if path not in _KEPT:
+    if (path, plain) not in _KEPT:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _KEPT[path] = Encoder(path)
-    return _KEPT[path]
+        _KEPT[path, plain] = Encoder(path, plain)
+    return _KEPT[path, plain]
 
 
 def _open(folder: str):
