@@ -10,6 +10,7 @@ from .conversations import repair_conversations
 from .decontam import find_leaks
 from .exact_dedup import content_sort
 from .licenses import scan_licenses
+from .lines import line_digest
 from .mixing import mix_digest
 from .ngram_join import ngram_join
 from .quality import score_quality
@@ -65,6 +66,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(table(spark, sf_dir, "documents"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(table(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ QUERIES = {
     "op6_mix_sources": op6_mix_sources,
     "op7_url_filter": op7_url_filter,
     "op8_warc": op8_warc,
+    "op11_line_dedup": op11_line_dedup,
     "op12_alignment": op12_alignment,
     "op13_conversations": op13_conversations,
 }
@@ -140,6 +146,19 @@ select page_id, payload_bytes, sha1(html) as payload_digest,
  case when payload_bytes >= 1000 and page_id <> last then 'revisit' else 'response' end as record_type,
  case when payload_bytes >= 1000 and page_id <> last then last end as refers_to
 from g""",
+    "op11_line_dedup": r"""
+with d as (
+ select row_number() over () as at, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+l as (select at, doc_id, unnest(lines) as line, unnest(range(len(lines))) as place from d),
+k as (
+ select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+m as (select *, min(doc_id) over (partition by key) as least from k),
+f as (
+ select *, length(key) >= 10 and least is not null and (doc_id is null or doc_id > least) as gone from m)
+select doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_dropped,
+ sha256(coalesce(string_agg(line, chr(10) order by place) filter (not gone), '')) as kept_sha256
+from f group by at, doc_id""",
 }
 
 
