@@ -148,8 +148,8 @@ select page_id, payload_bytes, sha1(html) as payload_digest,
 from g""",
     "op11_line_dedup": r"""
 with d as (
- select row_number() over () as at, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
-l as (select at, doc_id, unnest(lines) as line, unnest(range(len(lines))) as place from d),
+ select row_number() over () as nth, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+l as (select nth, doc_id, unnest(lines) as line, unnest(range(len(lines))) as place from d),
 k as (
  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
@@ -158,7 +158,7 @@ f as (
  select *, length(key) >= 10 and least is not null and (doc_id is null or doc_id > least) as gone from m)
 select doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_dropped,
  sha256(coalesce(string_agg(line, chr(10) order by place) filter (not gone), '')) as kept_sha256
-from f group by at, doc_id""",
+from f group by nth, doc_id""",
 }
 
 
