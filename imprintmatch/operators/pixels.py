@@ -1,9 +1,7 @@
-"""Aggregates over a pixel table (roi_id, x, y, b, g, r, in_mask), or over arrays of image bytes."""
+"""Aggregates over a pixel table (roi_id, x, y, b, g, r, in_mask); regions.py has the same from image bytes."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,46 +66,3 @@ def ink_score(pixels: DataFrame) -> DataFrame:
     """(roi_id, ink): mean difference of red and green inside the mask (anywhere without a mask), of 255."""
     gap = F.abs(F.col("r") - F.col("g"))
     return pixels.groupBy("roi_id").agg((F.coalesce(F.avg(F.when(F.col("in_mask"), gap)), F.avg(gap)) / 255).alias("ink"))
-
-
-def sobel_mean(gray: np.ndarray, mask: np.ndarray | None = None) -> float:
-    """Mean Sobel magnitude of a grey image, of 255; the border is mirrored without its edge."""
-    p = np.pad(gray.astype(float), 1, mode="reflect") if min(gray.shape) > 1 else np.pad(gray.astype(float), 1, mode="edge")
-    across = (p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[1:-1, :-2] + p[2:, :-2])
-    down = (p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:]) - (p[:-2, :-2] + 2 * p[:-2, 1:-1] + p[:-2, 2:])
-    size = np.hypot(across, down)
-    return float(size[mask].mean() if mask is not None and mask.any() else size.mean()) / 255
-
-
-def deboss_score(images: DataFrame) -> DataFrame:
-    """(roi_id, deboss) from (roi_id, w, h, gray binary, mask binary or null), row by row of pixels."""
-
-    def score(batches):
-        for batch in batches:
-            out = []
-            for w, h, gray, mask in zip(batch["w"], batch["h"], batch["gray"], batch["mask"]):
-                area = np.frombuffer(mask, np.uint8).reshape(h, w) > 0 if mask is not None else None
-                out.append(sobel_mean(np.frombuffer(gray, np.uint8).reshape(h, w), area))
-            yield pd.DataFrame({"roi_id": batch["roi_id"], "deboss": out})
-
-    return images.select("roi_id", "w", "h", "gray", "mask").mapInPandas(score, "roi_id long, deboss double")
-
-
-def gray_images(pixels: DataFrame, w: int, h: int) -> DataFrame:
-    """(roi_id, w, h, gray, mask) from a pixel table; missing pixels are 0, of doubled ones the greatest grey counts."""
-    gray = F.rint(F.col("r") * 0.299 + F.col("g") * 0.587 + F.col("b") * 0.114).cast("int")
-    cell = pixels.groupBy("roi_id", (F.col("y") * w + F.col("x")).alias("at")).agg(F.max(gray).alias("v"), F.max(F.col("in_mask").cast("int")).alias("m"))
-    own = cell.groupBy("roi_id").agg(F.collect_list(F.struct("at", "v", "m")).alias("c"))
-    own = own.select("roi_id", F.col("c.at").alias("at"), F.col("c.v").alias("v"), F.col("c.m").alias("m"))
-
-    def draw(batches):
-        for batch in batches:
-            images = {"v": [], "m": []}
-            for i, at in enumerate(batch["at"]):
-                for k, out in images.items():
-                    plane = np.zeros(w * h, np.uint8)
-                    plane[at] = batch[k].iloc[i]
-                    out.append(plane.tobytes())
-            yield pd.DataFrame({"roi_id": batch["roi_id"], "w": w, "h": h, "gray": images["v"], "mask": images["m"]})
-
-    return own.mapInPandas(draw, "roi_id long, w int, h int, gray binary, mask binary")

@@ -7,10 +7,22 @@ from .fixtures import with_ctes
 SQL: dict[str, str] = {}
 
 #: Fixed values, written out here so that the SQL does not lean on the code it is compared with.
-READER_SWAPS = [x.split(">") for x in "0>O O>0 1>I I>1 5>S S>5 2>Z Z>2 8>B B>8".split()]
-RANK_SWAPS = [x.split(">") for x in "VV>W W>VV S>C C>S 0>O O>0 1>I I>1".split()]
-PREFILTER_COLORS = {x.split()[0]: x.split() for x in ("연두 녹색 초록 초록색", "하양 흰색 백색", "노랑 황색", "파랑 청색")}
-RANK_COLORS = {x.split()[0]: x.split() for x in ("주황 주황색 연주황 적주황", "빨강 적색 빨간 적", "하양 흰색 백색", "파랑 청색 파란", "노랑 황색 노란", "연두 녹색 초록 초록색")}
+READER_SWAPS = [("0", "O"), ("O", "0"), ("1", "I"), ("I", "1"), ("5", "S"), ("S", "5"), ("2", "Z"), ("Z", "2"), ("8", "B"), ("B", "8")]
+RANK_SWAPS = [("VV", "W"), ("W", "VV"), ("S", "C"), ("C", "S"), ("0", "O"), ("O", "0"), ("1", "I"), ("I", "1")]
+PREFILTER_COLORS = {
+    "연두": ["연두", "녹색", "초록", "초록색"],
+    "하양": ["하양", "흰색", "백색"],
+    "노랑": ["노랑", "황색"],
+    "파랑": ["파랑", "청색"],
+}
+RANK_COLORS = {
+    "주황": ["주황", "주황색", "연주황", "적주황"],
+    "빨강": ["빨강", "적색", "빨간", "적"],
+    "하양": ["하양", "흰색", "백색"],
+    "파랑": ["파랑", "청색", "파란"],
+    "노랑": ["노랑", "황색", "노란"],
+    "연두": ["연두", "녹색", "초록", "초록색"],
+}
 ALPHABET = list("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ-.")
 TOK = r"'[A-Z0-9\-]{2,}'"
 
@@ -533,6 +545,38 @@ so as (
 db as (select roi_id, coalesce(avg(sqrt(across * across + down * down)) filter (m > 0), avg(sqrt(across * across + down * down))) / 255 as deboss from so group by 1)"""
 define("deboss_score", with_ctes("pixels", more=DEBOSS) + "select roi_id, round(deboss, 6) as deboss from db")
 define("imprint_type", with_ctes("pixels", more=f"{INK},\n{DEBOSS}") + "select roi_id, case when ink > 0.08 then 'printed' when deboss > 0.20 then 'debossed' else 'unknown' end as kind from ink join db using (roi_id)")
+#: The pixel table as an image of 100 times 80: of doubled pixels the greatest colour counts, missing ones are black.
+GRID = """ce as (select roi_id, x, y, max(b * 65536 + g * 256 + r) as c, max(in_mask::int) as m from pixels group by 1, 2, 3),
+gr as (
+ select i.roi_id, xs.x, ys.y, coalesce(c, 0) // 65536 as b, coalesce(c, 0) // 256 % 256 as g, coalesce(c, 0) % 256 as r, coalesce(m, 0) as m, coalesce(m, 0) > 0 as in_mask
+ from (select distinct roi_id from ce) i, (select unnest(range(100)) as x) xs, (select unnest(range(80)) as y) ys left join ce on ce.roi_id = i.roi_id and ce.x = xs.x and ce.y = ys.y),
+gd as (select *, round_even(r * 0.299::double + g * 0.587::double + b * 0.114::double, 0)::int as v from gr),
+"""
+define(
+    "region_features",
+    with_ctes("pixels", more=GRID + HSV.replace("from pixels", "from gr") + ",\n" + DEBOSS[DEBOSS.index("ro as (") :])
+    + f""",
+ps as (
+ select roi_id, h, s, v, part from hsv, (select unnest(['mask', 'left', 'right', 'mid']) as part) p
+ where (part = 'mask' and in_mask) or (part = 'left' and in_mask and x < 50) or (part = 'right' and in_mask and x >= 50)
+  or (part = 'mid' and x >= 25 and x < 75 and y >= 20 and y < 60)),
+me as (select roi_id, part, count(*) as n, avg(h) as h, avg(s) as s, avg(v) as v from ps group by 1, 2),
+la as (select roi_id, part, case when n >= 200 and {LABEL} <> '기타' then {LABEL} end as sure, {LABEL_EN} as middle from me),
+bo as (
+ select roi_id, count_if(m > 0) as n, min(x) filter (m > 0) as xs, min(y) filter (m > 0) as ys, max(x) filter (m > 0) as xe, max(y) filter (m > 0) as ye,
+  coalesce(avg(abs(r - g)) filter (m > 0), avg(abs(r - g))) / 255 as ink from gr group by 1),
+pa as (select *, floor(0.10::double * greatest(xe - xs + 1, ye - ys + 1)) as pad from bo),
+co as (
+ select roi_id, max(sure) filter (part = 'mask') as color, max(sure) filter (part = 'left') as l, max(sure) filter (part = 'right') as r,
+  max(middle) filter (part = 'mid') as middle from la group by 1)
+select pa.roi_id, n, color,
+ case when l is null and r is null then '기타' when l is null or l = r then r when r is null then l else l || '+' || r end as halves, middle,
+ case when n < 50 then 0 else greatest(0, xs - pad) end::bigint as x0, case when n < 50 then 0 else greatest(0, ys - pad) end::bigint as y0,
+ case when n < 50 then 100 else least(100, xe + 1 + pad) end::bigint as x1, case when n < 50 then 80 else least(80, ye + 1 + pad) end::bigint as y1,
+ round(ink, 6) as ink, round(deboss, 6) as deboss,
+ case when ink > 0.08 then 'printed' when deboss > 0.20 then 'debossed' else 'unknown' end as kind
+from pa join co using (roi_id) join db using (roi_id)""",
+)
 define("ink_score", with_ctes("pixels", more=INK) + "select roi_id, round(ink, 6) as ink from ink")
 
 # label corpus

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from .operators import detect as D
 from .operators import match as M
 from .operators import ocr as O
 from .operators import pixels as P
+from .operators import regions as R
 from .plans import identify as I
 from .sources import catalog as S
 from .sources import images as G
@@ -305,7 +307,7 @@ def is_capsule(spark, sf_dir):
 @query
 def imprint_type(spark, sf_dir):
     pixels = load(spark, sf_dir, "pixels")
-    both = P.ink_score(pixels).join(P.deboss_score(P.gray_images(pixels, 100, 80)), "roi_id")
+    both = P.ink_score(pixels).join(R.deboss_score(R.region_sums(R.pixel_tiles(pixels, 100, 80, lines=32))), "roi_id")
     return both.select("roi_id", L.imprint_type(F.col("ink"), F.col("deboss")).alias("kind"))
 
 
@@ -620,7 +622,39 @@ def ink_score(spark, sf_dir):
 
 @query
 def deboss_score(spark, sf_dir):
-    return _rounded(P.deboss_score(P.gray_images(load(spark, sf_dir, "pixels"), 100, 80)), "deboss")
+    tiles = R.pixel_tiles(load(spark, sf_dir, "pixels"), 100, 80, lines=32)
+    return _rounded(R.deboss_score(R.region_sums(tiles)), "deboss")
+
+
+def _image_files(spark, sf_dir) -> str:
+    """A png of 100 times 80 pixels and one of its mask for every region of the pixel table, written by tasks."""
+    path = new_folder(spark, "regions")
+    colour = (F.col("b") * 65536 + F.col("g") * 256 + F.col("r")).alias("v")
+    cells = load(spark, sf_dir, "pixels").groupBy("roi_id", (F.col("y") * 100 + F.col("x")).alias("at")).agg(F.max(colour).alias("v"), F.max(F.col("in_mask").cast("int")).alias("m"))
+    images = cells.groupBy("roi_id").agg(F.collect_list(F.struct("at", "v", "m")).alias("c")).select("roi_id", "c.at", "c.v", "c.m")  # at most 8,000 cells
+
+    def write(batches):
+        for batch in batches:
+            for roi_id, *cells in zip(*(batch[c] for c in ("roi_id", "at", "v", "m"))):
+                at, v, m = (np.asarray(c) for c in cells)
+                image, mask = np.zeros((8000, 3), np.uint8), np.zeros(8000, np.uint8)
+                image[at] = np.stack([v % 256, v // 256 % 256, v // 65536], -1)
+                mask[at] = m * 255
+                G.write_png(f"{path}/{roi_id}.png", image.reshape(80, 100, 3))
+                G.write_png(f"{path}/{roi_id}.mask.png", mask.reshape(80, 100))
+            yield batch[["roi_id"]]
+
+    G.make_folder(path)
+    images.mapInPandas(write, "roi_id long").count()
+    return path
+
+
+@query
+def region_features(spark, sf_dir):
+    """All features of regions from image files and their masks, decoded and reduced tile by tile."""
+    images = G.masked_images(G.bgr_images(spark, _image_files(spark, sf_dir)))
+    found = R.region_features(R.region_sums(R.tiles(images, lines=32)))
+    return _rounded(found, "ink", "deboss")
 
 
 # ---------------------------------------------------------------- label corpus

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,14 +39,52 @@ def read_images(spark: SparkSession, path: str, decode: bool = False) -> tuple[D
     return files.filter("reason is null").select("path", "content", "kind"), files.filter("reason is not null").select("path", "reason")
 
 
-def bgr_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """(path, x, y, b, g, r) of the decoded jpeg and png images under path: a pixel table for the aggregates.
+def bgr_images(spark: SparkSession, path: str) -> DataFrame:
+    """(path, w, h, channels, data) of the decoded jpeg and png images under path: lines of blue, green and red bytes, or of one grey byte."""
+    image = spark.read.format("image").option("recursiveFileLookup", "true").load(path).select("image.*").filter("width > 0")
+    return image.select(F.col("origin").alias("path"), F.col("width").alias("w"), F.col("height").alias("h"), F.col("nChannels").alias("channels"), "data")
+
 
-    Planes are read by position from the source's rows of blue, green and red bytes (one byte in grey images).
+def masked_images(images: DataFrame, key: str = r"([^/.]+)(?:\.mask)?\.[^/.]+$", mask: str = r"\.mask\.[^/.]+$") -> DataFrame:
+    """(roi_id, w, h, channels, data, mask) of images whose masks are grey images of their own.
+
+    key: a pattern whose first group is the region's number; mask: a pattern that only paths of masks have.  A mask of
+    another size than its image counts as none.
     """
-    image = spark.read.format("image").option("recursiveFileLookup", "true").load(path).select("image.*").filter("width > 0")
-    rows = image.select("origin", "width", "nChannels", "data", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
-    line = F.substring("data", F.col("y") * F.col("width") * F.col("nChannels") + 1, F.col("width") * F.col("nChannels"))
-    cells = rows.select("origin", "nChannels", "y", line.alias("line"), F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"))
-    byte = lambda k: F.conv(F.hex(F.substring("line", F.col("x") * F.col("nChannels") + F.least(F.lit(k), F.col("nChannels") - 1) + 1, F.lit(1))), 16, 10).cast("int")
-    return cells.select(F.col("origin").alias("path"), "x", "y", byte(0).alias("b"), byte(1).alias("g"), byte(2).alias("r"))
+    named = images.withColumns({"roi_id": F.regexp_extract("path", key, 1).cast("long"), "is_mask": F.col("path").rlike(mask)})
+    masks = named.filter("is_mask and channels = 1").select("roi_id", F.col("w").alias("mask_w"), F.col("h").alias("mask_h"), F.col("data").alias("mask"))
+    rows = named.filter("not is_mask").join(masks, "roi_id", "left")
+    fits = (F.col("w") == F.col("mask_w")) & (F.col("h") == F.col("mask_h"))
+    return rows.select("roi_id", "w", "h", "channels", "data", F.when(fits, F.col("mask")).alias("mask"))
+
+
+def png_bytes(image: np.ndarray) -> bytes:
+    """A png file of an array of lines of grey bytes, or of red, green and blue bytes."""
+    h, w = image.shape[:2]
+    lines = np.concatenate([np.zeros((h, 1), np.uint8), image.reshape(h, -1)], 1)  # every line begins with its filter
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    head = struct.pack(">IIBBBBB", w, h, 8, 2 if image.ndim == 3 else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + chunk(b"IEND", b"")
+
+
+def make_folder(path: str) -> None:
+    import pyarrow.fs as pafs
+
+    fs, at = pafs.FileSystem.from_uri(path)
+    fs.create_dir(at, recursive=True)
+
+
+def write_file(path: str, content: bytes) -> None:
+    """A whole file, from a task; a repeated task writes the same again."""
+    import pyarrow.fs as pafs
+
+    fs, at = pafs.FileSystem.from_uri(path)
+    with fs.open_output_stream(at) as f:
+        f.write(content)
+
+
+def write_png(path: str, image: np.ndarray) -> None:
+    write_file(path, png_bytes(image))

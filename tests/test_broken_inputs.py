@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from imprintmatch import storage
-from imprintmatch.operators import pixels as P
 from imprintmatch.sources import catalog as S
 from imprintmatch.sources import images as G
 
@@ -48,16 +47,6 @@ def test_images_that_do_not_decode_are_quarantined(spark, tmp_path):
     assert {r.path[-5:]: r.reason for r in bad.collect()} == {"b.png": "decode", "d.gif": "suffix", "e.png": "content"}
 
 
-def test_pixel_aggregates_from_image_bytes(spark, tmp_path):
-    (tmp_path / "red.png").write_bytes(png([[(250, 10, 10)] * 20] * 15))
-    (tmp_path / "mixed.png").write_bytes(png([[(0, 0, 0), (255, 255, 255), (10, 20, 30)]]))
-    table = G.bgr_pixels(spark, str(tmp_path)).withColumn("roi_id", F.regexp_extract("path", r"(\w+)\.png", 1)).withColumn("in_mask", F.lit(True))
-    assert sorted((r.x, r.y, r.b, r.g, r.r) for r in table.filter("roi_id = 'mixed'").collect()) == [(0, 0, 0, 0, 0), (1, 0, 255, 255, 255), (2, 0, 30, 20, 10)]
-    means = {r.roi_id: r for r in P.mask_mean_color(table).collect()}
-    assert means["red"].n == 300 and means["red"].label == "빨강"
-    assert {r.roi_id: r.ink for r in P.ink_score(table).collect()}["red"] == pytest.approx(240 / 255)
-
-
 def test_a_cluster_must_name_its_shared_folder():
     class Context:
         master = "spark://host:7077"

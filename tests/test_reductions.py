@@ -119,13 +119,3 @@ def test_hsv(spark):
     rows = spark.createDataFrame([(0, 0, 255), (255, 0, 0), (0, 255, 0), (0, 0, 0), (10, 20, 200)], "b int, g int, r int")
     h, s, v = L.bgr_to_hsv(F.col("b"), F.col("g"), F.col("r"))
     assert [tuple(r) for r in rows.select(h, s, v).collect()] == [(0, 255, 255), (120, 255, 255), (60, 255, 255), (0, 0, 0), (2, 242, 200)]
-
-
-def test_deboss(spark):
-    flat, step, ramp = np.full((6, 8), 9, np.uint8), np.zeros((6, 8), np.uint8), np.tile(np.arange(8, dtype=np.uint8) * 10, (6, 1))
-    step[:, 4:] = 100
-    rows = [(i, 8, 6, bytearray(g.tobytes()), None) for i, g in enumerate((flat, step, ramp))]
-    got = {r.roi_id: r.deboss for r in P.deboss_score(spark.createDataFrame(rows, "roi_id long, w int, h int, gray binary, mask binary")).collect()}
-    assert got[0] == 0
-    assert got[1] == pytest.approx(2 * 400 / 8 / 255)
-    assert got[2] == pytest.approx(6 * 80 / 8 / 255)
