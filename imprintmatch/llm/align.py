@@ -1,14 +1,16 @@
 """Alignment of two tokenizers' ids over the same bytes.
 
 After both tokenizers have encoded a text in full, a place is an anchor where a token of either side ends and the
-next of either side begins with a blank.  Anchors cut a document into windows of ids, mostly words; windows recur, so
-the alignment of a window is found once for its two tuples of ids and remembered.
+next of either side begins with a blank.  Anchors cut a document into windows of ids, mostly words.  Windows recur, so
+within a slice of text the alignment of a window is found once for its two tuples of ids and taken from there at
+every place where those stand.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, cut, lean, new_folder
-from .hashing import slices, utf8
+from .hashing import mix64, slices, utf8
 from .tokens import _dealt, _picked, default_tokenizer, encoder
 
 BLANK = 0x20
 MARK = "▁"
-#: Bytes of text that are aligned at once; windows that a task remembers, in two halves of this size.
-SLICE_BYTES, REMEMBERED = 1_500_000, 60_000
+#: Bytes of text that are aligned at once, and whose windows are remembered.
+SLICE_BYTES = 2_000_000
 #: Distinct pairs whose counts are sent to all tasks (12 bytes each); beyond it counts are joined.
 MOST_BROADCAST = 3_000_000
 
@@ -83,8 +85,6 @@ class Pieces:
         self.bytes = piece_bytes(self.model)
         every = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.splits = not any(MARK in piece.lstrip(MARK) for piece in every)
-        self.known: dict = {}
-        self.older: dict = {}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each)."""
@@ -94,9 +94,10 @@ class Pieces:
         out, counts = np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
         if not whole.all():
             words, word, per_text = _dealt(pc.replace_substring(texts.filter(pa.array(~whole)), " ", "\0"))
-            known = self._words(words.to_pylist())
-            size = np.array([len(x) for x in known], np.int64)
-            out, counts[~whole] = _picked(np.concatenate(known).astype(np.int64), size, word, per_text)
+            found = self.model.encode(words.to_pylist(), num_threads=1)
+            size = np.array(list(map(len, found)), np.int64)
+            ids = np.fromiter(chain.from_iterable(found), np.int64, int(size.sum()))
+            out, counts[~whole] = _picked(ids, size, word, per_text)
         if not whole.any():
             return out, counts
         alone = iter([np.array(x, np.int64) for x in self.model.encode(texts.filter(pa.array(whole)).to_pylist(), num_threads=1)])
@@ -104,70 +105,45 @@ class Pieces:
         rows = [next(alone) if w else out[end - n : end] for w, n, end in zip(whole, counts, ends)]
         return np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
 
-    def _words(self, wanted: list[str]) -> list[np.ndarray]:
-        got = [self.known.get(w) for w in wanted]
-        for i, found in enumerate(got):
-            if found is None and wanted[i] in self.older:
-                got[i] = self._remember(wanted[i], self.older[wanted[i]])
-        missing = [i for i, found in enumerate(got) if found is None]
-        for i, ids in zip(missing, self.model.encode([wanted[i] for i in missing], num_threads=1)):
-            got[i] = self._remember(wanted[i], np.array(ids, np.uint16 if len(self.bytes.size) <= 1 << 16 else np.int32))
-        return got
-
-    def _remember(self, word: str, ids: np.ndarray) -> np.ndarray:
-        if len(word) <= 40:
-            self.known[word] = ids
-            if len(self.known) > REMEMBERED:
-                self.known, self.older = {}, self.known
-        return ids
-
-    def forget(self) -> None:
-        self.known, self.older = {}, {}
-
 
 class Windows:
-    """Alignments by two tuples of ids: (`a1,a2|b1;a3|b2`, number of groups, linked pairs)."""
+    """Alignments of distinct windows, found together: everything that stands at a window's places is taken from here."""
 
     def __init__(self, a: Bytes, b: Bytes):
-        self.a, self.b = a.size.tolist(), b.size.tolist()
-        self.known: dict = {}
-        self.older: dict = {}
-
-    def __call__(self, key: tuple[tuple, tuple]) -> tuple[str, int, list[int]]:
-        found = self.known.get(key)
-        if found is None:
-            found = self.older.get(key) or self._aligned(*key)
-            self.known[key] = found
-            if len(self.known) > REMEMBERED:
-                self.known, self.older = {}, self.known
-        return found
-
-    def _aligned(self, a: tuple, b: tuple) -> tuple[str, int, list[int]]:
-        if len(a) == 1 or len(b) == 1:  # one group: every token meets the only one of the other side
-            return f"{','.join(map(str, a))}|{','.join(map(str, b))}", 1, [pair_of(x, y) for x in a for y in b]
-        groups, pairs, i, j = [], [], 0, 0
-        end_a, end_b, first_a, first_b = self.a[a[0]], self.b[b[0]], 0, 0
-        while True:
-            pairs.append(pair_of(a[i], b[j]))
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[first_a : i + 1]))}|{','.join(map(str, b[first_b : j + 1]))}")
-                first_a, first_b = i + 1, j + 1
-                if first_a == len(a):
-                    return ";".join(groups), len(groups), pairs
-            forth_a, forth_b = end_a <= end_b, end_b <= end_a
-            if forth_a:
-                i += 1
-                end_a += self.a[a[i]]
-            if forth_b:
-                j += 1
-                end_b += self.b[b[j]]
-
-    def forget(self) -> None:
-        self.known, self.older = {}, {}
+        self.a, self.b = a.size, b.size
+        ids = range(max(len(a.size), len(b.size)))
+        self.words = pa.array([f"{i}{sep}" for i in ids for sep in ",|;"])
 
+    def align(self, ids_a: np.ndarray, many_a: np.ndarray, ids_b: np.ndarray, many_b: np.ndarray) -> tuple[pa.StringArray, np.ndarray, np.ndarray, np.ndarray]:
+        """(`a1,a2|b1;a3|b2;` of each window, its number of groups, all linked pairs in a row, number of them in each window).
 
-def pair_of(a: int, b: int) -> int:
-    """An id of a vocabulary below 2^16 and one below 2^15 as one positive 32-bit number."""
+        The ids of windows stand one after the other.  Both sides of a window have the same bytes, so ends of
+        tokens are compared over all windows at once.
+        """
+        ends_a, ends_b = np.cumsum(self.a[ids_a]), np.cumsum(self.b[ids_b])
+        total = int(ends_a[-1])
+        at_a, at_b = np.zeros(total + 1, bool), np.zeros(total + 1, bool)
+        at_a[ends_a] = at_b[ends_b] = True
+        shared, either = np.flatnonzero(at_a & at_b), np.flatnonzero(at_a | at_b)
+        group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
+        of_a, of_b = np.bincount(group_a, minlength=len(shared)), np.bincount(group_b, minlength=len(shared))
+        first_a, first_b = np.cumsum(of_a) - of_a, np.cumsum(of_b) - of_b
+        items = np.empty(len(ids_a) + len(ids_b), np.int64)
+        for ids, group, last, sep, shift in ((ids_a, group_a, first_a + of_a - 1, 1, first_b), (ids_b, group_b, first_b + of_b - 1, 2, first_a + of_a)):
+            own = np.arange(len(ids))
+            items[own + shift[group]] = 3 * ids + np.where(own == last[group], sep, 0)
+        texts = self.words.take(pa.array(items))
+        _, offsets, data = texts.buffers()
+        stops = np.frombuffer(offsets, np.int32, len(items) + 1)[np.r_[0, np.cumsum(many_a) + np.cumsum(many_b)]]
+        strings = pa.StringArray.from_buffers(len(many_a), pa.py_buffer(stops.astype(np.int32)), data)
+        borders = ends_a[np.cumsum(many_a) - 1]
+        groups, links = np.searchsorted(shared, borders, "right"), np.searchsorted(either, borders, "right")
+        pairs = pair_of(ids_a[np.searchsorted(ends_a, either)], ids_b[np.searchsorted(ends_b, either)])
+        return strings, np.diff(np.r_[0, groups]), pairs, np.diff(np.r_[0, links])
+
+
+def pair_of(a, b):
+    """Ids of a vocabulary below 2^16 and of one below 2^15 as positive 32-bit numbers."""
     return a << 15 | b
 
 
@@ -175,6 +151,29 @@ def a_of(pairs):
     return pairs >> 15
 
 
+def _tuple_hash(ids: np.ndarray, many: np.ndarray) -> np.ndarray:
+    first = np.cumsum(many) - many
+    place = np.arange(len(ids)) - np.repeat(first, many)
+    mixed = mix64(ids.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64) | np.uint64(1 << 60))
+    return np.add.reduceat(mixed, first)
+
+
+def _runs(ids: np.ndarray, many: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of some of the runs one after the other, number of ids of each)."""
+    if not len(some):
+        return ids[:0], many[:0]
+    return _picked(ids, many, some, np.ones(len(some), np.int64))
+
+
+def _digests(strings: pa.Array, ends: np.ndarray, per_text: np.ndarray) -> list[str]:
+    """SHA-256 of each text's windows one after the other, without the last separator; empty for a text without any."""
+    _, offsets, data = strings.buffers()
+    stops = np.frombuffer(offsets, np.int32, len(strings) + 1)
+    data = memoryview(data)
+    spans = zip(stops[ends - per_text].tolist(), stops[ends].tolist())
+    return [hashlib.sha256(data[a : b - 1]).hexdigest() if b > a else "" for a, b in spans]
+
+
 def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sums of the runs of values that end at these places; runs may be empty."""
     return np.diff(np.r_[0, np.r_[0, np.cumsum(values)][ends]])
@@ -202,16 +201,14 @@ class Aligner:
         size_a, size_b = self.a.size[ids_a], self.b.size[ids_b]
         ends_a, ends_b = np.cumsum(size_a), np.cumsum(size_b)
         windows_a, windows_b, per_text = self._cut(ids_a, ends_a, n_a, ids_b, ends_b, n_b)
-        which, distinct = self._distinct(ids_a, windows_a, ids_b, windows_b)
-        found = [self.windows(key) for key in distinct]
-        strings, groups = [f[0] for f in found], np.array([f[1] for f in found], np.int64)
-        links = np.array([len(f[2]) for f in found], np.int64)
-        flat = np.array([p for f in found for p in f[2]], np.int64)
-        pairs = _picked(flat, links, which, np.ones(len(which), np.int64))[0] if len(which) else flat
+        which, one = self._distinct(ids_a, windows_a, ids_b, windows_b)
         ends = np.cumsum(per_text)
-        n_links, n_groups = _sums(links[which], ends), _sums(groups[which], ends)
-        order = which.tolist()
-        digests = [hashlib.sha256(";".join([strings[k] for k in order[e - m : e]]).encode()).hexdigest() if m else "" for e, m in zip(ends.tolist(), per_text.tolist())]
+        digests, pairs, n_groups, n_links = [""] * n, np.zeros(0, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        if len(which):
+            strings, groups, flat, links = self.windows.align(*_runs(ids_a, windows_a, one), *_runs(ids_b, windows_b, one))
+            pairs = _picked(flat, links, which, np.ones(len(which), np.int64))[0]
+            n_links, n_groups = _sums(links[which], ends), _sums(groups[which], ends)
+            digests = _digests(strings.take(pa.array(which)), ends, per_text)
         unique, times = np.unique(np.repeat(np.arange(n), n_links) << 31 | pairs, return_counts=True)
         per_row = np.bincount(unique >> 31, minlength=n)
         offsets = np.r_[0, np.cumsum(per_row)].astype(np.int32)
@@ -252,38 +249,27 @@ class Aligner:
         return np.diff(np.r_[0, cuts_a]), np.diff(np.r_[0, cuts_b]), np.bincount(texts, minlength=len(n_a))
 
     @staticmethod
-    def _distinct(ids_a, windows_a, ids_b, windows_b) -> tuple[np.ndarray, list[tuple[tuple, tuple]]]:
-        """(the distinct window at each place, distinct windows as two tuples of ids).
+    def _distinct(ids_a, windows_a, ids_b, windows_b) -> tuple[np.ndarray, np.ndarray]:
+        """(the number of the distinct window at each place, a place of each distinct window).
 
-        Windows of up to four ids are told apart as one 64-bit number, longer ones as tuples.
+        Windows are distinct by their two tuples of ids: sorted by a hash of those, and told apart id by id within it.
         """
-        which, distinct = np.zeros(len(windows_a), np.int64), []
-        first_a, first_b = np.cumsum(windows_a) - windows_a, np.cumsum(windows_b) - windows_b
-        shape = np.where(windows_a + windows_b <= 4, windows_a * 4 + windows_b, 0)
-        for form in np.unique(shape).tolist():
-            rows = np.flatnonzero(shape == form)
-            if form:
-                m, k = divmod(form, 4)
-                parts = [ids_a[first_a[rows] + j] for j in range(m)] + [ids_b[first_b[rows] + j] for j in range(k)]
-                packed = parts[0].astype(np.uint64)
-                for part in parts[1:]:
-                    packed = packed << np.uint64(16) | part.astype(np.uint64)
-                _, one, place = np.unique(packed, return_index=True, return_inverse=True)
-                columns = [part[one].tolist() for part in parts]
-                keys = list(zip(zip(*columns[:m]), zip(*columns[m:])))
-            else:
-                seen: dict = {}
-                a, b = ids_a.tolist(), ids_b.tolist()
-                spans = zip(first_a[rows].tolist(), windows_a[rows].tolist(), first_b[rows].tolist(), windows_b[rows].tolist())
-                place = np.array([seen.setdefault((tuple(a[i : i + m]), tuple(b[j : j + k])), len(seen)) for i, m, j, k in spans], np.int64)
-                keys = list(seen)
-            which[rows] = place + len(distinct)
-            distinct += keys
-        return which, distinct
+        if not len(windows_a):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        code = _tuple_hash(ids_a, windows_a) * np.uint64(3) ^ _tuple_hash(ids_b, windows_b)
+        _, one, which = np.unique(code, return_index=True, return_inverse=True)
+        same = np.ones(len(which), bool)
+        for ids, many in ((ids_a, windows_a), (ids_b, windows_b)):
+            same &= many == many[one][which]
+            own, count = _runs(ids, many, np.flatnonzero(same))
+            model, _ = _runs(ids, many, one[which[same]])
+            same[np.flatnonzero(same)[_sums(own != model, np.cumsum(count)) > 0]] = False
+        odd = np.flatnonzero(~same)  # another window has the same hash: each of these stands alone
+        which[odd] = len(one) + np.arange(len(odd))
+        return which, np.r_[one, odd]
 
     def forget(self) -> None:
-        for x in (self.enc, self.pieces, self.windows):
-            x.forget()
+        self.enc.forget()
 
 
 def aligner(path_a: str, path_b: str) -> Aligner:
