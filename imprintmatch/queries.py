@@ -86,7 +86,7 @@ def refresh_catalog(spark, sf_dir):
 
 @query
 def load_progress(spark, sf_dir):
-    return S.load_progress(S.flatten_envelope(S.make_pages(load(spark, sf_dir, "catalog"))))
+    return S.load_progress(S.make_pages(load(spark, sf_dir, "catalog")))
 
 
 @query

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from ..storage import cut, running_total
+
+#: The file that makes a version a published one.
+MANIFEST = "_MANIFEST.json"
 ROWS_PER_PAGE = 100
 WEEK, MONTH = 7 * 24 * 3600, 30 * 24 * 3600
 
@@ -100,36 +106,143 @@ def select_catalog_items(items: DataFrame, item_name: str | None = None, entp_na
     return items
 
 
-def refresh_catalog(pages: DataFrame, path: str, version: int, loaded_at: float, rows_per_page: int = ROWS_PER_PAGE) -> None:
-    """A new version of the snapshot with the items of all good pages; other versions stay."""
-    good, _ = split_pages(pages)
-    items = flatten_envelope(good, rows_per_page).drop("page_no", "pos")
-    items.withColumn("loaded_at", F.lit(float(loaded_at))).write.mode("overwrite").parquet(f"{path}/version={version}")
+class CatalogError(ValueError):
+    """A refresh that may not be published."""
 
 
-def load_progress(items: DataFrame) -> DataFrame:
-    """(page_no, n_items, total): items of each page and up to it.  The window runs over pages, not items."""
-    per_page = items.groupBy("page_no").agg(F.count(F.lit(1)).alias("n_items"))
-    return per_page.withColumn("total", F.sum("n_items").over(W.orderBy("page_no").rowsBetween(W.unboundedPreceding, 0)))
+def page_faults(pages: DataFrame, expected: tuple[int, int] | None = None) -> DataFrame:
+    """(page_no, fault) of pages that are `bad` (see page_status), `repeated` or `missing`.
 
+    expected: first and last page of the run; without it pages are expected from 1 to the last that has landed.
+    """
+    seen = page_status(pages).groupBy("page_no").agg(F.count(F.lit(1)).alias("n"), F.bool_or("is_error").alias("is_error"))
+    first, last = (F.lit(n).cast("bigint") for n in expected) if expected else (F.lit(1).cast("bigint"), F.greatest(F.coalesce(F.max("page_no"), F.lit(0)), F.lit(0)))
+    run = seen.agg(first.alias("first"), last.alias("last")).filter("last >= first").select(F.explode(F.sequence("first", "last")).alias("page_no"))
+    fault = F.when(F.col("n").isNull(), "missing").when(F.col("is_error"), "bad").when(F.col("n") > 1, "repeated")
+    return run.join(seen, "page_no", "full").select("page_no", fault.alias("fault")).filter("fault is not null")
 
-def load_snapshot(spark: SparkSession, path: str, now: float | None = None) -> DataFrame | None:
-    """The latest version's items, or None where there is no readable snapshot with an item.
 
-    The footers of all its files are read first, so that a broken file counts as unreadable.
+def refresh_catalog(pages: DataFrame, path: str, version: int, loaded_at: float, rows_per_page: int = ROWS_PER_PAGE, expected: tuple[int, int] | None = None, quarantine: bool = False) -> dict:
+    """Publish a version of the snapshot with the items of all pages; returns its manifest.
+
+    All or nothing: items are written aside, their rows and pages are counted by the write itself and compared with
+    what the files hold, the folder is moved to its place, and a manifest of its files is written last.  Readers
+    take versions with a manifest only, so whatever stops a refresh leaves the last whole version in place.
+
+    A bad, repeated or missing page stops the refresh before anything is written.  With quarantine such pages are left out
+    and stored beside the items, in `_quarantine` of the version.
     """
+    spark = pages.sparkSession
+    faults = cut(page_faults(pages, expected))
+    shown = [f"{r.page_no} ({r.fault})" for r in faults.orderBy("page_no").limit(10).collect()]
+    if shown and not quarantine:
+        raise CatalogError(f"pages that cannot be published: {', '.join(shown)}")
+    good = pages.join(faults, "page_no", "left_anti") if shown else pages
+    attempt = f"{path.rstrip('/')}/_attempts/{version}-{uuid.uuid4().hex}"
+    counted = Observation()
+    items = flatten_envelope(good, rows_per_page).observe(counted, F.count(F.lit(1)).alias("n_items"), F.max("page_no").alias("last_page")).drop("page_no", "pos")
+    items.withColumn("loaded_at", F.lit(float(loaded_at))).write.parquet(attempt)
+    if shown:
+        pages.join(faults, "page_no").write.parquet(f"{attempt}/_quarantine")
+    files = _rows_by_file(spark, attempt)
+    manifest = {"version": int(version), "loaded_at": float(loaded_at), "n_items": counted.get["n_items"], "last_page": counted.get["last_page"], "files": files}
+    if sum(f["rows"] for f in files.values()) != manifest["n_items"]:
+        raise CatalogError(f"{attempt} does not hold the {manifest['n_items']} items that were written")
+    _publish(spark, attempt, f"{path.rstrip('/')}/version={version}", manifest)
+    return manifest
+
+
+def _publish(spark: SparkSession, attempt: str, place: str, manifest: dict) -> None:
+    """Move a finished attempt to its place and write its manifest.  A version without a manifest is an unfinished one and makes way."""
+    fs, there = _file_system(spark, place)
+    if fs.exists(there):
+        if _manifest(spark, place):
+            raise CatalogError(f"{place} is published already")
+        fs.delete(there, True)
+    if not fs.rename(_file_system(spark, attempt)[1], there):
+        raise CatalogError(f"{attempt} cannot be moved to {place}")
+    out = fs.create(_file_system(spark, f"{place}/{MANIFEST}")[1], False)
     try:
-        stored = spark.read.parquet(path)
-        if "version" not in stored.columns:
-            return None
-        last = stored.agg(F.max("version")).first()[0]  # from partition names
-        items = stored.filter(F.col("version") == last) if last is not None else None
-        if items is None or not items.count():
-            return None
-    except (PySparkException, Py4JJavaError):
+        out.write(bytearray(json.dumps(manifest).encode()))
+    finally:
+        out.close()
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _sizes(spark: SparkSession, folder: str) -> dict[str, int]:
+    """Sizes of the data files of a folder."""
+    fs, where = _file_system(spark, folder)
+    found = [s for s in fs.listStatus(where) if s.isFile()]
+    return {s.getPath().getName(): s.getLen() for s in found if not s.getPath().getName().startswith(("_", "."))}
+
+
+def _rows_by_file(spark: SparkSession, folder: str) -> dict[str, dict]:
+    """Size and rows of every data file; reads footers."""
+    rows = {r.name: r.n for r in spark.read.parquet(folder).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {name: {"size": size, "rows": rows.get(name, 0)} for name, size in _sizes(spark, folder).items()}
+
+
+def _manifest(spark: SparkSession, folder: str) -> dict | None:
+    fs, where = _file_system(spark, f"{folder}/{MANIFEST}")
+    if not fs.exists(where):
+        return None
+    stream = fs.open(where)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        return json.loads(text)
+    except ValueError:  # the write of the manifest itself was cut off
         return None
-    current = F.lit(float(now)) if now is not None else F.unix_micros(F.current_timestamp()) / 1e6
-    return items.withColumn("loaded_at", F.coalesce("loaded_at", current))
+    finally:
+        stream.close()
+
+
+def published_versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions with a manifest, the latest first."""
+    fs, where = _file_system(spark, path)
+    if not fs.exists(where):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(where)]
+    numbers = [int(n[8:]) for n in names if n.startswith("version=") and n[8:].isdigit()]
+    return [n for n in sorted(numbers, reverse=True) if _manifest(spark, f"{path.rstrip('/')}/version={n}")]
+
+
+def _is_whole(spark: SparkSession, folder: str, manifest: dict) -> bool:
+    """Whether a folder holds the manifest's files and no others, readable and with the rows they were published with."""
+    try:
+        return {n: f["size"] for n, f in manifest["files"].items()} == _sizes(spark, folder) and _rows_by_file(spark, folder) == manifest["files"]
+    except (PySparkException, Py4JJavaError):
+        return False
+
+
+def load_progress(pages: DataFrame) -> DataFrame:
+    """(page_no, n_items, total): items of each page and up to it; pages without an item have no row.
+
+    One pass over the pages: a page's items are counted where it is read (a table of items is counted by page).  Totals are sums within ranges of pages
+    and of the ranges before, so no task sees all pages.
+    """
+    items = F.size(_items(F.try_parse_json("payload"))).cast("long") if "payload" in pages.columns else F.lit(1)
+    per_page = pages.groupBy("page_no").agg(F.sum(items).alias("n_items")).filter("n_items > 0")
+    return running_total(per_page, "page_no", "n_items", "total")
+
+
+def load_snapshot(spark: SparkSession, path: str, now: float | None = None) -> DataFrame | None:
+    """The items of the latest whole version, or None where no version with an item is whole.
+
+    A version is whole if its files are those of its manifest, size by size and row by row; the last one that is
+    takes the place of a broken or unfinished one.
+    """
+    for version in published_versions(spark, path):
+        folder = f"{path.rstrip('/')}/version={version}"
+        manifest = _manifest(spark, folder)
+        if manifest and manifest["n_items"] and _is_whole(spark, folder, manifest):
+            current = F.lit(float(now)) if now is not None else F.unix_micros(F.current_timestamp()) / 1e6
+            items = spark.read.parquet(folder).withColumn("version", F.lit(version))
+            return items.withColumn("loaded_at", F.coalesce("loaded_at", current))
+    return None
 
 
 def is_stale(loaded_at: Column, now: float, ttl: float = WEEK) -> Column:

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +35,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there; survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """df with the sum of value up to each row in order (whose values are distinct).
+
+    Rows are dealt over ranges of order and summed in them; of the ranges only their sums come together.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sums = ranged.groupBy("_part").agg(F.sum(value).alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    within = W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return ranged.join(F.broadcast(sums), "_part").withColumn(name, F.col("_before") + F.sum(value).over(within)).drop("_part", "_before")

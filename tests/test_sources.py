@@ -41,8 +41,11 @@ def test_snapshots(spark, tmp_path):
     path = f"{tmp_path}/catalog"
     assert S.load_snapshot(spark, path) is None
     pages = spark.createDataFrame([(1, ENVELOPES[1][0]), (2, ENVELOPES[-1][0])], "page_no long, payload string")
-    S.refresh_catalog(pages, path, 1, 50.0)
-    S.refresh_catalog(pages, path, 2, 60.0)
+    with pytest.raises(S.CatalogError, match=r"2 \(bad\)"):
+        S.refresh_catalog(pages, path, 1, 50.0)
+    assert S.load_snapshot(spark, path) is None
+    S.refresh_catalog(pages, path, 1, 50.0, quarantine=True)
+    S.refresh_catalog(pages, path, 2, 60.0, quarantine=True)
     rows = S.load_snapshot(spark, path).collect()
     assert len(rows) == 2 and {r.loaded_at for r in rows} == {60.0}
     ages = spark.createDataFrame([(0.0,), (1.0,), (None,)], "t double").select(S.is_stale(F.col("t"), S.WEEK + 0.5).alias("s"), S.snapshot_action(F.col("t"), F.lit(1), S.WEEK + 0.5).alias("a"))
@@ -55,7 +58,10 @@ def test_pages_from_files(spark, tmp_path):
     rows = S.read_catalog_pages(spark, str(tmp_path), pages=(2, 14)).collect()
     assert sorted(r.page_no for r in rows) == list(range(2, 15))
     assert [r.page_no for r in rows if not r.parse_ok] == [14]
-    assert S.load_progress(S.flatten_envelope(S.read_catalog_pages(spark, str(tmp_path)))).orderBy("page_no").collect()[-1].total == 6
+    pages = S.read_catalog_pages(spark, str(tmp_path))
+    progress = [tuple(r) for r in S.load_progress(pages).orderBy("page_no").collect()]
+    assert progress == [(1, 1, 1), (2, 2, 3), (3, 1, 4), (4, 1, 5), (13, 1, 6)]
+    assert [tuple(r) for r in S.load_progress(S.flatten_envelope(pages)).orderBy("page_no").collect()] == progress
 
 
 def test_images(spark, tmp_path):
