@@ -36,6 +36,12 @@ select l_orderkey as image_id,
  cast(l_partkey*13 % 560 as int) as x0, cast(case when l_suppkey % 2 = 0 then 150 else 360 end + l_linenumber*5 as int) as y0,
  cast(l_partkey*13 % 560 + 20 + l_linenumber*3 as int) as x1,
  cast(case when l_suppkey % 2 = 0 then 190 else 400 end + l_linenumber*5 as int) as y1
+from lineitem""",
+    "label_boxes": """
+select l_suppkey as image_id, cast(row_number() over (partition by l_suppkey order by l_orderkey,l_linenumber,l_partkey,l_extendedprice,l_shipdate) as bigint) as det_id,
+ cast((l_partkey*7 + l_suppkey) % 38 as int) as class_id,
+ cast(l_partkey*13 % 560 as int) as x0, cast(l_orderkey % 400 as int) as y0,
+ cast(l_partkey*13 % 560 + 20 + l_linenumber*3 as int) as x1, cast(l_orderkey % 400 + 40 as int) as y1
 from lineitem""",
     "ocr_lines": """
 select conv_id as roi_id, cast(turn % 6 + 1 as int) as pass_no, cast(floor(turn/6) as int) as line_no,

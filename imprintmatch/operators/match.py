@@ -9,10 +9,11 @@ items, and a query meets classes of attributes with the best few items of each.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -32,6 +33,24 @@ def build_print_index(items: DataFrame) -> DataFrame:
     return items.select(F.explode(F.array_union(own, flat)).alias("token"), "item_idx")
 
 
+def store_print_index(items: DataFrame, folder: str, buckets: int | None = None) -> None:
+    """Write the index of a snapshot once, in buckets by token, sorted by it; `buckets` is kept in a file beside them."""
+    spark = items.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"print_index_{uuid.uuid4().hex}"
+    build_print_index(items).repartition(buckets, "token").write.bucketBy(buckets, "token").sortBy("token").option("path", f"{folder}/tokens").saveAsTable(name)
+    spark.sql(f"drop table {name}")  # of the catalogue only: its files stay
+    spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{folder}/buckets")
+
+
+def load_print_index(spark: SparkSession, folder: str) -> DataFrame:
+    """A stored index: joins on token do not shuffle it again."""
+    buckets = spark.read.parquet(f"{folder}/buckets").first()[0]
+    name = f"print_index_{uuid.uuid5(uuid.NAMESPACE_URL, folder).hex}"
+    spark.sql(f"create table if not exists {name} (token string, item_idx bigint) using parquet clustered by (token) sorted by (token) into {buckets} buckets location '{folder}/tokens'")
+    return spark.table(name)
+
+
 def seed_candidates(imprints: DataFrame, index: DataFrame) -> DataFrame:
     """Distinct (imprint, item_idx) that share a token of the imprint or of its variants."""
     wanted = imprints.select("imprint", F.explode(T.query_tokens(F.col("imprint"))).alias("token"))
@@ -206,10 +225,11 @@ def topk_candidates(scored: DataFrame, k: int = TOP) -> DataFrame:
 
 
 def with_look(items: DataFrame) -> DataFrame:
-    """items with look: the tokens under which an item is found, and those by which it is scored."""
+    """items with look: the tokens under which an item is found, and those by which it is scored, in full and basic."""
     own = T.print_tokens(F.col("print_front"), F.col("print_back"))
     found = F.filter(F.array_union(own, F.transform(own, T.norm_token)), lambda t: t != "")
-    return items.withColumn("look", F.concat_ws("|", F.array_join(found, " "), F.array_join(T.item_rank_tokens(F.col("print_front"), F.col("print_back")), " ")))
+    scored = [T.item_rank_tokens(F.col("print_front"), F.col("print_back"), basic) for basic in (False, True)]
+    return items.withColumn("look", F.concat_ws("|", F.array_join(found, " "), *[F.array_join(tokens, " ") for tokens in scored]))
 
 
 def _tokens_of(look: Column, part: int) -> Column:
@@ -264,6 +284,32 @@ def class_pairs(queries: DataFrame, by_class: DataFrame) -> DataFrame:
     return _with_flags(queries.withColumns(_alias_lists()).join(by_class, "imprint"), "n", "idx_sum", "best")
 
 
+def basic_look_scores(imprints: DataFrame, looks: DataFrame) -> DataFrame:
+    """look_scores of the basic kind: a token that an imprint repeats counts each time; there is no bound and no bonus."""
+    target = imprints.select("imprint", F.explode(T.rank_tokens(F.col("imprint"), True)).alias("target")).groupBy("imprint", "target").agg(F.count(F.lit(1)).alias("times"))
+    spelled = target.select("target").distinct().select("target", F.explode(F.array_distinct(T.rank_variants(F.col("target"), True))).alias("token"))
+    printed = looks.select("look", F.explode(F.array_distinct(_tokens_of(F.col("look"), 2))).alias("token"))
+    hits = spelled.join(printed, "token").select("target", "look").distinct()
+    worth = F.sum(F.col("times") * T.token_weight(F.col("target"), True)).cast("int")
+    return target.join(hits, "target").groupBy("imprint", "look").agg(worth.alias("text_score"))
+
+
+def class_scores(queries: DataFrame, seeds: DataFrame, classes: DataFrame, basic: bool = False) -> DataFrame:
+    """Queries with the classes of their candidates and what every item of a class scores: n, idx_sum, score.
+
+    seeds: (imprint, look) that share a token.  Looks of equal text score are one before queries meet them, so what is
+    paired with queries are classes of attributes and scores, never items.
+    """
+    looks = classes.select("look").distinct()
+    imprints = queries.select("imprint").distinct()
+    texts = basic_look_scores(imprints, looks) if basic else look_scores(imprints, looks)
+    met = seeds.join(texts, ["imprint", "look"], "left").fillna(0, ["text_score"]).join(classes, "look")
+    group = ["imprint", *ATTRIBUTES, "text_score"]
+    summed = met.groupBy(*group).agg(F.sum("n").alias("n"), F.sum("idx_sum").alias("idx_sum"))
+    pairs = _with_flags(queries.withColumns(_alias_lists(basic)).join(summed, "imprint"), "text_score", "n", "idx_sum")
+    return pairs.select(*QUERY, *ATTRIBUTES, "n", "idx_sum", _score(F.col("imprint"), F.col("text_score"), basic).alias("score"))
+
+
 def class_ladder(pairs: DataFrame) -> DataFrame:
     """class_pairs that the ladder leaves, with their mode."""
     return _by_ladder(pairs, F.col("n"))

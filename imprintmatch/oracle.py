@@ -220,20 +220,20 @@ define("is_stale", with_ctes("snapshots") + "select version, coalesce(100000000.
 define("snapshot_action", with_ctes("snapshots") + "select version, case when version % 3 > 0 and 100000000.0 - loaded_at <= 2592000 then 'use' else 'refresh' end as action from snapshots")
 define(
     "read_images",
-    """select s_suppkey, case s_suppkey % 5 when 0 then 'png' when 1 then 'jpeg' when 2 then 'webp' end as kind,
- case s_suppkey % 5 when 3 then 'suffix' when 4 then 'content' end as reason from supplier""",
+    """select s_suppkey, case s_suppkey % 8 when 0 then 'png' when 1 then 'jpeg' when 2 then 'webp' when 7 then 'jpeg' end as kind,
+ case s_suppkey % 8 when 3 then 'suffix' when 4 then 'content' when 5 then 'decode' when 6 then 'decode' end as reason from supplier""",
 )
 CLASS_MAP = "cls as (select unnest(range(38))::int as class_id, unnest(" + _list(ALPHABET) + ") as ch)"
 define("read_class_map", with_ctes("detections", more=CLASS_MAP) + "select class_id, ch, count(*) as n from detections join cls using (class_id) group by 1, 2")
 BOXES = """nb as (
- select image_id, det_id, class_id, (x0 + x1) / 2 / 1000 as cx, (y0 + y1) / 2 / 500 as cy, (x1 - x0 + 1) / 1000 as w, (y1 - y0 + 1) / 500 as h from detections),
-lb as (
- select case when image_id % 200 % 10 = 0 then 'val' else 'train' end as split, 's' || (image_id % 200) as stem, image_id * 100 + det_id as place, * from nb)"""
+ select image_id, det_id, class_id, (x0 + x1) / 2 / 1000 as cx, (y0 + y1) / 2 / 500 as cy, (x1 - x0 + 1) / 1000 as w, (y1 - y0 + 1) / 500 as h from detections)"""
+LABELS = BOXES.replace("from detections", "from label_boxes") + """,
+lb as (select case when image_id % 10 = 0 then 'val' else 'train' end as split, 's' || image_id as stem, det_id as place, * from nb)"""
 define("normalize_boxes", with_ctes("detections", more=BOXES) + "select image_id, det_id, class_id, round(cx, 6) as cx, round(cy, 6) as cy, round(w, 6) as w, round(h, 6) as h from nb")
-define("write_yolo_labels", with_ctes("detections", more=BOXES) + "select split, stem, printf('%d %.6f %.6f %.6f %.6f', class_id, cx, cy, w, h) as value from lb")
+define("write_yolo_labels", with_ctes("label_boxes", more=LABELS) + "select split, stem, printf('%d %.6f %.6f %.6f %.6f', class_id, cx, cy, w, h) as value from lb")
 define(
     "read_yolo_labels",
-    with_ctes("detections", more=f"{CLASS_MAP},\n{BOXES}")
+    with_ctes("label_boxes", more=f"{CLASS_MAP},\n{LABELS}")
     + """select split, stem, cast(row_number() over (partition by split, stem order by place) - 1 as int) as line_no, class_id, ch,
  printf('%.6f', cx)::double as cx, printf('%.6f', cy)::double as cy, printf('%.6f', w)::double as w, printf('%.6f', h)::double as h
 from lb join cls using (class_id)""",
@@ -373,7 +373,7 @@ sw as (select a.roi_id, coalesce(ar.text, '') as text from (select distinct roi_
 define("ocr_pass_text", with_ctes("ocr_lines", more=PASSES) + "select roi_id, pass_no, text, basic from ps")
 define("ocr_cascade", with_ctes("ocr_lines", more=PASSES) + "select roi_id, text from cs")
 define("ocr_sweep_best", with_ctes("ocr_attempts", more=SWEEP) + "select roi_id, text from sw")
-define("merge_roi_text", with_ctes("ocr_lines", more=PASSES) + f"select image_id, {normal('j', True)} as text from (select roi_id % 50 as image_id, coalesce(string_agg(text, ' ' order by roi_id) filter (text <> ''), '') as j from cs group by 1)")
+define("merge_roi_text", with_ctes("ocr_lines", more=PASSES) + f"select image_id, {normal('j', True)} as text from (select roi_id // 6 as image_id, coalesce(string_agg(text, ' ' order by roi_id) filter (text <> ''), '') as j from cs group by 1)")
 # detections
 
 SCORED = """sb as (
@@ -391,33 +391,54 @@ define(
     + """, iv as (select image_id, det_id, class_id, round_even(x0, 0)::int as x0, round_even(y0, 0)::int as y0, round_even(x1, 0)::int as x1, round_even(y1, 0)::int as y1 from ub)
 select image_id, det_id, ch, x0, y0, x1, y1 from iv join cls using (class_id) where x1 - x0 >= 3 and y1 - y0 >= 3""",
 )
-define(
-    "decode_radial",
-    with_ctes("detections", more=CLASS_MAP)
-    + r""", a as (
- select image_id, det_id, ch, conf, (y0 + y1) * 0.5::double as my, atan2((y0 + y1) * 0.5::double - 240.0, (x0 + x1) * 0.5::double - 320.0) as ang
- from detections join cls using (class_id) where conf >= 0.12),
+#: Runs of three or more equal characters become two; RE2 has no back references.
+RUNS = "string_agg(ch, '' order by turn)"
+for c in ALPHABET:
+    RUNS = f"regexp_replace({RUNS}, '[{c}]{{3,}}', '{c}{c}', 'g')"
+
+
+def radial(chars: str, half_w: str, half_h: str) -> str:
+    """CTEs that end in rd (image_id, text); chars: rows of image_id, det_id, ch, conf and corners."""
+    return (
+        rf"""a as (
+ select image_id, det_id, ch, conf, (y0 + y1) * 0.5::double as my, atan2((y0 + y1) * 0.5::double - {half_h}, (x0 + x1) * 0.5::double - {half_w}) as ang
+ from {chars} where conf >= 0.12),
 b as (
  select *, round_even(ang / radians(12.0), 0)::int as bin, row_number() over (partition by image_id order by ang, det_id) as rn, count(*) over (partition by image_id) as n from a),
-s as (select image_id, coalesce(min(rn) filter (ch = 'P' and conf >= 0.30), arg_min(rn, {'my': my, 'rn': rn})) as start from b group by 1),
+s as (select image_id, coalesce(min(rn) filter (ch = 'P' and conf >= 0.30), arg_min(rn, {{'my': my, 'rn': rn}})) as start from b group by 1),
 t as (select b.*, (rn - start + n) % n as turn from b join s using (image_id)),
-k as (select *, row_number() over (partition by image_id, bin order by conf desc, turn) as best from t)
-select image_id, RUNS(string_agg(ch, '' order by turn)) as text
-from k where best = 1 group by 1""",
-)
-#: Runs of three or more equal characters become two; RE2 has no back references.
-runs = "string_agg(ch, '' order by turn)"
-for c in ALPHABET:
-    runs = f"regexp_replace({runs}, '[{c}]{{3,}}', '{c}{c}', 'g')"
-SQL["decode_radial"] = SQL["decode_radial"].replace("RUNS(string_agg(ch, '' order by turn))", runs)
+k as (select *, row_number() over (partition by image_id, bin order by conf desc, turn) as best from t),
+rd as (select image_id, """
+        + RUNS
+        + " as text from k where best = 1 group by 1)"
+    )
+
+
+#: Regions' own values: the largest contour's shape, whether it is a capsule, and which text fits.
+SHAPED = f"""lc as (select *, row_number() over (partition by image_id order by area desc, box_id) as nth from contours),
+sg as (select image_id as roi_id, w, h, case when area >= 400 then {SHAPE} end as shape_guess from lc where nth = 1),
+cp as (select roi_id, shape_guess, coalesce(shape_guess in ('타원형', '장방형') and h > 0 and w / h > 1.3, false) as is_capsule from sg)"""
+
+
+def routed(regions: str, chars: str) -> str:
+    return rf"""rg as (
+ select r.roi_id, color_guess, shape_guess, coalesce(is_capsule, false) as is_capsule, coalesce(cs.text, '') as c, coalesce(sw.text, '') as w, coalesce(rd.text, '') as r,
+  kind = 'debossed' and not coalesce(is_capsule, false) and exists (select 1 from {chars} ch where ch.image_id = r.roi_id) as use
+ from {regions} r left join cp using (roi_id) left join cs using (roi_id) left join sw using (roi_id) left join rd on rd.image_id = r.roi_id),
+chosen as (
+ select *, coalesce(nullif(case when use then case when length(regexp_replace(r, '\s', '', 'g')) < 3 then w else r end else c end, ''), c, '') as text from rg)"""
+
+
+define("decode_radial", with_ctes("detections", more=f"{CLASS_MAP},\n{radial('detections join cls using (class_id)', '320.0', '240.0')}") + "select image_id, text from rd")
 define(
     "route_imprint",
-    SQL["decode_radial"].replace("with ", "with " + with_ctes("ocr_lines", "ocr_attempts", more=f"{PASSES},\n{SWEEP}")[5:].rstrip() + ",\n", 1).replace("select image_id, regexp", ", rd as (select image_id, regexp")
-    + r"""), rt as (
- select sw.roi_id, cs.text as c, sw.text as w, coalesce(rd.text, '') as r, sw.roi_id % 11 <> 0 and sw.roi_id % 5 <> 0 and sw.roi_id % 4 in (1, 2) as use
- from sw left join cs using (roi_id) left join rd on rd.image_id = sw.roi_id)
-select roi_id, coalesce(nullif(case when use then case when length(regexp_replace(r, '\s', '', 'g')) < 3 then w else r end else c end, ''), c, '') as text from rt""",
-)
+    with_ctes(
+        "ocr_lines", "ocr_attempts", "detections", "contours",
+        more=f"{CLASS_MAP},\n{PASSES},\n{SWEEP},\n{SHAPED},\n{radial('detections join cls using (class_id)', '320.0', '240.0')},\nki as (KINDS),\n"
+        + "rk0 as (select sw.roi_id, kind, null::varchar as color_guess from sw left join ki using (roi_id)),\n" + routed("rk0", "detections"),
+    )
+    + "select roi_id, text from chosen",
+)
 QUANTILE = lambda v, q: f"({v}[floor((len({v}) - 1) * {q}::double)::int + 1] + ({v}[ceil((len({v}) - 1) * {q}::double)::int + 1] - {v}[floor((len({v}) - 1) * {q}::double)::int + 1]) * ((len({v}) - 1) * {q}::double - floor((len({v}) - 1) * {q}::double)))"
 ROUNDS = "".join(f""",
 c{i + 1} as (select image_id, ys, coalesce(list_avg(list_filter(ys, lambda y: y < (c1 + c2) / 2)), c1) as c1, coalesce(list_avg(list_filter(ys, lambda y: y >= (c1 + c2) / 2)), c2) as c2 from c{i})""" for i in range(10))
@@ -579,6 +600,23 @@ from pa join co using (roi_id) join db using (roi_id)""",
 )
 define("ink_score", with_ctes("pixels", more=INK) + "select roi_id, round(ink, 6) as ink from ink")
 
+SQL["route_imprint"] = SQL["route_imprint"].replace("KINDS", SQL["imprint_type"])
+define(
+    "identify_single",
+    with_ctes(
+        "catalog", "ocr_lines", "ocr_attempts", "detections", "contours",
+        more=f"{CLASS_MAP},\n{PASSES},\n{SWEEP},\n{SHAPED},\nki as ({SQL['imprint_type']}),\nmc as ({SQL['mask_mean_color']}),\nkb as ({SQL['nms_boxes']}),\n"
+        + """uc as (
+ select image_id, anchor_id as det_id, class_id, conf, round_even(least(greatest(x0 / 0.5::double, 0), 1279), 0) as x0, round_even(least(greatest((y0 - 107) / 0.5::double, 0), 852), 0) as y0,
+  round_even(least(greatest(x1 / 0.5::double, 0), 1279), 0) as x1, round_even(least(greatest((y1 - 107) / 0.5::double, 0), 852), 0) as y1 from kb),
+ic as (select * from uc join cls using (class_id) where x1 - x0 >= 3 and y1 - y0 >= 3),
+"""
+        + radial("ic", "640.0", "426.5") + ",\nrk0 as (select ki.roi_id, kind, mc.single as color_guess from ki left join mc using (roi_id)),\n" + routed("rk0", "ic")
+        + ",\nreadings as (select roi_id as reading_id, text as imprint_raw, shape_guess, color_guess from chosen),\n" + f"{MATCH},\n{ranked(False)}",
+    )
+    + SQL["identify_one_batch"][SQL["identify_one_batch"].index("select clean.reading_id, clean.imprint as ocr_text") :].replace("as shape\n", "as shape, is_capsule\n").replace("from clean join va", "from clean join (select roi_id as reading_id, is_capsule from chosen) using (reading_id) join va"),
+)
+
 # label corpus
 
 

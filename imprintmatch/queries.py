@@ -19,6 +19,7 @@ from .operators import ocr as O
 from .operators import pixels as P
 from .operators import regions as R
 from .plans import identify as I
+from .plans import single as N
 from .sources import catalog as S
 from .sources import images as G
 from .sources import labels as Y
@@ -110,23 +111,22 @@ def snapshot_action(spark, sf_dir):
 
 @query
 def read_images(spark, sf_dir):
-    """Image files written from supplier rows; wrong suffixes and contents are quarantined."""
-    import pyarrow.fs as pafs
-
+    """Image files written from supplier rows; wrong suffixes, other contents and broken images are quarantined."""
     path = new_folder(spark, "images")
+    drawn = np.arange(96, dtype=np.uint8).reshape(4, 8, 3)
+    png, jpeg = G.png_bytes(drawn), G.jpeg_bytes(spark, drawn)
+    kinds = (("png", png), ("jpg", jpeg), ("webp", b"RIFF\0\0\0\0WEBP" + bytes(8)), ("gif", b"GIF89a" + bytes(8)), ("png", b"none" + bytes(8)), ("png", png[:40]), ("jpeg", jpeg[:24] + bytes(40)), ("JPG", jpeg))
 
     def write(batches):
-        fs, at = pafs.FileSystem.from_uri(path)
         for batch in batches:
             for key in batch["s_suppkey"]:
-                name, head = (("png", b"\x89PNG\r\n\x1a\n"), ("jpg", b"\xff\xd8\xff\xe0"), ("webp", b"RIFF\0\0\0\0WEBP"), ("gif", b"GIF89a"), ("png", b"none"))[key % 5]
-                with fs.open_output_stream(f"{at}/s{key}.{name}") as f:
-                    f.write(head + b"\0" * 8)
+                name, content = kinds[key % len(kinds)]
+                G.write_file(f"{path}/s{key}.{name}", content)
             yield batch
 
-    pafs.FileSystem.from_uri(path)[0].create_dir(pafs.FileSystem.from_uri(path)[1], recursive=True)
+    G.make_folder(path)
     spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey").mapInPandas(write, "s_suppkey long").count()
-    good, bad = G.read_images(spark, path)
+    good, bad = G.read_images(spark, path, decode=True)
     key = F.regexp_extract("path", r"/s(\d+)\.", 1).cast("long").alias("s_suppkey")
     return good.select(key, "kind", F.lit(None).cast("string").alias("reason")).union(bad.select(key, F.lit(None).cast("string").alias("kind"), "reason"))
 
@@ -149,10 +149,11 @@ def normalize_boxes(spark, sf_dir):
 
 
 def _labels(spark, sf_dir):
-    rows = C.normalize_boxes(_boxes(spark, sf_dir), Y.read_class_map(spark))
-    stem, split = F.col("image_id") % 200, F.when(F.col("image_id") % 200 % 10 == 0, "val").otherwise("train")
-    order = (F.col("image_id") * 100 + F.col("det_id")).alias("line_no")
-    return rows.select(split.alias("split"), F.concat(F.lit("s"), stem).alias("stem"), order, "class_id", "cx", "cy", "w", "h")
+    """The boxes of every image, one label file for each."""
+    boxes = load(spark, sf_dir, "label_boxes").join(F.broadcast(Y.read_class_map(spark)), "class_id").drop("class_id")
+    rows = C.normalize_boxes(boxes.withColumns({"img_w": F.lit(1000), "img_h": F.lit(500)}), Y.read_class_map(spark))
+    split = F.when(F.col("image_id") % 10 == 0, "val").otherwise("train")
+    return rows.select(split.alias("split"), F.concat(F.lit("s"), "image_id").alias("stem"), F.col("det_id").alias("line_no"), "class_id", "cx", "cy", "w", "h")
 
 
 @query
@@ -340,12 +341,6 @@ def _imprints(spark, sf_dir):
     return I.clean_readings(load(spark, sf_dir, "readings")).select("imprint").distinct()
 
 
-def _seed_pairs(spark, sf_dir, basic=False):
-    items, queries = load(spark, sf_dir, "catalog"), _queries(spark, sf_dir)
-    seeds = M.seed_candidates(queries.select("imprint").distinct(), M.build_print_index(items))
-    return M.seed_pairs(queries, seeds, items, basic), items
-
-
 @query
 def build_print_index(spark, sf_dir):
     return M.build_print_index(load(spark, sf_dir, "catalog"))
@@ -353,7 +348,9 @@ def build_print_index(spark, sf_dir):
 
 @query
 def seed_candidates(spark, sf_dir):
-    seeds = M.seed_candidates(_imprints(spark, sf_dir), M.build_print_index(load(spark, sf_dir, "catalog")))
+    folder = new_folder(spark, "index")
+    M.store_print_index(load(spark, sf_dir, "catalog"), folder)
+    seeds = M.seed_candidates(_imprints(spark, sf_dir), M.load_print_index(spark, folder))
     return seeds.groupBy("imprint").agg(F.count(F.lit(1)).alias("n"), F.sum("item_idx").alias("idx_sum"))
 
 
@@ -374,25 +371,28 @@ def prefilter_ladder(spark, sf_dir):
 
 
 def _flag_counts(pairs: DataFrame, rank: str, prefilter: str) -> DataFrame:
-    return pairs.groupBy(*M.QUERY).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(rank)).alias("rank"), F.count_if(F.col(prefilter)).alias("prefilter"))
+    """Candidates of each query by its classes of them, as often as a class has items."""
+    count = lambda c: F.sum(F.when(F.col(c), F.col("n")).otherwise(0))
+    return pairs.groupBy(*M.QUERY).agg(F.sum("n").alias("n"), count(rank).alias("rank"), count(prefilter).alias("prefilter"))
 
 
 @query
 def item_has_shape_all(spark, sf_dir):
     """Every candidate of every distinct query, counted per query."""
-    return _flag_counts(_seed_pairs(spark, sf_dir)[0], "_hs", "_ps")
+    return _flag_counts(_class_pairs(spark, sf_dir), "_hs", "_ps")
 
 
 @query
 def item_has_color_all(spark, sf_dir):
-    return _flag_counts(_seed_pairs(spark, sf_dir)[0], "_hc", "_pc")
+    return _flag_counts(_class_pairs(spark, sf_dir), "_hc", "_pc")
 
 
 def _scores_all(spark, sf_dir, basic: bool) -> DataFrame:
-    pairs, items = _seed_pairs(spark, sf_dir, basic)
-    scored = M.score_candidates(pairs, M.text_score_join(_imprints(spark, sf_dir), items, basic), basic)
+    """Sums over every candidate of every distinct query, found by classes of equal worth."""
+    queries, classes = _queries(spark, sf_dir), cut(M.item_classes(load(spark, sf_dir, "catalog")))
+    scored = M.class_scores(queries, M.seed_looks(queries.select("imprint").distinct(), classes.select("look").distinct()), classes, basic)
     score = F.col("score").cast("long")
-    return scored.groupBy(*M.QUERY).agg(F.count(F.lit(1)).alias("n"), F.sum(score).alias("total"), F.sum(score * F.col("item_idx")).alias("weighed"))
+    return scored.groupBy(*M.QUERY).agg(F.sum("n").alias("n"), F.sum(score * F.col("n")).alias("total"), F.sum(score * F.col("idx_sum")).alias("weighed"))
 
 
 @query
@@ -479,17 +479,35 @@ def ocr_sweep_best(spark, sf_dir):
 @query
 def merge_roi_text(spark, sf_dir):
     cascade = O.ocr_cascade(O.ocr_pass_text(load(spark, sf_dir, "ocr_lines")))
-    return O.merge_roi_text(cascade.withColumn("image_id", F.col("roi_id") % 50))
+    return O.merge_roi_text(cascade.withColumn("image_id", F.floor(F.col("roi_id") / 6).cast("long")))
+
+
+def _features(spark, sf_dir):
+    """Colour and kind of imprint of every region of the pixel table."""
+    pixels = load(spark, sf_dir, "pixels")
+    color = P.mask_mean_color(pixels, single=True).select("roi_id", F.col("label").alias("color"))
+    return imprint_type(spark, sf_dir).join(color, "roi_id", "left")
 
 
 @query
 def route_imprint(spark, sf_dir):
-    cascade = O.ocr_cascade(O.ocr_pass_text(load(spark, sf_dir, "ocr_lines")))
-    sweep = O.ocr_sweep_best(load(spark, sf_dir, "ocr_attempts"))
-    radial = D.decode_radial(_chars(spark, sf_dir)).withColumnRenamed("image_id", "roi_id")
-    kind = F.element_at(F.array(*map(F.lit, ("printed", "debossed", "debossed", "unknown"))), (F.col("roi_id") % 4 + 1).cast("int"))
-    regions = sweep.select("roi_id", (F.col("roi_id") % 11 != 0).alias("has_detector"), (F.col("roi_id") % 5 == 0).alias("is_capsule"), kind.alias("imprint_type"))
-    return O.route_imprint(regions, cascade, radial, sweep)
+    """Regions with any OCR attempt; one without pixels has an unknown imprint."""
+    sweep = cut(O.ocr_sweep_best(load(spark, sf_dir, "ocr_attempts")))
+    chars = _chars(spark, sf_dir)
+    regions = N.pill_regions(sweep.select("roi_id").join(_features(spark, sf_dir), "roi_id", "left"), load(spark, sf_dir, "contours"), chars)
+    radial = D.decode_radial(chars).withColumnRenamed("image_id", "roi_id")
+    return O.route_imprint(regions, O.ocr_cascade(O.ocr_pass_text(load(spark, sf_dir, "ocr_lines"))), radial, sweep)
+
+
+@query
+def identify_single(spark, sf_dir):
+    """The one-pill path from raw detector scores, OCR tables and pixels to the catalogue."""
+    raw = _scored(spark, sf_dir)
+    sizes = raw.select("image_id").distinct().withColumns({"img_w": F.lit(1280), "img_h": F.lit(853)})
+    chars = cut(N.char_detections(raw, sizes, Y.read_class_map(spark)))
+    regions = cut(N.pill_regions(_features(spark, sf_dir), load(spark, sf_dir, "contours"), chars))
+    results = N.identify_single(regions, load(spark, sf_dir, "ocr_lines"), load(spark, sf_dir, "ocr_attempts"), chars, load(spark, sf_dir, "catalog"))
+    return _flat(results).join(results.select("reading_id", "is_capsule"), "reading_id")
 
 
 # ---------------------------------------------------------------- detections

@@ -22,10 +22,13 @@ def read_class_map(spark: SparkSession, names: list[str] | dict[int, str] | None
 
 
 def write_yolo_labels(boxes: DataFrame, path: str) -> None:
-    """boxes (split, stem, line_no, class_id, cx, cy, w, h) as one text file per split and stem."""
+    """boxes (split, stem, line_no, class_id, cx, cy, w, h) as one text file per split and stem.
+
+    A file's lines come in order of a sorted partition and go straight to its writer, however many they are.
+    """
     line = F.format_string("%d %.6f %.6f %.6f %.6f", "class_id", "cx", "cy", "w", "h")
-    files = boxes.groupBy("split", "stem").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", line.alias("line")))), lambda x: x["line"]), "\n").alias("value"))
-    files.repartition("split", "stem").write.partitionBy("split", "stem").text(path)
+    lines = boxes.select("split", "stem", "line_no", line.alias("value")).repartition("split", "stem").sortWithinPartitions("split", "stem", "line_no", "value")
+    lines.select("split", "stem", "value").write.partitionBy("split", "stem").text(path)
 
 
 def read_yolo_labels(spark: SparkSession, path: str, classes: DataFrame | None = None) -> DataFrame:

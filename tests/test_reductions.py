@@ -119,3 +119,36 @@ def test_hsv(spark):
     rows = spark.createDataFrame([(0, 0, 255), (255, 0, 0), (0, 255, 0), (0, 0, 0), (10, 20, 200)], "b int, g int, r int")
     h, s, v = L.bgr_to_hsv(F.col("b"), F.col("g"), F.col("r"))
     assert [tuple(r) for r in rows.select(h, s, v).collect()] == [(0, 255, 255), (120, 255, 255), (60, 255, 255), (0, 0, 0), (2, 242, 200)]
+
+
+BOXES = "image_id long, anchor_id long, conf double, class_id int, x0 double, y0 double, x1 double, y1 double"
+
+
+def test_nms_of_crowded_images_and_images_over_batches(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = []
+    for image, many in ((1, 700), (2, 3), (3, 300), (None, 80), (5, 1)):
+        for a in range(many):
+            x, y, conf = rnd.uniform(0, 300), rnd.uniform(0, 300), rnd.choice([0.2, 0.5, rnd.random()])
+            wide = 290 if a % 50 == 0 else 30
+            rows.append((image, a, conf, 1, x, y, x + rnd.uniform(0, wide), y + rnd.uniform(5, wide)))
+    frame = spark.createDataFrame(rows, BOXES)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        kept = {(r.image_id, r.anchor_id) for r in D.nms_boxes(frame).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for image in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == image]
+        assert {a for i, a in kept if i == image} == {own[k][1] for k in model_nms([r[4:] for r in own], [r[2] for r in own], 0.45)}
+    assert D.nms_boxes(frame.limit(0)).count() == 0
+
+
+def test_nms_of_an_image_with_a_hundred_thousand_boxes(spark):
+    rows = spark.range(100_000).select(F.lit(1).cast("long").alias("image_id"), F.col("id").alias("anchor_id"), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("conf"), F.lit(1).alias("class_id"), ((F.col("id") % 500) * 8.0).alias("x0"), (F.floor(F.col("id") / 500) * 8.0).alias("y0"))
+    boxes = rows.withColumns({"x1": F.col("x0") + 10, "y1": F.col("y0") + 10})
+    apart = D.nms_boxes(boxes)
+    assert apart.count() == 100_000  # neighbours share a fifth at most
+    twice = D.nms_boxes(boxes.unionByName(boxes.withColumns({"anchor_id": F.col("anchor_id") + 100_000, "x0": F.col("x0") + 1, "conf": F.col("conf") / 2})))
+    assert twice.agg(F.count("*"), F.max("anchor_id")).first()[:] == (100_000, 99_999)
+    assert "collect_list" not in twice._jdf.queryExecution().toString()
