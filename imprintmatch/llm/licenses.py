@@ -36,7 +36,14 @@ MORE_PHRASES = {
 
 #: An identifier tag as words, and as it stands in a text.
 TAG = "spdx license identifier"
-TAGGED = re.compile(r"spdx-license-identifier\s*:\s*([^\r\n]*)", re.I)
+TAGGED = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)", re.I)
+#: Words of fields and phrases that name a licence, and what follows them on their line.
+FIELD_WORDS = ("license", "licence", "licenses", "licences", "licensed", "licenced")
+FIELD = re.compile(
+    r"(?<![\w-])(?:licen[cs]es?[\"']?[ \t]*(?::|=>?)[ \t]*[\[({]?|(?:dual[ -])?licen[cs]ed[ \t]+(?:(?:under|as|with)[ \t]+)?(?:(?:the|either)[ \t]+)?(?:terms[ \t]+of[ \t]+(?:the[ \t]+)?)?)([^\r\n]*)", re.I
+)
+#: The edition of the lists of phrases and identifiers below and above.
+LIST_VERSION = "2"
 
 #: Labels of licence identifiers by their first part (lower case); the longest that fits counts.
 FAMILIES = {
@@ -52,7 +59,9 @@ _OTHER = re.compile(r"(licenseref|documentref)-|(?=.*-)(?=.*\d)[a-z]")
 PERMISSIVE = frozenset({"apache", "bsd", "bsl", "cc0", "cc-by", "isc", "mit", "ncsa", "postgresql", "public-domain", "python", "wtfpl", "zlib"})
 
 RANK = {"or": 1, "and": 2, "with": 3}
-TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
+TOKEN = re.compile(r"[()/,]|[A-Za-z0-9.+:-]+")
+#: A slash between identifiers offers a choice, a comma lists what holds together.
+SIGNS = {"/": "or", ",": "and"}
 COMMENT_END = re.compile(r"--+!?>|\*+/|\?>|%>|[#*%-]\}|\*\)")
 
 
@@ -64,7 +73,7 @@ def to_postfix(expression: str) -> list[str]:
     """An and/or/with expression in postfix order; or binds least, with most; all from the left."""
     out, held, operand = [], [], True
     for token in TOKEN.findall(expression):
-        word = token.lower()
+        word = SIGNS.get(token, token.lower())
         if word in RANK:
             if operand:
                 raise ExpressionError(f"{token} has no left side")
@@ -136,21 +145,21 @@ def labels_of(expression: str) -> set[str]:
     return stack[0]
 
 
-def leading_expression(line: str) -> str:
-    """The longest part at the start of a line that is an expression; "" if there is none.
+def leading_expression(line: str, known: bool = False) -> str:
+    """The longest part at the start of a line that is an expression; "" if there is none.  known: of known families only.
 
     It ends at the end of a comment and of a sentence at the latest.  Read once from the left, as nothing
     that follows mends what cannot be read.
     """
     tokens, good, operand, depth, exception = [], 0, True, 0, False
     for m in TOKEN.finditer(COMMENT_END.split(line, maxsplit=1)[0]):
-        token = m[0].rstrip(".:")
+        token = SIGNS.get(m[0]) or m[0].rstrip(".:")
         if token.lower() in RANK or token == ")":
             if operand:
                 break
             operand, exception = token != ")", token.lower() == "with"
             depth -= token == ")"
-        elif token == "(" or ("exception" in token.lower() or "-" in token if exception else is_licence(token)):
+        elif token == "(" or ("exception" in token.lower() or "-" in token if exception else _FAMILY.match(token.lower()) if known else is_licence(token)):
             if not operand:
                 break
             operand, exception = token == "(", False
@@ -162,7 +171,7 @@ def leading_expression(line: str) -> str:
         tokens.append(token)
         if not operand and not depth:
             good = len(tokens)
-        if token != m[0]:
+        if token != m[0] and m[0] not in SIGNS:
             break
     return " ".join(tokens[:good])
 
@@ -173,7 +182,7 @@ _FORM = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 
 def phrase_automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for phrase in {*BASE_PHRASES, *MORE_PHRASES, TAG}:
+    for phrase in {*BASE_PHRASES, *MORE_PHRASES, TAG, *FIELD_WORDS}:
         found.add_word(f" {phrase} ", phrase)
     found.make_automaton()
     return found
@@ -192,16 +201,21 @@ def scan_text(text: str, automaton: ahocorasick.Automaton, allowed: frozenset[st
     more = {MORE_PHRASES[phrase] for _, phrase in hits if phrase in MORE_PHRASES}
     tagged: set[str] = set()
     permitted = base | more <= allowed
-    if any(phrase == TAG for _, phrase in hits):
-        for expression in filter(None, map(leading_expression, TAGGED.findall(text))):
-            tagged |= labels_of(expression)
+    named: set[str] = set()
+    seen = {phrase for _, phrase in hits}
+    lines = [(tagged, leading_expression(line)) for line in TAGGED.findall(text)] if TAG in seen else []
+    lines += [(named, leading_expression(line, known=True)) for line in FIELD.findall(text)] if not seen.isdisjoint(FIELD_WORDS) else []
+    for found, expression in lines:
+        if expression:
+            found |= labels_of(expression)
             permitted = permitted and permits(expression, allowed)
+    more |= named
     if starts:
         row["n_base"] = len(starts)
         row["first_word"], row["last_word"] = (normal.count(" ", 0, at) for at in (starts[0], starts[-1]))
     row["base_labels"], row["labels"] = ",".join(sorted(base)), ",".join(sorted(base | more | tagged))
     row["permitted"] = permitted if base | more | tagged else None
-    row["score"] = 1.0 if tagged else 0.9 if base else 0.6 if more else 0.0
+    row["score"] = 1.0 if tagged else 0.9 if base or named else 0.6 if more else 0.0
     return row
 
 
@@ -212,8 +226,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, permitted.
 
     Words are runs of [0-9a-z] and non-ASCII characters after lower-casing A-Z.  Base phrases are counted at
-    every place; labels of tags and further notices are added.  score: 1 with a readable identifier tag,
-    0.9 with a base phrase, 0.6 with another notice, else 0.
+    every place; labels of tags, of licence fields ("License: MIT", "licensed under MIT or ...") and of further notices are
+    added.  score: 1 with a readable identifier tag, 0.9 with a base phrase or a field that names a known
+    licence, 0.6 with another notice, else 0.
 
     permitted: whether the allowed labels are enough for every notice and, as its and, or and with are
     evaluated, for every readable tag; null without any label.
