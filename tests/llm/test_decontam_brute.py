@@ -20,27 +20,30 @@ def lower(ws):
 
 
 def brute(docs, items):
-    """Pairs by scoring every passage (two item lengths, half overlapping) with every item."""
+    """Pairs by scoring every passage with every item, each item alone: passages are twice the next power of two of its words long, half overlapping."""
     texts = [lower(words(t)) for _, t in docs]
     df = Counter(w for t in texts for w in set(t))
     parsed = [(i, lower(words(t)), [lower(words(p)) for p in D.split_item(t)]) for i, t in items if lower(words(t))]
-    span, mean = max(len(w) for _, w, _ in parsed), sum(len(w) for _, w, _ in parsed) / len(parsed)
     idf = lambda w: math.log1p((len(docs) - df[w] + 0.5) / (df[w] + 0.5))
     grams = lambda ws, k: {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)}
     out = set()
-    for (doc, _), text in zip(docs, texts):
-        for begin in range(0, len(text), span):
-            passage = text[begin : begin + 2 * span]
-            for item, own, parts in parsed:
-                counts = Counter(own)
-                weight = {w: idf(w) * c * (D.K1 + 1) / (c + D.K1 * (1 - D.B + D.B * len(own) / mean)) for w, c in counts.items()}
-                if sum(v for w, v in weight.items() if w in set(passage)) < D.THRESHOLD * sum(weight.values()) - 1e-9:
+    for item, own, parts in parsed:
+        span = 1
+        while span < len(own):
+            span *= 2
+        counts = Counter(own)
+        weight = {w: idf(w) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(own) / 40)) for w, c in counts.items()}
+        parts = [grams(p, min(5, len(p))) for p in parts if p]
+        for (doc, _), text in zip(docs, texts):
+            if (doc, item) in out or not counts.keys() & set(text):
+                continue
+            for begin in range(0, len(text), span):
+                passage = text[begin : begin + 2 * span]
+                there = set(passage)
+                if sum(v for w, v in weight.items() if w in there) < 0.6 * sum(weight.values()) - 1e-9:
                     continue
-                shares = []
-                for part in filter(None, parts):
-                    k = min(D.SHINGLE, len(part))
-                    shares.append(len(grams(part, k) & grams(passage, k)) / len(grams(part, k)))
-                if shares[0] >= D.OVERLAP and shares[-1] >= D.OVERLAP:
+                shares = [len(p & grams(passage, len(next(iter(p))))) / len(p) for p in parts]
+                if shares[0] >= 0.5 and shares[-1] >= 0.5:
                     out.add((doc, item))
     return out
 
@@ -75,14 +78,31 @@ def test_pairs_equal_exhaustive_search(spark, world):
     assert got == want and 40 < len(want) < 400 and (203, 3) in want
 
 
-def test_several_indexes_give_the_same(spark, world, monkeypatch):
+def leaks(spark, docs, items):
+    return sorted(map(tuple, D.find_leaks(*frames(spark, docs, items)).collect()))
+
+
+def test_any_split_and_any_further_item_give_the_same(spark, world, monkeypatch):
     docs, items = world
-    one = D.find_leaks(*frames(spark, docs, items)).count()
-    monkeypatch.setattr(D, "WORDS_PER_INDEX", 100)
-    # An item's words weigh by its index's mean length, so single pairs at the threshold may differ.
-    assert abs(D.find_leaks(*frames(spark, docs, items)).count() - one) <= one * 0.1
+    one = leaks(spark, docs, items)
+    for name, most in (("WORDS_PER_INDEX", 100), ("ITEMS_PER_INDEX", 3), ("TERMS_PER_PASS", 40)):
+        monkeypatch.setattr(D, name, most)
+        assert leaks(spark, docs, items) == one
+        monkeypatch.undo()
+    more = [(900, " ".join(f"z{k}" for k in range(404)) + "? y x."), (901, "w1 w2? w3."), (902, " ".join(f"w{k % 150}" for k in range(1000)))]
+    assert [r for r in leaks(spark, docs, items + more) if r[1] < 900] == one
+    assert [r for k in range(0, 40, 10) for r in leaks(spark, docs, items[k : k + 10])] == [r for k in range(0, 40, 10) for r in one if k <= r[1] < k + 10]
     kept = {r.doc_id for r in D.clean_documents(*frames(spark, docs, items)).collect()}
-    assert {200, 201, 202} <= kept and 203 not in kept
+    assert {200, 201, 202} <= kept and 203 not in kept and kept == {d for d, _ in docs} - {r[0] for r in one}
+
+
+def test_parts_far_apart_are_no_pair(spark):
+    item = (1, "one two three four five six seven?\neight nine ten eleven twelve thirteen.")
+    question, answer = item[1].split("\n")
+    docs = [(0, f"{question} {answer}"), (1, question + " filler" * 200 + " " + answer), *((k, f"other words {k}") for k in range(2, 30))]
+    long_one = (2, " ".join(f"q{k}" for k in range(404)) + "? a b.")
+    for items in ([item], [item, long_one]):
+        assert [r[:2] for r in leaks(spark, docs, items)] == [(0, 1)]
 
 
 def test_odd_rows_and_names(spark, world):
