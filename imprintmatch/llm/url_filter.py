@@ -38,13 +38,23 @@ class Level:
     words: np.ndarray  # int64, bits // 64
 
     def passes(self, key: Column) -> Column:
-        words, out = F.lit(self.words), F.lit(True)
+        words, out = _literal(self.words), F.lit(True)
         for place in _places(key, self.seed, self.bits, self.hashes):
             word = F.get(words, F.shiftright(place, 6).cast("int"))
             out = out & (F.getbit(word, place.bitwiseAND(F.lit(63)).cast("int")) == 1)
         return out
 
 
+def _literal(words: np.ndarray) -> Column:
+    """An array<bigint> literal that goes to the JVM as one block of bytes, not number by number."""
+    from pyspark.sql.classic.column import Column as OfJvm
+
+    jvm, gateway = (lambda c: (c._jvm, c._gateway))(SparkSession.active().sparkContext)
+    numbers = gateway.new_array(jvm.long, len(words))
+    jvm.java.nio.ByteBuffer.wrap(bytearray(words.astype(">i8").tobytes())).asLongBuffer().get(numbers)
+    return OfJvm(jvm.org.apache.spark.sql.functions.lit(numbers))
+
+
 def _places(key: Column, seed: int, bits: int, hashes: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(seed * 64 + i)), F.lit(bits)) for i in range(hashes)]
 
@@ -57,9 +67,8 @@ def _level(keys: DataFrame, count: int, seed: int, bits_per_key: int, max_bits:
     hashes = max(1, min(8, round(bits_per_key * 0.69)))
     place = F.explode(F.array(*_places(F.col("key"), seed, bits, hashes))).alias("place")
     set_words = keys.select(place).groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))).alias("word"))
-    words = np.zeros(bits // 64, dtype=np.int64)
-    for at, word in set_words.collect():
-        words[at] = word
+    words, found = np.zeros(bits // 64, dtype=np.int64), set_words.toArrow()
+    words[found.column("at").to_numpy()] = found.column("word").to_numpy()
     return Level(seed, bits, hashes, words)
 
 
