@@ -30,13 +30,16 @@ PREFIXES = (4, 5, 6)
 #: Readings of characters in disguised words.
 LEET = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
-    "!": "i", "|": "il", "+": "t", "*": "aeiou",
+    "!": "i", "|": "il", "+": "t", "*": "aeiou", "\x1a": "u",
 }
+#: Signs of several characters, and the one that stands for them here.
+DRAWN = {"(_)": "\x1a", "|_|": "\x1a"}
 
 #: The channel, stated rather than learned: how likely a sign in a disguised word stands for a letter (its letters
-#: share this evenly) or, where it is punctuation too, for nothing; a run of equal characters for one or for two; a
-#: separator for nothing or for the end of a word.
-CHANNEL = {"sign": 0.8, "nothing": 0.2, "one": 0.7, "two": 0.3, "joins": 0.5, "parts": 0.5}
+#: share this evenly) or, where it is punctuation too, for nothing; a digit for a letter or for itself; two equal signs
+#: for one letter or for two, two equal letters for one or themselves, a longer run for one or for two; a separator for
+#: nothing or for the end of a word.
+CHANNEL = {"sign": 0.8, "nothing": 0.2, "digit": 0.7, "itself": 0.3, "one of two signs": 0.5, "both signs": 0.5, "one of two": 0.2, "both": 0.8, "one": 0.7, "two": 0.3, "joins": 0.5, "parts": 0.5}
 PUNCTUATION = "*!|+"
 _COST = {name: float(np.log(p)) for name, p in CHANNEL.items()}
 
@@ -52,7 +55,9 @@ APART = re.compile(rf"(?:[^\w@$!̀-ͯ]|_)+")
 #: What words and their disguises are made of, or joined by; runs of these are split at all other characters.
 PIECE = frozenset(c for c in map(chr, range(0x1F00)) if re.match(rf"[{LETTERS}{_READ}._/\-]", c))
 RUNS = re.compile(rf"{BETWEEN}|(.)\1*", re.S)
-REPEATED = re.compile(r"(.)\1{2,}", re.S)
+REPEATED = re.compile(r"(.)\1{3,}", re.S)
+#: A piece of a word that was cut in two, at most, for one of the pieces.
+SHORT = 3
 #: Readings of longer tokens are not kept for the next time.
 KEPT = 64
 
@@ -106,11 +111,12 @@ class Decoder:
             if c is None:
                 out.append([("", _COST["joins"]), ("\0", _COST["parts"])])
                 continue
-            often = [(1, _COST["one"]), (2, _COST["two"])] if n > 1 else [(1, 0.0)]
+            names = ("one", "two") if n > 2 else ("one of two signs", "both signs") if c in LEET else ("one of two", "both")
+            often = [(k, _COST[name]) for k, name in enumerate(names, 1)] if n > 1 else [(1, 0.0)]
             if c in LEET:
-                each = (_COST["sign"] if c in PUNCTUATION else 0.0) - float(np.log(len(LEET[c])))
+                each = (_COST["sign"] if c in PUNCTUATION else _COST["digit"] if c.isdigit() else 0.0) - float(np.log(len(LEET[c])))
                 own = [(r * times, each + cost) for r in LEET[c] for times, cost in often]
-                out.append(own + ([("", _COST["nothing"])] if c in PUNCTUATION else []))
+                out.append(own + ([("", _COST["nothing"])] if c in PUNCTUATION else [(c * n, _COST["itself"])] if c.isdigit() else []))
             elif c in PIECE:
                 out.append([(c * times, cost) for times, cost in often])
             else:
@@ -118,7 +124,7 @@ class Decoder:
         return out
 
     def decode(self, token: str) -> str:
-        token = REPEATED.sub(r"\1\1", token.lower())  # three and more read like two
+        token = REPEATED.sub(r"\1\1\1", token.lower())  # four and more read like three
         found = self.known.get(token)
         if found is None:
             found = self.search(token)
@@ -136,6 +142,8 @@ class Decoder:
                 for option, cost in options:
                     s, total = state, score + cost
                     for code in self.codes(option):
+                        if not code and not s[2]:
+                            continue  # outside a word already
                         total += float(self.model[((s[0] * _SYMBOLS + s[1]) * _SYMBOLS + s[2]) * _SYMBOLS + code])
                         s = (s[1], s[2], code)
                     if s not in new or total > new[s][0]:
@@ -167,6 +175,8 @@ class Decoder:
     def restore(self, text: str) -> list[str]:
         """Readings of the disguised tokens of a text, in order."""
         out = []
+        for drawn, sign in DRAWN.items():
+            text = text.replace(drawn, sign)
         for m in SPACED.finditer(text):
             glued, parted = self.decode(APART.sub("", m[0])), self.decode(m[0])
             out += [glued] if parted == glued else [glued, parted]
@@ -224,11 +234,50 @@ class Marks:
             out[maybe[hit]] = self.odds[at[hit]]
         return out
 
+    def hidden(self, words: Words, doc: np.ndarray, decoder: Decoder) -> list[tuple[int, str]]:
+        """(text, word) of marks that stand in two pieces, one of them short, or with doubled letters.
+
+        Only what is a mark when put together goes to the decoder, which must find that reading the likelier one.
+        """
+        if not len(self.keys):
+            return []
+        size, starts, raw, out = words.lengths, words.starts, words.bytes, []
+
+        def tried(first: np.ndarray, at: np.ndarray, length: np.ndarray):
+            """Numbers of first whose bytes `at`, length of them each, are a mark; and that word."""
+            if not len(first):
+                return
+            text = np.full(len(at) + len(first), 32, np.uint8)
+            text[np.arange(len(at)) + np.repeat(np.arange(len(first)), length)] = raw[at]
+            ends = np.cumsum(length + 1)
+            for k in np.flatnonzero(self.lookup(mix64(Words(text, np.array([0, len(text)]), 0, 1).hashes ^ np.uint64(1)))):
+                yield int(first[k]), text[ends[k] - length[k] - 1 : ends[k] - 1].tobytes().decode("utf-8", "replace")
+
+        def word(i: int) -> str:
+            return raw[starts[i] : starts[i] + size[i]].tobytes().decode("utf-8", "replace")
+
+        pair = np.flatnonzero((doc[1:] == doc[:-1]) & (np.minimum(size[1:], size[:-1]) <= SHORT))
+        both = size[pair] + size[pair + 1]
+        at = np.repeat(starts[pair] - (np.cumsum(both) - both), both) + np.arange(both.sum())
+        later = at - np.repeat(starts[pair], both) >= np.repeat(size[pair], both)
+        at += np.where(later, np.repeat(starts[pair + 1] - starts[pair] - size[pair], both), 0)
+        out += [(int(doc[i]), mark) for i, mark in tried(pair, at, both) if decoder.decode(f"{word(i)} {word(i + 1)}") == mark]
+        number = np.repeat(np.arange(len(starts)), size)
+        at = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        again = np.r_[False, (raw[at[1:]] == raw[at[:-1]]) & (number[1:] == number[:-1]) & (raw[at[1:]] >= 97) & (raw[at[1:]] <= 122)]
+        doubled = np.zeros(len(starts), bool)
+        doubled[number[again]] = True
+        kept = doubled[number] & ~again
+        some = np.flatnonzero(doubled)
+        out += [(int(doc[i]), mark) for i, mark in tried(some, at[kept], np.bincount(number[kept], minlength=len(starts))[some]) if decoder.decode(word(i)) == mark]
+        return out
+
     def evidence(self, text: pa.Array, decoder: Decoder) -> np.ndarray:
         """For each text: greatest log-odds, log of hits, of words, and whether there is a hit."""
         best, hits, n = (np.zeros(len(text)) for _ in range(3))
+        found: dict[int, list[str]] = {}
 
-        def add(column: pa.Array, rows: np.ndarray) -> None:
+        def add(column: pa.Array, rows: np.ndarray, plain: bool = False) -> None:
             data, offsets = normal(column)
             for first, last in slices(offsets):
                 words = Words(data, offsets, first, last, PREFIXES)
@@ -240,11 +289,15 @@ class Marks:
                 np.maximum.at(best, doc, odds[some])
                 np.add.at(hits, doc, 1)
                 np.add.at(n, rows[first:last], words.per_doc)
-
-        add(text, np.arange(len(text)))
-        restored = [(i, " ".join(found)) for i, t in enumerate(text) if t.is_valid and (found := decoder.restore(t.as_py()))]
-        if restored:
-            add(pa.array([t for _, t in restored]), np.array([i for i, _ in restored]))
+                for i, mark in self.hidden(words, first + words.doc_of(), decoder) if plain else ():
+                    found.setdefault(i, []).append(mark)
+
+        add(text, np.arange(len(text)), plain=True)
+        for i, t in enumerate(text):
+            if t.is_valid and (restored := decoder.restore(t.as_py())):
+                found.setdefault(i, []).extend(restored)
+        if found:
+            add(pa.array([" ".join(found[i]) for i in sorted(found)]), np.array(sorted(found)))
         return np.column_stack([best, np.log1p(hits), np.log1p(n), hits > 0])
 
     def score(self, evidence: np.ndarray) -> np.ndarray:

@@ -54,3 +54,34 @@ def test_the_channel_weighs_readings(decoder):
 def test_readings_of_a_sign_are_a_distribution(decoder, c):
     for token in (c, c * 2):
         assert abs(sum(2.718281828**cost for _, cost in decoder.readings(token)[0]) - 1) < 1e-6
+
+
+PROBES = {"a$$hole": "asshole", "p@ssw0rd": "password", "st|_|pid": "stupid", "st(_)pid": "stupid", "stuuupid": "stupid", "mp3": "mp3", "v1.2": "v1.2", "covid19": "covid19"}
+
+
+@pytest.fixture(scope="module")
+def wide(spark):
+    words = "you are such a stupid moron and an idiot or an asshole with a password in it, an mp of covid in v and what else there is to say about the weather"
+    docs = spark.createDataFrame([(i, words) for i in range(200)], "doc_id long, text string")
+    return X.Decoder(X.character_model(docs))
+
+
+@pytest.mark.parametrize("text", PROBES)
+def test_probes(wide, text):
+    found = " ".join(wide.restore(f"say {text} there"))
+    assert (PROBES[text] in found.split()) if text != PROBES[text] else (not found or all(c in text + " " for c in found)), found
+
+
+def test_marks_in_two_pieces_or_with_doubled_letters(wide):
+    import numpy as np
+    import pyarrow as pa
+
+    from imprintmatch.llm.decontam import normal
+    from imprintmatch.llm.hashing import Words, mix64
+
+    data, offsets = normal(pa.array(["stupid moron idiot"]))
+    keys = np.sort(mix64(Words(data, offsets, 0, 1).hashes ^ np.uint64(1)))
+    marks = X.Marks(keys, np.full(len(keys), 5.0))
+    shown = pa.array(["you mo ron there", "an idi ot", "mo.ron", "so stuupid", "and stupiid idiott", "a weather moronic", "to say the", None, "", "stup", "id ea"])
+    hits = marks.evidence(shown, wide)[:, 3]
+    assert hits.tolist() == [1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0]
