@@ -109,10 +109,10 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return lower_ascii(raw), F.regexp_extract(F.substr(rest, F.length(raw) + 1), r"^[^?#]*", 0)
 
 
-def _keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All host suffixes with all path prefixes as long as a rule's path."""
+def _keys(host: Column, path: Column, lengths: list[int], most: int) -> Column:
+    """All host suffixes of as many labels as a rule's host has at most, with all path prefixes as long as a rule's path."""
     labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - most + 1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     heads = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda x: x.isNotNull())
     return F.flatten(F.transform(suffixes, lambda s: F.transform(heads, lambda p: F.concat(s, p))))
 
@@ -125,7 +125,8 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str =
     A key on both lists counts as blocked.
 
     Cases: null urls and urls without :// have an empty host and path and fit no rule.  Repeated rows are
-    judged alike.  An empty table or rule list gives no error.  Columns other than id and url are not read.
+    judged alike.  An empty table or rule list gives no error.  Columns other than id and url are not read.  A url of
+    any length is judged whole; a long host costs no more keys than its last labels, as many as a rule's host has.
     """
     spark: SparkSession = pages.sparkSession
     host, path = host_and_path(F.col("_url"))
@@ -133,7 +134,8 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str =
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("_url")).select("page_id", host.alias("host"), path.alias("path"))
     if not rules:
         return rows.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    rows = rows.withColumn("_keys", _keys(F.col("host"), F.col("path"), lengths))
+    most = max(r.host.count(".") for r in rules) + 1
+    rows = rows.withColumn("_keys", _keys(F.col("host"), F.col("path"), lengths, most))
     universe = rows.select(F.explode("_keys").alias("key"))
     blocked = {r.key for r in rules if r.verdict == "block"}
     lists = {"block": blocked, "allow": {r.key for r in rules} - blocked}
