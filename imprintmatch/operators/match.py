@@ -372,12 +372,12 @@ def fallback_topk(queries: DataFrame, classes: DataFrame, text_scores: DataFrame
     plain = classes.groupBy(*ATTRIBUTES).agg(F.sum("n").alias("n"))
     low = classes.select(*ATTRIBUTES, lowest).withColumn("_k", F.row_number().over(W.partitionBy(*ATTRIBUTES).orderBy("item_idx"))).filter(F.col("_k") <= k)
     both = plain.select(*ATTRIBUTES, "n", F.lit(None).cast("long").alias("item_idx")).union(low.select(*ATTRIBUTES, F.lit(0).cast("long"), "item_idx"))
-    plain = cut(both.groupBy(*ATTRIBUTES).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("item_idx")).alias("lowest")))
-    guesses = cut(queries.select("shape_guess", "color_guess").distinct())
-    met = cut(_meet(guesses, plain))
-    total = plain.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one number
+    plain = both.groupBy(*ATTRIBUTES).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("item_idx")).alias("lowest"))
+    guesses = queries.select("shape_guess", "color_guess").distinct()
+    met = cut(_meet(guesses, plain))  # read by the modes and by the candidates
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one number
     modes = fallback_modes(guesses, met, total) if ladder else guesses.withColumn("mode", F.lit("single"))
-    queries = cut(queries.select(*QUERY).join(modes, ["shape_guess", "color_guess"]).withColumn("_kind", F.when(F.col("imprint") == "", "").otherwise("-")))
+    queries = queries.select(*QUERY).join(modes, ["shape_guess", "color_guess"]).withColumn("_kind", F.when(F.col("imprint") == "", "").otherwise("-"))
     # Attribute scores depend on the guesses and on whether there is an imprint: found once for each such kind.
     kinds = queries.select("_kind", "shape_guess", "color_guess", "mode").distinct()
     near = _left_by_mode(kinds.join(met, ["shape_guess", "color_guess"])).withColumn("imprint", F.col("_kind"))

@@ -32,7 +32,7 @@ def best_of_queries(queries: DataFrame, items: DataFrame, ladder: bool = True, k
         pairs = pairs.withColumn("mode", F.lit("single"))
     hit = M.topk_candidates(M.class_items(pairs), k)
     found = seeds.select("imprint").distinct()
-    missed = cut(queries.join(found, "imprint", "left_anti"))
+    missed = queries.join(found, "imprint", "left_anti")
     rest, modes = M.fallback_topk(missed, classes, text_scores, ladder, k)
     # A query with candidates keeps its mode even where none of them scores.
     hit_modes = pairs.select(*M.QUERY, "mode").distinct() if ladder else queries.join(found, "imprint", "left_semi").withColumn("mode", F.lit("single"))
