@@ -317,8 +317,9 @@ def _training(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """(text, toxic, fold) of labelled rows that are not held out: MAX_TRAIN, or `most`, at most."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
-    return cut(rows.select(F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("long").alias("toxic"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)).alias("fold")))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return cut(rows.select("text", (F.col("toxic") > 0).cast("long").alias("toxic"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)).alias("fold")))
 
 
 def _presence(batches):
@@ -401,7 +402,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) ->
 
     Cases: null and empty texts get the score of a text without marks; a text of any length is read whole; without
     labels of both kinds a fixed model is used; repeated rows and ties score alike, and rows of one doc_id are
-    scored each by its own text (one takes part in the fit); a null doc_id is held out as the empty string would
+    scored each by its own text (the least takes part in the fit); a null doc_id is held out as the empty string would
     be by its checksum; other columns are not read, so their names cannot clash; an empty table gives no rows.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
