@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from imprintmatch.llm import tokens as K
+from imprintmatch.llm.common import new_folder
 
 SIMPLE = ["", "a", "it's we'll 's 'twas don't\n'm x", "straße naïve 中文 字 b's\nline2 c\nd", "x1 22,33 (a) --b__c! 3.14\ne", "a" * 5000 + " b", "Ünï ĉodé 日本 語 한국어"]
 OTHER = [" a", "a\n", "a  b", "a\tb", "a\n\nb c", "a b", "a b c", "\x00a b", "a<|endoftext|>b c", "ⵣ ࿇ \U0001f600 c", "́a b"]
@@ -52,3 +53,11 @@ def test_parts_are_bounded(spark, tmp_path, monkeypatch):
     rows = parts.orderBy("base").collect()
     assert sum(r.n_docs for r in rows) == 40
     assert [r.base for r in rows] == np.cumsum([0] + [r.n_tokens for r in rows])[:-1].tolist()
+
+
+def test_columns_named_as_the_results(make_docs):
+    docs = make_docs(["one two", "", None, "three"], [4, 2, 9, 1])
+    clash = docs.selectExpr("*", "1 as start", "2 as n_tokens", "'x' as ids_crc32", "3 as ids", "4 as part", "5 as base")
+    rows = [tuple(r) for r in K.token_files(clash, new_folder(docs.sparkSession, "tokens")).orderBy("doc_id").collect()]
+    assert rows == [tuple(r) for r in K.token_files(docs, new_folder(docs.sparkSession, "tokens")).orderBy("doc_id").collect()]
+    assert [r[0] for r in rows] == [1, 2, 4, 9] and [r[2] for r in rows if r[0] in (2, 9)] == [1, 1]
