@@ -14,7 +14,8 @@ only text already repaired is brought into order, block by block, for the hash.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,8 +33,8 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 NAMES = {"u": "user", "a": "assistant"}
 #: Inserts that end a conversation from each state.
 CLOSING = ("", "II", "I", "")
-#: Rows of a block of a long conversation; patterns of rows that a task remembers.
-BLOCK, REMEMBERED = 512, 50_000
+#: Rows of a block of a long conversation; patterns of so many rows at most that a task remembers.
+BLOCK, REMEMBERED, LONGEST_KNOWN = 512, 50_000, 32
 #: A conversation with fewer rows is never dealt over partitions.
 LEAST_LONG = 20_000
 _LETTERS = " DIKR"
@@ -100,6 +101,51 @@ def closed(paths: dict[int, tuple[int, str]]) -> tuple[int, str]:
     return min((cost + INSERT * len(CLOSING[state]), audit + CLOSING[state]) for state, (cost, audit) in paths.items())
 
 
+def sums_of(codes: str, known=least_paths) -> list[tuple[int, int, int, int]]:
+    """(entry, state, least cost, place of its audit among those of the entry) of a block of rows."""
+    sums = []
+    for entry in range(4):
+        paths = known(codes, entry)
+        order = {audit: k for k, audit in enumerate(sorted(audit for _, audit in paths.values()))}
+        sums += [(entry, state, cost, order[audit]) for state, (cost, audit) in paths.items()]
+    return sums
+
+
+def chained(blocks: Iterable[list[tuple[int, int, int, int]]]) -> tuple[list[tuple[int, int]], str]:
+    """((entry, state) of every block of a conversation on its least path, closing inserts), from the blocks' sums.
+
+    Every block's audit ends with a row's letter, so audits that lead to different states differ within both: of
+    equal costs the order of what stands before decides, and of one origin the order within the block.
+    """
+    steps, at = [], {START: (0, 0)}
+    for sums in blocks:
+        found: dict[int, tuple[int, int, int]] = {}
+        for entry, state, more, place in sums:
+            if entry in at:
+                cost, rank = at[entry]
+                label = cost + more, 4 * rank + place, entry
+                found[state] = min(label, found.get(state, label))
+        order = {r: k for k, r in enumerate(sorted(r for _, r, _ in found.values()))}
+        at = {state: (cost, order[r]) for state, (cost, r, _) in found.items()}
+        steps.append({state: entry for state, (_, _, entry) in found.items()})
+    state = min(at, key=lambda s: (at[s][0] + INSERT * len(CLOSING[s]), at[s][1]))
+    closing, out = CLOSING[state], []
+    for step in reversed(steps):
+        out.append((step[state], state))
+        state = step[state]
+    return out[::-1], closing
+
+
+def best_edits(codes: str, known=least_paths) -> tuple[int, str]:
+    """The least (cost, audit) of a whole conversation; of more than BLOCK rows block by block, so the time grows with them."""
+    if len(codes) <= BLOCK:
+        return closed(known(codes, START))
+    blocks = [codes[k : k + BLOCK] for k in range(0, len(codes), BLOCK)]
+    path, closing = chained(sums_of(b, known) for b in blocks)
+    found = [known(b, entry)[state] for b, (entry, state) in zip(blocks, path)]
+    return sum(cost for cost, _ in found) + INSERT * len(closing), "".join(audit for _, audit in found) + closing
+
+
 def code_of(role: str, blank: bool, seen: bool, truncated: bool) -> str:
     if blank or seen:
         return "d"
@@ -151,7 +197,9 @@ class _Known:
     def __init__(self):
         self.found: dict = {}
 
-    def __call__(self, codes: str, entry: int = START) -> dict[int, tuple[int, str]]:
+    def __call__(self, codes: str, entry: int) -> dict[int, tuple[int, str]]:
+        if len(codes) > LONGEST_KNOWN:
+            return least_paths(codes, entry)
         got = self.found.get((codes, entry))
         if got is None:
             if len(self.found) >= REMEMBERED:
@@ -180,7 +228,7 @@ class _Whole:
                 self.turns.add(turn)
 
     def result(self, known: _Known) -> dict:
-        cost, audit = closed(known("".join(self.codes)))
+        cost, audit = best_edits("".join(self.codes), known)
         made = "\n".join(applied(audit, self.rows)[0])
         gaps = max(self.turns) - min(self.turns) + 1 - len(self.turns) if self.turns else 0
         illegal = illegal_pairs([role[:1] for role, _ in self.rows])
@@ -326,50 +374,26 @@ def _to_sums(batches):
 
     def results():
         for conv, part, seq, codes in _rows(batches):
-            sums = []
-            for entry in range(4):
-                paths = known(codes, entry)
-                order = {audit: k for k, audit in enumerate(sorted(audit for _, audit in paths.values()))}
-                sums += [(entry, s, cost, order[audit]) for s, (cost, audit) in paths.items()]
-            yield {"conv": conv, "part": part, "seq": seq} | dict(zip(("entries", "states", "costs", "ranks"), zip(*sums)))
+            yield {"conv": conv, "part": part, "seq": seq} | dict(zip(("entries", "states", "costs", "ranks"), zip(*sums_of(codes, known))))
 
     yield from _batches(results(), arrow_schema(_SUMS))
 
 
 def _to_choice(batches):
-    """The least path through the blocks of a conversation.
+    """The states of the least path of a conversation before and after each of its blocks."""
 
-    Every block's audit ends with a row's letter, so audits that lead to different states differ within both: of
-    equal costs the order of what stands before decides, and of one origin the order within the block.
-    """
+    def results():
+        for conv, rows in groupby(_rows(batches), key=lambda row: row[0]):
+            places = []
 
-    def chosen(conv, blocks, steps, at):
-        state = min(at, key=lambda s: (at[s][0] + INSERT * len(CLOSING[s]), at[s][1]))
-        closing = CLOSING[state]
-        for (part, seq), step in zip(reversed(blocks), reversed(steps)):
-            entry = step[state]
-            yield {"conv": conv, "part": part, "seq": seq, "entry": entry, "state": state, "closing": closing}
-            state, closing = entry, ""
+            def own(rows=rows, places=places):
+                for _, part, seq, *sums in rows:
+                    places.append((part, seq))
+                    yield list(zip(*sums))
 
-    def results():
-        now, blocks, steps, at = None, [], [], {}
-        for conv, part, seq, *sums in _rows(batches):
-            if conv != now:
-                if blocks:
-                    yield from chosen(now, blocks, steps, at)
-                now, blocks, steps, at = conv, [], [], {START: (0, 0)}
-            found: dict[int, tuple[int, int, int]] = {}
-            for entry, state, more, place in zip(*sums):
-                if entry in at:
-                    cost, rank = at[entry]
-                    label = cost + more, 4 * rank + place, entry
-                    found[state] = min(label, found.get(state, label))
-            order = {r: k for k, r in enumerate(sorted(r for _, r, _ in found.values()))}
-            at = {s: (cost, order[r]) for s, (cost, r, _) in found.items()}
-            blocks.append((part, seq))
-            steps.append({s: entry for s, (_, _, entry) in found.items()})
-        if blocks:
-            yield from chosen(now, blocks, steps, at)
+            path, closing = chained(own())
+            for k, ((part, seq), (entry, state)) in enumerate(zip(places, path)):
+                yield {"conv": conv, "part": part, "seq": seq, "entry": entry, "state": state, "closing": closing if k == len(path) - 1 else ""}
 
     yield from _batches(results(), arrow_schema(_CHOICE))
 

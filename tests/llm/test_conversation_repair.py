@@ -130,6 +130,19 @@ def check(codes):
     assert C.closed(C.least_paths(codes)) == best == search(rows)[:2]
 
 
+def test_blocks_chained_equal_one_path(monkeypatch):
+    rng = random.Random(6)
+    for n in (1, 5, 40, 90):
+        codes = "".join(rng.choice("duasxeUASX") for _ in range(n))
+        whole = C.best_edits(codes)
+        for block in (1, 2, 7, 64):
+            monkeypatch.setattr(C, "BLOCK", block)
+            assert C.best_edits(codes) == whole
+        monkeypatch.undo()
+    cost, audit = C.best_edits("usaxUd" * 20_000)
+    assert len(audit.replace("I", "")) == 120_000 and cost > 0
+
+
 def test_repair_equals_a_search_over_all_edits(spark):
     rows = table(1)
     assert as_dicts(C.repair_conversations(spark.createDataFrame(rows, SCHEMA))) == [brute(g) for g in grouped(rows)]
