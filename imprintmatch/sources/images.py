@@ -83,13 +83,25 @@ def jpeg_bytes(spark: SparkSession, image: np.ndarray) -> bytes:
     return bytes(out.toByteArray())
 
 
-def make_folder(path: str) -> None:
+def make_folder(path: str, new: bool = False) -> None:
+    """new: fails where there is one already."""
     import pyarrow.fs as pafs
 
     fs, at = pafs.FileSystem.from_uri(path)
+    if new and fs.get_file_info(at).type != pafs.FileType.NotFound:
+        raise FileExistsError(path)
     fs.create_dir(at, recursive=True)
 
 
+def open_file(path: str):
+    """A new file for writing, from a task, and the folders above it."""
+    import pyarrow.fs as pafs
+
+    fs, at = pafs.FileSystem.from_uri(path)
+    fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    return fs.open_output_stream(at)
+
+
 def write_file(path: str, content: bytes) -> None:
     """A whole file, from a task; a repeated task writes the same again."""
     import pyarrow.fs as pafs
