@@ -18,6 +18,8 @@ from .pixels import LEAST_PIXELS
 
 #: Lines of a tile.
 TILE = 256
+#: Tiles that are drawn together.
+DRAWN = 64
 #: Parts of a region whose colours are summed: its mask, the halves of that, and the middle of the region.
 PARTS = ("mask", "left", "right", "mid")
 _COLOURS = [f"{part}_{c}" for part in PARTS for c in "nhsv"]
@@ -103,8 +105,7 @@ def region_sums(cut: DataFrame) -> DataFrame:
 
     def sums(batches):
         for batch in batches:
-            for k in range(batch.num_rows):
-                yield pa.RecordBatch.from_pylist([_tile_sums(batch.slice(k, 1).to_pylist()[0])], _SCHEMA)
+            yield pa.RecordBatch.from_pylist([_tile_sums(row.to_pylist()[0]) for row in (batch.slice(k, 1) for k in range(batch.num_rows))], _SCHEMA)
 
     each = cut.select("roi_id", "w", "h", "channels", "y0", "n_lines", "data", "mask").mapInArrow(sums, _DDL)
     added = [F.sum(c).alias(c) for c in (*_COLOURS, *_TOTALS)]
@@ -187,21 +188,24 @@ def pixel_tiles(pixels: DataFrame, w: int, h: int, lines: int = TILE) -> DataFra
     y = F.col("y")
     near = F.filter(F.array_distinct(F.array(*(F.floor((y + d) / lines) for d in (-1, 0, 1)))), lambda t: (t >= 0) & (t * lines < h))
     gray = F.rint(F.col("r") * 0.299 + F.col("g") * 0.587 + F.col("b") * 0.114).cast("int")
-    cells = pixels.select("roi_id", F.explode(near).alias("t"), (y * w + F.col("x")).alias("at"), gray.alias("v"), F.col("in_mask").cast("int").alias("m"))
-    cells = cells.groupBy("roi_id", "t", "at").agg(F.max("v").alias("v"), F.max("m").alias("m"))
-    own = cells.groupBy("roi_id", "t").agg(F.collect_list(F.struct("at", "v", "m")).alias("c")).select("roi_id", "t", "c.at", "c.v", "c.m")
+    cells = pixels.groupBy("roi_id", "y", (y * w + F.col("x")).alias("at")).agg(F.max(gray).alias("v"), F.max(F.col("in_mask").cast("int")).alias("m"))
+    one = (F.col("at").cast("long") * 512 + F.coalesce("v", F.lit(0)) * 2 + F.coalesce("m", F.lit(0))).alias("c")
+    own = cells.select("roi_id", F.explode(near).alias("t"), one).groupBy("roi_id", "t").agg(F.collect_list("c").alias("c"))
 
     def draw(batches):
         for batch in batches:
-            for roi_id, t, at, *planes in zip(*(batch.column(c).to_pylist() for c in ("roi_id", "t", "at", "v", "m"))):
-                y0 = t * lines
-                n, first = min(lines, h - y0), max(y0 - 1, 0)
-                last = min(y0 + n + 1, h)
-                drawn = []
-                for values in planes:
-                    plane = np.zeros((last - first) * w, np.uint8)
-                    plane[np.array(at) - first * w] = values
-                    drawn.append(plane.tobytes())
-                yield pa.RecordBatch.from_pydict({"roi_id": [roi_id], "w": pa.array([w], pa.int32()), "h": pa.array([h], pa.int32()), "channels": pa.array([1], pa.int32()), "y0": pa.array([y0], pa.int32()), "n_lines": pa.array([n], pa.int32()), "data": [drawn[0]], "mask": [drawn[1]]})
+            for begin in range(0, batch.num_rows, DRAWN):
+                some = batch.slice(begin, DRAWN)
+                rows, lists = {k: [] for k in ("y0", "n_lines", "data", "mask")}, some.column("c")
+                for k, t in enumerate(some.column("t").to_pylist()):
+                    c = lists[k].values.to_numpy(zero_copy_only=False)
+                    y0 = t * lines
+                    n, first = min(lines, h - y0), max(y0 - 1, 0)
+                    planes = np.zeros((2, (min(y0 + n + 1, h) - first) * w), np.uint8)
+                    planes[:, c // 512 - first * w] = c // 2 % 256, c % 2
+                    for name, value in zip(rows, (y0, n, planes[0].tobytes(), planes[1].tobytes())):
+                        rows[name].append(value)
+                size = lambda value: pa.array([value] * some.num_rows, pa.int32())
+                yield pa.RecordBatch.from_pydict({"roi_id": some.column("roi_id"), "w": size(w), "h": size(h), "channels": size(1), "y0": pa.array(rows["y0"], pa.int32()), "n_lines": pa.array(rows["n_lines"], pa.int32()), "data": rows["data"], "mask": rows["mask"]})
 
     return own.mapInArrow(draw, "roi_id long, w int, h int, channels int, y0 int, n_lines int, data binary, mask binary")

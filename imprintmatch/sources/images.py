@@ -52,8 +52,11 @@ def masked_images(images: DataFrame, key: str = r"([^/.]+)(?:\.mask)?\.[^/.]+$",
     another size than its image counts as none.
     """
     named = images.withColumns({"roi_id": F.regexp_extract("path", key, 1).cast("long"), "is_mask": F.col("path").rlike(mask)})
-    masks = named.filter("is_mask and channels = 1").select("roi_id", F.col("w").alias("mask_w"), F.col("h").alias("mask_h"), F.col("data").alias("mask"))
-    rows = named.filter("not is_mask").join(masks, "roi_id", "left")
+    # Images and masks come from one pass over the files; rows without a number have no mask and stay apart.
+    own, mask = F.when(~F.col("is_mask"), F.struct("w", "h", "channels", "data")), F.when(F.expr("is_mask and channels = 1 and roi_id is not null"), F.struct(F.col("w").alias("mask_w"), F.col("h").alias("mask_h"), F.col("data").alias("mask")))
+    alone = F.when(F.col("roi_id").isNull(), F.col("path")).alias("_alone")
+    files = named.groupBy("roi_id", alone).agg(F.collect_list(own).alias("own"), F.collect_list(mask).alias("masks"))
+    rows = files.select("roi_id", "masks", F.inline("own")).select("roi_id", "w", "h", "channels", "data", F.inline_outer("masks"))
     fits = (F.col("w") == F.col("mask_w")) & (F.col("h") == F.col("mask_h"))
     return rows.select("roi_id", "w", "h", "channels", "data", F.when(fits, F.col("mask")).alias("mask"))
 
