@@ -8,9 +8,20 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..operators import detect as D
 from ..operators import ocr as O
+from ..storage import cut
 from . import identify as I
 
 
+#: Ids of regions up to so many are sent to all tasks; beyond it rows are joined with them.
+MOST_SENT = 1_000_000
+
+
+def of_regions(rows: DataFrame, regions: DataFrame, key: str = "image_id") -> DataFrame:
+    """rows whose key is one of regions' (roi_id): what belongs to no region is left before it is sorted, decoded or suppressed."""
+    ids = cut(regions.select(F.col("roi_id").alias(key)).distinct())
+    return rows.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, key, "left_semi")
+
+
 def char_detections(raw: DataFrame, sizes: DataFrame, classes: DataFrame) -> DataFrame:
     """Characters on their images from a detector's raw scores: argmax, suppression, corners on the image, characters.
 
