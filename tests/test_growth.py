@@ -31,3 +31,20 @@ def test_raw_queries_are_the_readings_queries(spark):
 
 def test_seed_candidates_rows(spark):
     same_rows(spark, "seed_candidates")
+
+
+def test_counts_of_classes_read_no_text_scores(spark):
+    """Flags are counted from seeds and classes alone, and agree with the classes that hold the best items."""
+    items = spark.createDataFrame([(k, f"A{k % 3}", ["PAC", None][k % 2], ["원형", "타원형", None][k % 3], "하양", None) for k in range(90)], "item_idx long, print_front string, print_back string, drug_shape string, color_class1 string, color_class2 string")
+    queries = spark.createDataFrame([("A1", "원형", ""), ("A1 PAC", "", "흰색"), ("ZZ", "", "")], "imprint string, shape_guess string, color_guess string")
+    classes = M.item_classes(items)
+    seeds, _ = I.met_looks(queries.select("imprint").distinct(), classes)
+    pairs = M.class_pairs(queries, M.best_by_class(seeds, classes))
+    counts = M.class_counts(queries, M.seed_looks(queries.select("imprint").distinct(), classes.select("look").distinct()), classes)
+    assert sorted(map(str, counts.collect())) == sorted(map(str, pairs.select(*counts.columns).collect())) and counts.count() > 3
+    # The best five of a class: of equal texts the lowest items, over all looks.
+    best = {(r.imprint, r.drug_shape): [(b.less, b.item_idx) for b in r.best] for r in pairs.collect()}
+    text = {(r.imprint, r.item_idx): r.text_score for r in M.text_score_join(queries.select("imprint").distinct(), items).collect()}
+    own = {(r.imprint, r.item_idx, r.drug_shape) for r in M.seed_candidates(queries.select("imprint"), M.build_print_index(items)).join(items, "item_idx").collect()}
+    for (imprint, shape), got in best.items():
+        assert got == sorted((-text.get((i, k), 0), k) for i, k, s in own if (i, s) == (imprint, shape))[:5]
