@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..storage import cut, new_folder, shared_dir  # noqa: F401
+from ..storage import cut, new_folder, release, shared_dir  # noqa: F401
 
 #: Words are runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, dealt_table, lean, shuffle_partitions
+from .common import cut, dealt_table, lean, release, shuffle_partitions
 from .components import components
 from .hashing import doc_shingles, mix64
 from .url_filter import _level
@@ -488,58 +488,96 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return cut(far.union(joined.join(labels, "node", "left_anti").select("node", "label")))
 
 
-def similar_classes(docs: DataFrame, k: int = 5, leaf_size: int = LEAF) -> tuple[DataFrame, DataFrame | None]:
-    """(features per document, labels of linked classes)."""
+def _together(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with each pair of leaves in one partition, sorted."""
+    places = ("p", "i", "j")
+    return rows.repartition(shuffle_partitions(rows.sparkSession), *places).sortWithinPartitions(*places, *keys)
+
+
+def _searched(rows: DataFrame) -> DataFrame:
+    return _together(rows).mapInArrow(lean(_search), FOUND)
+
+
+def _linked(found: DataFrame, sets: DataFrame) -> DataFrame:
+    return cut(_together(found.join(sets, "node"), "part").mapInArrow(lean(_links), "a long, b long"))
+
+
+def _met(docs: DataFrame, k: int, leaf_size: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Features per document, FOUND of the classes that meet in a leaf, and the leaves of large clusters if there are any."""
     n_parts = shuffle_partitions(docs.sparkSession)
     slim = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     feats = cut(slim.mapInArrow(lean(_prefixes(k, heavy_shingles(slim, k))), "doc_id long, row long, n long, node long, tile long, point binary, rare array<long>, often array<long>"))
     clusters = cut(_clusters(feats))
+    release(docs.sparkSession)
     points = feats.filter("n > 0").select("node", "n", "tile", "point").dropDuplicates(["node"])
     slim = cut(feats.select("doc_id", "row", "n", "node"))
     # Stored, so that the join on a large cluster is dealt out anew and can be split.
     sizes = cut(clusters.groupBy("p").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     of_size = lambda which: clusters.join(sizes.filter(which).select("p"), "p").join(points, "node").select("p", "node", "n", "tile", "point")
-    places = ("p", "i", "j")
-    together = lambda df, *keys: df.repartition(n_parts, *places).sortWithinPartitions(*places, *keys)
-    searched = lambda rows: together(rows).mapInArrow(lean(_search), FOUND)
-    linked = lambda found, sets: cut(together(found.join(sets, "node"), "part").mapInArrow(lean(_links), "a long, b long"))
     found = of_size(f"size <= {leaf_size}").repartition(n_parts, "p").sortWithinPartitions("p", "tile", "node").mapInArrow(lean(_search_small), FOUND)
     leaves = None
     if not sizes.filter(f"size > {leaf_size}").isEmpty():
         leaves = _packed(of_size(f"size > {leaf_size}"), leaf_size)
         pivots = leaves.select("p", "leaf").distinct().join(leaves.filter("p = node").select("p", "node", "n", "point", F.col("leaf").alias("own")), "p").filter("leaf <> own").drop("own")
         rows = leaves.select("p", "leaf", "node", "n", "point").unionByName(pivots)
-        found = found.union(searched(rows.selectExpr("p", "leaf as i", "leaf as j", "node", "n", "point", "0L as leaf", "node as label")))
-    found, labels = cut(found), None
-    if not found.isEmpty():
-        sets, drop = _fetched(docs, slim, cut(found.select(F.col("node").alias("key")).distinct()), k)
-        try:
-            labels = _merged(None, linked(_home(found), sets))
-            known = _label_of(found, labels)
-            labels = _merged(labels, linked(known.join(cut(_open(known, *places, "part")), [*places, "part"], "left_semi"), sets))
-        finally:
-            drop()
-    if leaves is None:
-        return slim, labels
-    # Large clusters with several labels: their trees.
+        found = found.union(_searched(rows.selectExpr("p", "leaf as i", "leaf as j", "node", "n", "point", "0L as leaf", "node as label")))
+    return slim, cut(found), leaves
+
+
+def _met_in_trees(leaves: DataFrame, labels: DataFrame | None, leaf_size: int) -> DataFrame | None:
+    """FOUND of the classes of large clusters with several labels that the search of their trees brings together."""
+    n_parts = shuffle_partitions(leaves.sparkSession)
     known = _label_of(leaves.drop("leaf"), labels)
-    known = known.join(cut(_open(known, "p")), "p", "left_semi")
     # Classes of a cluster's greatest label stand together, so that leaves of that label alone need not meet.
-    greatest = cut(known.groupBy("p", "label").agg(F.count(F.lit(1)).alias("_n")).groupBy("p").agg(F.max(F.struct("_n", "label"))["label"].alias("_most")))
+    counts = known.groupBy("p", "label").agg(F.count(F.lit(1)).alias("_n"))
+    greatest = counts.groupBy("p").agg(F.max(F.struct("_n", "label"))["label"].alias("_most"), F.count(F.lit(1)).alias("_labels"))
+    greatest = cut(greatest.filter("_labels > 1").select("p", "_most"))
     if greatest.isEmpty():
-        return slim, labels
+        return None
     known = known.join(greatest, "p").withColumn("apart", (F.col("label") != F.col("_most")).cast("int")).drop("_most")
     leaves = _packed(known, leaf_size, "apart")
     boxes = leaves.repartition(n_parts, "p", "leaf").sortWithinPartitions("p", "leaf").mapInArrow(_boxes, "p long, leaf long, lo long, hi long, box binary, label long")
     pairs = cut(boxes.repartition(n_parts, "p").sortWithinPartitions("p", "leaf").mapInArrow(_open_leaves, "p long, i long, j long"))
     ends = pairs.selectExpr("*", "i as at", "0L as side").union(pairs.filter("i < j").selectExpr("*", "j as at", "1L as side"))
     rows = ends.withColumnRenamed("at", "leaf").join(leaves.select("p", "leaf", "node", "n", "point", "label"), ["p", "leaf"])
-    found = cut(searched(rows.drop("leaf").withColumnRenamed("side", "leaf")))
-    if found.isEmpty():
+    return cut(_searched(rows.drop("leaf").withColumnRenamed("side", "leaf")))
+
+
+def similar_classes(docs: DataFrame, k: int = 5, leaf_size: int = LEAF) -> tuple[DataFrame, DataFrame | None]:
+    """(features per document, labels of linked classes).
+
+    Each pass ends in what it has stored; its shuffle files and earlier cuts are given back before the next one.
+    """
+    spark = docs.sparkSession
+    places = ("p", "i", "j", "part")
+    slim, found, leaves = _met(docs, k, leaf_size)
+    release(spark)
+    labels = None
+    if not found.isEmpty():
+        sets, drop = _fetched(docs, slim, cut(found.select(F.col("node").alias("key")).distinct()), k)
+        release(spark)
+        try:
+            labels = _merged(None, _linked(_home(found), sets))
+            release(spark)
+            known = _label_of(found, labels)
+            labels = _merged(labels, _linked(known.join(cut(_open(known, *places)), list(places), "left_semi"), sets))
+            del known
+        finally:
+            drop()
+    if leaves is None:
+        return slim, labels
+    # Large clusters with several labels: their trees.
+    del found
+    release(spark)
+    found = _met_in_trees(leaves, labels, leaf_size)
+    if found is None or found.isEmpty():
         return slim, labels
+    del leaves
+    release(spark)
     sets, drop = _fetched(docs, slim, cut(found.select(F.col("node").alias("key")).distinct()), k)
+    release(spark)
     try:
-        return slim, _merged(labels, linked(_label_of(found, labels), sets))
+        return slim, _merged(labels, _linked(_label_of(found, labels), sets))
     finally:
         drop()
 
@@ -561,6 +599,7 @@ def ngram_join(docs: DataFrame, k: int = 5) -> DataFrame:
     has no other.  An empty table gives an empty result.  Other columns are not read, whatever their names.
     """
     out = cut(_labelled(docs, k))
+    release(docs.sparkSession)
     # Stored, so that the join on a large component is dealt out anew and can be split.
     least = cut(out.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")))
     # Texts without words have no label; they are kept from meeting in one task of the join.
@@ -580,6 +619,7 @@ def one_of_each(docs: DataFrame, k: int = 5) -> DataFrame:
     while {name, other} & set(docs.columns):
         name, other = f"_{name}", f"_{other}"
     out = cut(_labelled(docs, k))
+    release(docs.sparkSession)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     stays = out.filter("label is not null").groupBy("label").agg(F.min(first).alias("first")).select(F.col("first.row").alias(name), F.col("first.doc_id").alias(other))
     stays = stays.union(out.filter("label is null").select(F.col("row").alias(name), F.col("doc_id").alias(other)))
