@@ -4,7 +4,8 @@ import os
 import re
 import time
 
-from imprintmatch.llm.components import components
+import imprintmatch.llm.components as C
+from imprintmatch.storage import release
 
 
 def standing(spark):
@@ -14,12 +15,20 @@ def standing(spark):
     return {int(m[1]) for m in (re.match(r"shuffle_(\d+)_", name) for name in names) if m}
 
 
-def test_rounds_of_components_leave_no_shuffles(spark):
-    edges = spark.createDataFrame([(i, (i * 7 + 7) % 30) for i in range(0, 30)], "a long, b long")
+def test_release_removes_shuffles_of_what_is_gone(spark):
     before = standing(spark)
-    labels = components(edges)
-    end = time.time() + 30
-    while len(left := standing(spark) - before) > 8 and time.time() < end:  # removal goes on beside the job
+    for i in range(10):
+        spark.range(100).repartition(3, "id").groupBy("id").count().selectExpr(f"id + {i}").collect()
+    end = time.time() + 20
+    while len(left := standing(spark) - before) > 2 and time.time() < end:  # removal goes on beside the job; the last may stay
+        release(spark)
         time.sleep(0.5)
-    assert len(left) <= 8, left  # at most those of one round, where several have run
-    assert labels.count() >= 29
+    assert len(left) <= 2
+
+
+def test_components_release_each_round(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(C, "release", lambda session: calls.append(release(session)))
+    edges = spark.createDataFrame([(i, (i * 7 + 7) % 30) for i in range(30)], "a long, b long")
+    labels = C.components(edges)
+    assert len(calls) >= 2 and labels.count() == 30
