@@ -3,8 +3,8 @@
 Documents with equal sets form one class, and classes are compared.  Shingles are hashed into groups; a
 class's group counts are its point, and the sum of coordinate minima of two points bounds their overlap
 from above.  With all shingles in one order, rare before frequent, two sets of similarity t share one of
-their first n - ceil(t n) + 1: such a shingle makes a block, and all blocks with the same pivot class make
-a cluster, so that every pair to find stands in a cluster.
+their first n - ceil(t n) + 1: such a shingle makes a block, rare ones one for each run of sizes that allow links,
+and all blocks with the same pivot class make a cluster, so that every pair to find stands in a cluster.
 
 Each cluster is an R-tree over the points of its classes.  Leaves are packed in the order of tiles (size,
 then coarse counts) within a bound of classes and bytes.  First the classes of a leaf meet each other and the
@@ -36,6 +36,27 @@ MOST_HEAVY = 200_000
 LEAF, LEAF_BYTES, FANOUT = 256, 8_000_000, 8
 #: Groups of a box, at most.
 BOX = 64
+#: Blocks of rare shingles are made in so many passes: the shuffle files of one stand on disk at a time.
+PASSES = 4
+#: Sizes of similar sets are so many steps apart at most; a rare shingle is listed as KEY_BITS of it and STEP_BITS with its set's step.
+STEPS, STEP_BITS, KEY_BITS = 4, 8, 40
+
+
+def _least_sizes() -> np.ndarray:
+    """The least size of every step: whatever is similar to a size under the least of a step is under the least STEPS further on."""
+    least = [0, 12, 13, 14, 15]
+    while len(least) < 1 << STEP_BITS:
+        least.append(DEN * (least[-STEPS] - 1) // NUM + 1)
+    return np.array(least)
+
+
+LEAST_SIZES = _least_sizes()
+
+
+def listed(light: np.ndarray, n: int) -> np.ndarray:
+    """Rare shingles of a set of n as they are listed; those that share their KEY_BITS share a block, which adds to it only."""
+    step = int(np.searchsorted(LEAST_SIZES, n, side="right")) - 1
+    return (light >> np.uint64(64 - KEY_BITS) << np.uint64(STEP_BITS) | np.uint64(step)).view(np.int64)
 
 
 def _heavy(k: int, often: int):
@@ -78,11 +99,14 @@ def _prefixes(k: int, heavy: np.ndarray):
     known = heavy[order]
 
     def make(batches):
+        seen: set[int] = set()  # classes of this task: once is enough for their shingles
         for batch in (piece for whole in batches for piece in _pieces(whole)):
             sizes, nodes, tiles, points, rare, often = [], [], [], [], [], []
             for own in doc_shingles(batch.column("text"), k):
                 n = len(own)
-                length = n - -(-NUM * n // DEN) + 1 if n else 0
+                node = node_of(own) if n else None
+                length = n - -(-NUM * n // DEN) + 1 if n and node not in seen else 0
+                seen.add(node)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     is_heavy = known[at] == own
@@ -90,10 +114,10 @@ def _prefixes(k: int, heavy: np.ndarray):
                 else:
                     light, dense = own[:length], own[:0]
                 sizes.append(n)
-                nodes.append(node_of(own) if n else None)
+                nodes.append(node)
                 tiles.append(tile(own))
                 points.append(packed(point(own)))
-                rare.append(light.view(np.int64))
+                rare.append(listed(light, n))
                 often.append(dense[: length - len(light)].view(np.int64))
             lists = [pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(x) for x in part])].astype(np.int32), pa.array(np.concatenate(part))) for part in (rare, often)]
             ids = [batch.column("doc_id").cast(pa.int64()), batch.column("row")]
@@ -433,18 +457,32 @@ def _fetched(docs: DataFrame, rows: DataFrame, wanted: DataFrame, k: int) -> tup
     return table, drop
 
 
+def _in_rare_blocks(feats: DataFrame, which: int) -> DataFrame:
+    """(p, node) of the blocks of those rare shingles that this pass takes: runs of two classes or more without a gap in size."""
+    key = F.shiftright("s", STEP_BITS)
+    rare = feats.select("node", F.explode("rare").alias("s")).filter(key % PASSES == which).repartition(key)
+    among = W.partitionBy("key")
+    rare = rare.withColumn("key", key).withColumns({"lo": F.min("node").over(among), "hi": F.max("node").over(among)}).filter("lo < hi")
+    rare = rare.select("key", F.col("s").bitwiseAND(F.lit((1 << STEP_BITS) - 1)).cast("int").alias("step"), "node").distinct()
+    by_size = among.orderBy("step")
+    gap = F.col("step") - F.lag("step", 1, -1).over(by_size) > STEPS
+    rare = rare.withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(by_size))
+    in_block = W.partitionBy("key", "run")
+    least = F.min(F.struct(F.xxhash64("node").alias("h"), "node")).over(in_block)["node"]
+    return rare.select("node", least.alias("p"), F.count(F.lit(1)).over(in_block).alias("size")).filter("size > 1").select("p", "node")
+
+
 def _clusters(feats: DataFrame) -> DataFrame:
     """(p, node): the classes of all blocks of two or more whose pivot is p, p itself among them."""
-    rare = feats.select("node", F.explode("rare").alias("s")).repartition("s")
-    in_block = W.partitionBy("s")
-    least = lambda over: F.min(F.struct(F.xxhash64("node").alias("h"), "node")).over(over)["node"]
-    rare = rare.select("node", least(in_block).alias("p"), F.min("node").over(in_block).alias("lo"), F.max("node").over(in_block).alias("hi"))
     # Frequent shingles: copies of a class repeat its postings, so distinct is partly done before the shuffle, and
     # the join on a block that holds much of the corpus can be split.
     often = cut(feats.filter(F.size("often") > 0).select("node", F.explode("often").alias("s")).distinct())
     pivots = cut(often.groupBy("s").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("p")))
-    often = often.join(pivots, "s").select("node", "p")
-    return rare.filter("lo < hi").select("p", "node").union(often.select("p", "node")).distinct()
+    every = often.join(pivots, "s").select("p", "node")
+    for which in range(PASSES):
+        every = every.union(cut(_in_rare_blocks(feats, which)))
+        release(feats.sparkSession)
+    return every.distinct()
 
 
 def _packed(members: DataFrame, leaf_size: int, *first: str) -> DataFrame:
@@ -508,20 +546,26 @@ def _met(docs: DataFrame, k: int, leaf_size: int) -> tuple[DataFrame, DataFrame,
     slim = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     feats = cut(slim.mapInArrow(lean(_prefixes(k, heavy_shingles(slim, k))), "doc_id long, row long, n long, node long, tile long, point binary, rare array<long>, often array<long>"))
     clusters = cut(_clusters(feats))
-    release(docs.sparkSession)
-    points = feats.filter("n > 0").select("node", "n", "tile", "point").dropDuplicates(["node"])
     slim = cut(feats.select("doc_id", "row", "n", "node"))
-    # Stored, so that the join on a large cluster is dealt out anew and can be split.
-    sizes = cut(clusters.groupBy("p").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-    of_size = lambda which: clusters.join(sizes.filter(which).select("p"), "p").join(points, "node").select("p", "node", "n", "tile", "point")
-    found = of_size(f"size <= {leaf_size}").repartition(n_parts, "p").sortWithinPartitions("p", "tile", "node").mapInArrow(lean(_search_small), FOUND)
-    leaves = None
-    if not sizes.filter(f"size > {leaf_size}").isEmpty():
-        leaves = _packed(of_size(f"size > {leaf_size}"), leaf_size)
-        pivots = leaves.select("p", "leaf").distinct().join(leaves.filter("p = node").select("p", "node", "n", "point", F.col("leaf").alias("own")), "p").filter("leaf <> own").drop("own")
-        rows = leaves.select("p", "leaf", "node", "n", "point").unionByName(pivots)
-        found = found.union(_searched(rows.selectExpr("p", "leaf as i", "leaf as j", "node", "n", "point", "0L as leaf", "node as label")))
-    return slim, cut(found), leaves
+    release(docs.sparkSession)
+    # Dealt out once for both joins; the shingles of feats are done with.
+    points, drop = dealt_table(feats.filter("n > 0").select("node", "n", "tile", "point").dropDuplicates(["node"]), "node", "points")
+    del feats
+    release(docs.sparkSession)
+    try:
+        # Stored, so that the join on a large cluster is dealt out anew and can be split.
+        sizes = cut(clusters.groupBy("p").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+        of_size = lambda which: clusters.join(sizes.filter(which).select("p"), "p").join(points, "node").select("p", "node", "n", "tile", "point")
+        found = of_size(f"size <= {leaf_size}").repartition(n_parts, "p").sortWithinPartitions("p", "tile", "node").mapInArrow(lean(_search_small), FOUND)
+        leaves = None
+        if not sizes.filter(f"size > {leaf_size}").isEmpty():
+            leaves = _packed(of_size(f"size > {leaf_size}"), leaf_size)
+            pivots = leaves.select("p", "leaf").distinct().join(leaves.filter("p = node").select("p", "node", "n", "point", F.col("leaf").alias("own")), "p").filter("leaf <> own").drop("own")
+            rows = leaves.select("p", "leaf", "node", "n", "point").unionByName(pivots)
+            found = found.union(_searched(rows.selectExpr("p", "leaf as i", "leaf as j", "node", "n", "point", "0L as leaf", "node as label")))
+        return slim, cut(found), leaves
+    finally:
+        drop()
 
 
 def _met_in_trees(leaves: DataFrame, labels: DataFrame | None, leaf_size: int) -> DataFrame | None:
